@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The reference is a batch load plus fixed queries over tables; it has no
+streams, watermarks, windows over time or state. Nothing is built here so as
+not to add operators the reference does not have (see README.md).
+"""
