@@ -23,7 +23,7 @@ MAX_SPINE_MONTHS = 9999 * 12
 
 def parse_text_date(col: Column | str, pattern: str = TEXT_DATE_PATTERN) -> Column:
     """Text -> DATE; unparsable or impossible dates (13/45, 02/30) give NULL."""
-    return F.try_to_date(F.col(col) if isinstance(col, str) else col, F.lit(pattern))
+    return F.try_to_date(F.col(col) if isinstance(col, str) else col, pattern)
 
 
 def month_start(col: Column | str) -> Column:

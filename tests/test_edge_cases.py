@@ -1,0 +1,265 @@
+"""Hand-written edge rows for what the generated data cannot show."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from fixtures import (CLASSES, CUSTOMER, DETAIL, HISTORY, ITEM, MASTER, PRICE, WAREHOUSE, d, frame,
+                      header, line)
+from orderlens.functions.dates import parse_text_date
+from orderlens.operators.detail import detail_count, detail_page
+from orderlens.operators.enrich import build_enriched
+from orderlens.operators.options import filter_options
+from orderlens.operators.product_class import product_class_share, share_total
+from orderlens.operators.report import category_report, report_headings
+from orderlens.operators.status import status_overview
+from orderlens.operators.stock import price_history, stock_details, top_stock
+from orderlens.operators.trend import order_trend
+
+
+def enrich(spark, lines, headers, customers=(), items=()):
+    return build_enriched(frame(spark, DETAIL, lines), frame(spark, MASTER, headers),
+                          frame(spark, CUSTOMER, list(customers)), frame(spark, ITEM, list(items)))
+
+
+def test_order_dates_parse(spark):
+    df = spark.createDataFrame([("01/05/2024",), ("1/5/2024",), ("13/45/2024",), ("02/30/2024",), (None,)],
+                               "t string")
+    got = [r.x for r in df.select(parse_text_date("t").alias("x")).collect()]
+    assert got[0] == got[1] == dt.date(2024, 1, 5)
+    assert got[2:] == [None, None, None]
+
+
+def test_master_duplicates_keep_first_invoice_text_order(spark):
+    headers = [header(invoice_number="10", branch="TEN"), header(invoice_number="9", branch="NINE"),
+               header(invoice_number=None, branch="NULL")]
+    out = enrich(spark, [line()], headers).collect()
+    assert len(out) == 1 and out[0].branch == "TEN"
+
+
+def test_orphan_line(spark):
+    lines = [line(sales_order="1", stock_code="S1", qty=5.0), line(sales_order="404", stock_code="S2", qty=7.0)]
+    e = enrich(spark, lines, [header(sales_order="1")])
+    rows = {r.sales_order: r for r in e.collect()}
+    assert rows["404"].customer is None and rows["404"].order_date is None
+    trend = order_trend(e).collect()
+    assert sum(r.total_order_qty for r in trend) == 5.0
+    assert detail_count(e).first().total_count == 1
+    top = top_stock(frame(spark, DETAIL, lines), frame(spark, ITEM, []), frame(spark, WAREHOUSE, []),
+                    frame(spark, PRICE, []))
+    assert {r.stock_code for r in top.collect()} == {"S1", "S2"}
+
+
+def test_item_duplicates_do_not_multiply_lines(spark):
+    items = [dict(stock_code="S1", description="b"), dict(stock_code="S1", description="a")]
+    e = enrich(spark, [line(), line(line_no=2)], [header()], items=items)
+    rows = e.collect()
+    assert len(rows) == 2
+    assert {r.stock_description for r in rows} == {"a"}
+
+
+def test_enriched_prefers_item_description(spark):
+    e = enrich(spark, [line(stock_code="S1"), line(stock_code="S2", line_no=2)], [header()],
+               items=[dict(stock_code="S1", description="master text")])
+    got = {r.stock_code: r.stock_description for r in e.collect()}
+    assert got == {"S1": "master text", "S2": "desc S2"}
+
+
+def test_status_unknown_and_null_count_in_denominator(spark):
+    master = frame(spark, MASTER, [header(sales_order=str(i), order_status=s)
+                                   for i, s in enumerate(["1", "1", "X", None])])
+    rows = status_overview(master).collect()
+    assert len(rows) == 8
+    by = {r.status_code: r for r in rows}
+    assert by["1"]["count"] == 2 and by["1"].percentage == 50.0
+    assert by["F"]["count"] == 0 and by["F"].percentage == 0.0
+    assert rows[0].status_code == "1"
+
+
+def test_status_rounds_half_up(spark):
+    master = frame(spark, MASTER, [header(sales_order=str(i), order_status="1" if i == 0 else "Z")
+                                   for i in range(800)])
+    by = {r.status_code: r for r in status_overview(master).collect()}
+    assert by["1"].percentage == 0.13
+
+
+def test_share_rounds_half_even(spark):
+    lines = [line(product_class="A", qty=1.0), line(product_class="B", qty=3.0),
+             line(product_class="C", qty=396.0), line(product_class="D", qty=400.0)]
+    share = product_class_share(frame(spark, DETAIL, lines), frame(spark, CLASSES, []))
+    by = {r.id: r for r in share.collect()}
+    assert by["A"].percentage == 0.12 and by["B"].percentage == 0.38
+    assert by["A"].label == "Unknown (A)"
+    assert "Others" not in by
+
+
+def test_rank_ties_keep_more_than_five(spark):
+    qtys = [60, 50, 40, 30, 20, 20]
+    lines = [line(product_class=f"P{i}", qty=float(q)) for i, q in enumerate(qtys)]
+    rows = product_class_share(frame(spark, DETAIL, lines), frame(spark, CLASSES, [])).collect()
+    assert len(rows) == 6 and not any(r.is_others for r in rows)
+
+
+def test_others_and_real_class_named_others(spark):
+    qtys = {"Others": 100.0, "P1": 90.0, "P2": 80.0, "P3": 70.0, "P4": 60.0, "P5": 10.0, "P6": 5.0}
+    lines = [line(product_class=k, qty=v) for k, v in qtys.items()]
+    lookup = frame(spark, CLASSES, [dict(branch="B", product_class="P1", description=None),
+                                    dict(branch="C", product_class="P1", description="Pumps")])
+    share = product_class_share(frame(spark, DETAIL, lines), lookup)
+    rows = share.collect()
+    others = [r for r in rows if r.id == "Others"]
+    assert len(others) == 2
+    assert {r.is_others for r in others} == {True, False}
+    rest = [r for r in others if r.is_others][0]
+    assert rest.value == 15 and rest.label == "Others"
+    real = [r for r in others if not r.is_others][0]
+    assert real.label == "Unknown (Others)"
+    assert {r.label for r in rows if r.id == "P1"} == {"Pumps (P1)"}
+    assert share_total(share).first().total_percentage == pytest.approx(100.0, abs=0.02)
+
+
+def test_no_others_when_five_classes(spark):
+    lines = [line(product_class=f"P{i}", qty=10.0 + i) for i in range(5)]
+    rows = product_class_share(frame(spark, DETAIL, lines), frame(spark, CLASSES, [])).collect()
+    assert len(rows) == 5 and not any(r.is_others for r in rows)
+
+
+def test_null_class_ignored_blank_class_counted(spark):
+    lines = [line(product_class=None, qty=5.0), line(product_class="  ", qty=3.0), line(product_class="A", qty=1.0)]
+    rows = {r.id: r for r in product_class_share(frame(spark, DETAIL, lines), frame(spark, CLASSES, [])).collect()}
+    assert set(rows) == {"  ", "A"} and rows["  "].percentage == 75.0
+
+
+def test_fan_out_quantity(spark):
+    detail = frame(spark, DETAIL, [line(stock_code="S1", qty=5.0), line(stock_code="S2", qty=4.0, line_no=2),
+                                   line(stock_code="S3", qty=3.0, line_no=3)])
+    wh = frame(spark, WAREHOUSE, [dict(stock_code="S1", warehouse="W1", qty_on_hand=10),
+                                  dict(stock_code="S1", warehouse="W2", qty_on_hand=20),
+                                  dict(stock_code="S2", warehouse="W1", qty_on_hand=30)])
+    import decimal
+    pr = frame(spark, PRICE, [dict(stock_code="S1", price_code="A", selling_price=decimal.Decimal("12.50")),
+                              dict(stock_code="S1", price_code="B", selling_price=decimal.Decimal("10.00"))])
+    rows = {r.stock_code: r for r in top_stock(detail, frame(spark, ITEM, []), wh, pr).collect()}
+    assert rows["S1"].total_qty_on_hand == 60.0 and rows["S1"].qty_on_hand == 30.0
+    assert rows["S1"].warehouse_qty == "W1: 10, W2: 20"
+    assert rows["S1"].price_details == "A: $12.50, B: $10.00"
+    assert rows["S2"].total_qty_on_hand == 30.0
+    # no warehouse, price or history: NULL strings, zero quantities
+    assert rows["S3"].warehouse_qty is None and rows["S3"].price_details is None
+    assert rows["S3"].total_qty_on_hand == 0.0 and rows["S3"].qty_on_hand == 0.0
+    details = {r.stock_code: r for r in stock_details(wh, pr).collect()}
+    assert details["S1"].total_qty_on_hand == 60 and details["S2"].price_rows == 0
+
+
+def test_top_stock_description_prefers_line_text(spark):
+    detail = frame(spark, DETAIL, [line(stock_code="S1", stock_description=None), line(stock_code="S2", line_no=2)])
+    items = frame(spark, ITEM, [dict(stock_code="S1", description="m1", supplier="SUP"),
+                                dict(stock_code="S2", description="m2")])
+    rows = {r.stock_code: r for r in top_stock(detail, items, frame(spark, WAREHOUSE, []),
+                                              frame(spark, PRICE, [])).collect()}
+    assert rows["S1"].description == "m1" and rows["S1"].supplier == "SUP"
+    assert rows["S2"].description == "desc S2"
+
+
+def test_history_order(spark):
+    hist = frame(spark, HISTORY, [
+        dict(stock_code="S1", price_code="A", date_changed=d("2023-12-31"), time_changed=1),
+        dict(stock_code="S1", price_code="A", date_changed=d("2024-01-02"), time_changed=1),
+        dict(stock_code="S1", price_code="A", date_changed=d("2024-01-02"), time_changed=2),
+        dict(stock_code="S1", price_code="A", date_changed=None, time_changed=5),
+    ])
+    got = [(r.date_changed, r.time_changed) for r in price_history(hist).collect()]
+    assert got == [(None, 5), (d("2024-01-02"), 2), (d("2024-01-02"), 1), (d("2023-12-31"), 1)]
+    assert price_history(hist, frame(spark, DETAIL, [line(stock_code="S9")])).count() == 0
+
+
+def test_filters_none_empty_unknown(spark):
+    headers = [header(sales_order="1", branch="B1", order_date="2024-01-15"),
+               header(sales_order="2", branch="", order_date="2024-03-15")]
+    e = enrich(spark, [line(sales_order="1", qty=2.0), line(sales_order="2", qty=3.0, line_no=2)], headers)
+    assert [r.total_order_qty for r in order_trend(e).collect()] == [2.0, 0.0, 3.0]
+    assert [r.total_order_qty for r in order_trend(e, {"branch": ""}).collect()] == [0.0, 0.0, 3.0]
+    assert [r.total_order_qty for r in order_trend(e, {"branch": "nope"}).collect()] == [0, 0, 0]
+    assert [r.year_month for r in order_trend(e, {"branch": "nope"}).collect()] == ["2024-01", "2024-02", "2024-03"]
+    with pytest.raises(ValueError):
+        order_trend(e, {"bogus": "x"})
+
+
+def test_one_bound_uses_full_default_range(spark):
+    headers = [header(sales_order="1", order_date="2024-01-15"), header(sales_order="2", order_date="2024-03-15")]
+    e = enrich(spark, [line(sales_order="1"), line(sales_order="2", line_no=2)], headers)
+    assert detail_count(e, start="2024-03-01").first().total_count == 2
+    assert detail_count(e, start="2024-03-01", end="").first().total_count == 2
+    assert detail_count(e, start="2024-03-01", end="2024-03-31").first().total_count == 1
+    assert detail_count(e, start="03/01/2024", end="03/31/2024").first().total_count == 1
+
+
+def test_paging_validation_and_past_end(spark):
+    e = enrich(spark, [line()], [header()])
+    with pytest.raises(ValueError):
+        detail_page(e, per_page=0)
+    with pytest.raises(ValueError):
+        detail_page(e, page=0)
+    with pytest.raises(ValueError):
+        detail_page(e, page="2")
+    assert detail_page(e, page=5, per_page=10).count() == 0
+    c = detail_count(e, per_page=10).first()
+    assert (c.total_count, c.total_pages) == (1, 1)
+
+
+def test_detail_shipping_address_skips_null_keeps_empty(spark):
+    e = enrich(spark, [line()], [header(ship_addr1="Street", ship_addr2=None, ship_addr3="", postal_code="9")])
+    assert detail_page(e).first().shipping_address == "Street, , 9"
+
+
+def test_report_window_compat_vs_bounded(spark):
+    dates = ["2023-08-10", "2023-09-10", "2023-12-10", "2024-01-05", "2025-01-05", "2023-01-20", "2022-12-15"]
+    headers = [header(sales_order=str(i), order_date=x) for i, x in enumerate(dates)]
+    lines = [line(sales_order=str(i), qty=float(10 ** i), line_no=i) for i in range(len(dates))]
+    e = enrich(spark, lines, headers)
+    as_of = dt.date(2024, 1, 10)
+    compat = {r.category: r for r in category_report(e, as_of).collect()}["branch"]
+    bounded = {r.category: r for r in category_report(e, as_of, bounded=True).collect()}["branch"]
+    assert compat.current_month_qty == 1000.0           # 2024-01 only
+    assert compat.last_year_month_qty == 100000.0       # 2023-01
+    assert compat.month_0_qty == 1000.0 + 10000.0       # 2024-01 and 2025-01 (open window)
+    assert bounded.month_0_qty == 1000.0
+    assert compat.month_1_qty == 100.0                   # 2023-12; 2022-12 is before the window
+    assert compat.month_4_qty == 10.0 and compat.month_5_qty == 1.0  # window starts 2023-08-01
+    assert compat.total_all_time == 1111111.0
+
+
+def test_report_blank_values_excluded(spark):
+    headers = [header(sales_order=str(i), branch=b) for i, b in enumerate(["B1", None, "", "  "])]
+    lines = [line(sales_order=str(i), line_no=i) for i in range(4)]
+    rows = category_report(enrich(spark, lines, headers), dt.date(2024, 1, 10)).collect()
+    assert [r.category_value for r in rows if r.category == "branch"] == ["B1"]
+
+
+def test_report_headings_wrap_year():
+    heads = report_headings("Branch", dt.date(2024, 2, 10))
+    assert heads[:6] == ["Category", "Branch", "Total Quantity", "February 2024", "February 2023", "February 2022"]
+    assert heads[6:] == ["February 2024", "January 2024", "December 2023", "November 2023",
+                         "October 2023", "September 2023"]
+
+
+def test_filter_options_drop_null_and_empty_keep_blanks(spark):
+    headers = [header(sales_order=str(i), branch=b) for i, b in enumerate(["B2", None, "", "  ", "B1"])]
+    lines = [line(sales_order=str(i), line_no=i) for i in range(5)]
+    rows = filter_options(enrich(spark, lines, headers)).where(F.col("dimension") == "branch").collect()
+    assert [r.value for r in rows] == ["  ", "B1", "B2"]
+
+
+def test_empty_input(spark):
+    e = enrich(spark, [], [])
+    empty_detail = frame(spark, DETAIL, [])
+    assert [r["count"] for r in status_overview(frame(spark, MASTER, [])).collect()] == [0] * 8
+    assert filter_options(e).count() == 0
+    assert order_trend(e).count() == 0
+    assert detail_page(e).count() == 0
+    assert detail_count(e).first().total_count == 0
+    assert top_stock(empty_detail, frame(spark, ITEM, []), frame(spark, WAREHOUSE, []),
+                     frame(spark, PRICE, [])).count() == 0
+    assert product_class_share(empty_detail, frame(spark, CLASSES, [])).count() == 0
+    assert category_report(e, dt.date(2024, 1, 1)).count() == 0
