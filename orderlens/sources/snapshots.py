@@ -9,9 +9,9 @@ partition (plus any layout partitions) with dynamic partition overwrite, so
 * readers never see a half-written version: files of a run become visible at
   job commit, and ``read_latest`` picks the highest committed ``run_ts``.
 
-``read_latest`` filters on ``run_ts = (max run_ts)`` – a scalar subquery on
-a partition column – which Spark evaluates before listing files, so only
-the newest version's directories are read.
+``read_latest`` lists the committed ``run_ts=`` folders (one directory level,
+one entry per version) and reads only the newest, with ``basePath`` so the
+``run_ts`` column is kept; no job scans older versions.
 """
 
 from __future__ import annotations
@@ -48,15 +48,33 @@ def write_snapshot(df: DataFrame, base: str, run_ts: str | None = None,
     return run_ts
 
 
-def read_snapshots(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame:
-    try:
-        return spark.read.format(fmt).load(base)
-    except Exception as exc:  # AnalysisException: path missing / nothing to infer
-        raise FileNotFoundError(f"no snapshot under {base}") from exc
+def snapshot_versions(spark: SparkSession, base: str) -> list[str]:
+    """Committed versions under ``base``, oldest first.
+
+    With dynamic partition overwrite a version's folder appears only when
+    its job commits, so an in-flight or failed write is never listed.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    prefix = f"{RUN_COLUMN}="
+    names = [st.getPath().getName() for st in fs.listStatus(path) if st.isDirectory()]
+    return sorted(n[len(prefix):] for n in names if n.startswith(prefix))
+
+
+def read_version(spark: SparkSession, base: str, run_ts: str, fmt: str = "parquet") -> DataFrame:
+    return (
+        spark.read.format(fmt)
+        .option("basePath", base)
+        .load(f"{base.rstrip('/')}/{RUN_COLUMN}={run_ts}")
+    )
 
 
 def read_latest(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame:
     """The newest snapshot under ``base`` (all of its rows, ``run_ts`` kept)."""
-    df = read_snapshots(spark, base, fmt)
-    latest = df.select(F.max(RUN_COLUMN)).scalar()
-    return df.where(F.col(RUN_COLUMN) == latest)
+    versions = snapshot_versions(spark, base)
+    if not versions:
+        raise FileNotFoundError(f"no snapshot under {base}")
+    return read_version(spark, base, versions[-1], fmt)

@@ -1,0 +1,80 @@
+"""CSV ingest: table naming, text overrides, missing-value tokens, snapshots."""
+
+import os
+import tempfile
+
+import pytest
+
+from orderlens.sources.csv_ingest import ingest_csv_dir, list_csv_files, table_files
+from orderlens.sources.schemas import snake_case, table_alias
+from orderlens.sources.snapshots import read_latest, write_snapshot
+
+
+def _write(folder, name, text):
+    with open(os.path.join(folder, name), "w") as fh:
+        fh.write(text)
+
+
+def test_table_names_before_first_dot_and_duplicates_raise():
+    assert table_files(["/x/InvPrice.csv", "/x/notes.txt"]) == {"InvPrice": "/x/InvPrice.csv"}
+    with pytest.raises(ValueError):
+        table_files(["/x/a.csv", "/x/a.b.csv"])
+
+
+def test_snake_case_names():
+    assert snake_case("SalesOrderLine") == "sales_order_line"
+    assert snake_case("ShipAddr1") == "ship_addr1"
+    assert snake_case("CustomerPoNumber") == "customer_po_number"
+    assert table_alias("SorMasterRep") == "sor_master"
+    assert table_alias("InvPriceHistory") == "inv_price_history"
+
+
+def test_codes_kept_na_tokens_null_blanks_kept(spark):
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    _write(folder, "InvWarehouse.csv",
+           "StockCode,Warehouse,QtyOnHand,Bin,Note\n"
+           "0012,W1,5,7,a\n"
+           "NA,W2,,8,b\n"
+           ",W3,2.5,,c\n"
+           "  ,W4,1,9,NULL\n")
+    _write(folder, "readme.txt", "not a table")
+    assert [p.rsplit("/", 1)[-1] for p in list_csv_files(spark, folder)] == ["InvWarehouse.csv"]
+    tables = ingest_csv_dir(spark, folder)
+    df = tables["inv_warehouse"]
+    assert df.columns == ["stock_code", "warehouse", "qty_on_hand", "bin", "note"]
+    types = dict(df.dtypes)
+    assert types["stock_code"] == "string" and types["qty_on_hand"] == "double"
+    assert types["bin"] == "bigint" and types["note"] == "string"
+    rows = sorted(df.collect(), key=lambda r: r.warehouse)
+    assert [r.stock_code for r in rows] == ["0012", None, None, "  "]
+    assert [r.qty_on_hand for r in rows] == [5.0, None, 2.5, 1.0]
+    assert [r.bin for r in rows] == [7, 8, None, 9]
+    assert rows[3].note is None
+
+
+def test_dates_parsed_at_ingest_and_snapshot_written(spark):
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    out = tempfile.mkdtemp(prefix="orderlens-out-")
+    _write(folder, "SorMasterRep.csv",
+           "SalesOrder,InvoiceNumber,OrderDate,Customer\n"
+           "0001,10,01/05/2024,007\n"
+           "0002,11,13/45/2024,008\n")
+    ingest_csv_dir(spark, folder, out, run_ts="20240101_000000")
+    df = read_latest(spark, f"{out}/sor_master")
+    rows = sorted(df.collect(), key=lambda r: r.sales_order)
+    assert [r.sales_order for r in rows] == ["0001", "0002"]
+    assert str(rows[0].order_date) == "2024-01-05" and rows[1].order_date is None
+    assert rows[0].customer == "007"
+
+
+def test_latest_snapshot_wins_and_rerun_replaces(spark):
+    base = tempfile.mkdtemp(prefix="orderlens-snap-") + "/t"
+    write_snapshot(spark.createDataFrame([(1,)], "x int"), base, run_ts="20240101_000000")
+    write_snapshot(spark.createDataFrame([(2,), (3,)], "x int"), base, run_ts="20240102_000000")
+    assert sorted(r.x for r in read_latest(spark, base).collect()) == [2, 3]
+    # same run_ts again (a retried job) replaces only that version
+    write_snapshot(spark.createDataFrame([(4,)], "x int"), base, run_ts="20240102_000000")
+    assert [r.x for r in read_latest(spark, base).collect()] == [4]
+    assert spark.read.parquet(base).count() == 2
+    with pytest.raises(FileNotFoundError):
+        read_latest(spark, base + "_missing")
