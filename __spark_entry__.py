@@ -26,12 +26,11 @@ from orderlens.operators.enrich import build_enriched  # noqa: E402
 from orderlens.operators.filters import default_range  # noqa: E402
 from orderlens.operators.options import filter_options  # noqa: E402
 from orderlens.operators.product_class import product_class_share, share_total  # noqa: E402
-from orderlens.operators.report import category_report  # noqa: E402
+from orderlens.operators.report import category_report, latest_report, write_report  # noqa: E402
 from orderlens.operators.status import status_overview  # noqa: E402
 from orderlens.operators.stock import stock_details, top_stock, top_stock_price_history  # noqa: E402
 from orderlens.operators.trend import order_trend  # noqa: E402
 from orderlens.session import ensure_checkpoint_dir  # noqa: E402
-from orderlens.sources.snapshots import read_latest, write_snapshot  # noqa: E402
 from orderlens.sources.standins import StandIns  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -125,8 +124,8 @@ def q_category_report_bounded(spark, sf_dir):
 def q_latest_report(spark, sf_dir):
     """Write the report as a snapshot under the checkpoint folder, read the newest back."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/orderlens_reports/{abs(hash(sf_dir))}"
-    write_snapshot(q_category_report(spark, sf_dir), base, partition_by=("category",))
-    return read_latest(spark, base).drop("run_ts")
+    write_report(q_category_report(spark, sf_dir), base)
+    return latest_report(spark, base).drop("run_ts")
 
 
 def entry(spark: SparkSession) -> DataFrame:
