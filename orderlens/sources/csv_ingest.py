@@ -2,7 +2,8 @@
 
 * Table name = file name before the first dot (``a.b.csv`` -> ``a``); two
   files claiming one table is an error (the reference would silently keep the
-  last one). Only ``*.csv`` files are read.
+  last one). Only ``*.csv`` entries are read; an entry may be one file or a
+  folder of part files (a split extract).
 * Every column is read as text first (no inference pass over the file), the
   missing-value tokens become NULL, listed text columns stay text, declared
   columns are cast/parsed, and the remaining columns are typed from their
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.functions.dates import parse_text_date
+from orderlens.sources.fs import list_entries
 from orderlens.sources.schemas import DECLARED_TYPES, NA_TOKENS, TEXT_COLUMNS, snake_case, table_alias
 from orderlens.sources.snapshots import write_snapshot
 
@@ -26,15 +28,10 @@ _INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 
 
 def list_csv_files(spark: SparkSession, in_dir: str) -> list[str]:
-    """Paths of the ``*.csv`` files directly under ``in_dir`` (file listing
-    through Spark's binary-file source; contents are not read)."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
-        .load(in_dir)
-        .select("path")
-    )
-    return sorted(r.path for r in listing.collect())
+    """Paths of the ``*.csv`` entries directly under ``in_dir``: single files,
+    or folders of part files as Spark writes them."""
+    base = in_dir.rstrip("/")
+    return [f"{base}/{name}" for name, _ in list_entries(spark, base) if name.endswith(".csv")]
 
 
 def table_files(paths: Sequence[str]) -> dict[str, str]:

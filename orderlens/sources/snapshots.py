@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.sources.fs import list_entries
+
 RUN_COLUMN = "run_ts"
 RUN_FORMAT = "%Y%m%d_%H%M%S"
 
@@ -54,14 +56,9 @@ def snapshot_versions(spark: SparkSession, base: str) -> list[str]:
     With dynamic partition overwrite a version's folder appears only when
     its job commits, so an in-flight or failed write is never listed.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
     prefix = f"{RUN_COLUMN}="
-    names = [st.getPath().getName() for st in fs.listStatus(path) if st.isDirectory()]
-    return sorted(n[len(prefix):] for n in names if n.startswith(prefix))
+    return sorted(name[len(prefix):] for name, is_dir in list_entries(spark, base)
+                  if is_dir and name.startswith(prefix))
 
 
 def read_version(spark: SparkSession, base: str, run_ts: str, fmt: str = "parquet") -> DataFrame:
