@@ -83,7 +83,14 @@ def date_range_predicate(df: DataFrame, start, end) -> Column:
 
 
 def default_range(enriched: DataFrame) -> DataFrame:
-    """One row: first day of the earliest order month, last day of the latest."""
+    """One row: first day of the earliest order month, last day of the latest.
+
+    On the stored layout the partition column ``order_month`` gives the same
+    answer without reading any data column (a NULL date has a NULL month)."""
+    if "order_month" in enriched.columns:
+        return enriched.agg(
+            F.min("order_month").alias("min_date"), month_end(F.max("order_month")).alias("max_date")
+        )
     return enriched.agg(
         month_start(F.min("order_date")).alias("min_date"),
         month_end(F.max("order_date")).alias("max_date"),
