@@ -44,9 +44,14 @@ def top_items(detail: DataFrame, n: int = TOP_ITEMS) -> DataFrame:
     ).limit(n)
 
 
-def _distinct_text(expr: str) -> Column:
-    """Distinct non-NULL values joined by ', ' in code-point order; NULL if none."""
-    return F.expr(f"listagg(DISTINCT {expr}, ', ') WITHIN GROUP (ORDER BY {expr})")
+def _distinct_text(col: str) -> Column:
+    """Distinct non-NULL values joined by ', ' in code-point order; NULL if none
+    (SQL ``STRING_AGG(DISTINCT …)``). ``collect_set`` is an ordinary partial/
+    final aggregate – one shuffle – unlike a DISTINCT aggregate, which Spark
+    rewrites into an Expand and two shuffles. The set holds one item's
+    distinct warehouse or price strings."""
+    values = F.array_sort(F.collect_set(col))
+    return F.when(F.size(values) > 0, F.array_join(values, ", "))
 
 
 def warehouse_summary(warehouse: DataFrame) -> DataFrame:
