@@ -68,3 +68,36 @@ def test_top_stock_semi_joins_dimensions_to_bounded_keys(standins):
     text = plan_text(top_stock(s.sor_detail, s.inv_master, s.inv_warehouse, s.inv_price))
     assert count_nodes(text, "TakeOrderedAndProject") >= 1
     assert text.count("LeftSemi") >= 3
+
+
+def _executed(df):
+    df.collect()
+    return plan_text(df, "simple")
+
+
+def test_inline_trend_builds_enriched_once(spark):
+    import __spark_entry__ as entry
+    from conftest import SF01
+    from tools.plan_report import final_sections
+
+    text = final_sections(_executed(entry.q_order_trend(spark, SF01)))
+    enriched_text = final_sections(_executed(entry.q_enriched(spark, SF01)))
+    assert text.count("FileScan parquet") == enriched_text.count("FileScan parquet")
+
+
+def test_stored_trend_range_reads_partition_values_only(stored):
+    _, df = stored
+    text = plan_text(order_trend(df, {"customer": "77"}), "formatted")
+    read_schemas = [line for line in text.splitlines() if line.strip().startswith("ReadSchema:")]
+    assert any(line.strip() == "ReadSchema: struct<>" for line in read_schemas)
+    assert "EqualTo(customer,77)" in text
+
+
+def test_class_share_scalars_reuse_the_class_aggregate(standins):
+    from orderlens.operators.product_class import product_class_share
+    from tools.plan_report import final_sections
+
+    text = final_sections(_executed(product_class_share(standins.sor_detail, standins.sal_product_class)))
+    assert "ReusedExchange" in text and "ReusedSubquery" in text
+    # lineitem (the lines) is read once, by the main query; subqueries reuse its shuffle
+    assert text.count("lineitem.parquet") == 1
