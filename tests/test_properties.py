@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from orderlens.operators.detail import DETAIL_SORT, detail_after, detail_count, detail_page, detail_rows
+from orderlens.operators.detail import detail_after, detail_count, detail_page, detail_rows, next_cursor
 from orderlens.operators.product_class import class_totals, product_class_share
 from orderlens.operators.report import category_report
 from orderlens.operators.trend import order_trend
@@ -41,13 +41,14 @@ def test_pages_concatenate_to_sorted_set(enriched):
     full = detail_rows(enriched, filters, start, end).collect()
     assert sorted(map(tuple, pages)) == sorted(map(tuple, full))
     # keyset paging yields the same sequence as offset paging
-    keyed = list(detail_page(enriched, filters, start, end, page=1, per_page=40).collect())
+    page = detail_page(enriched, filters, start, end, page=1, per_page=40).collect()
+    keyed, cursor = list(page), None
     while True:
-        last = [keyed[-1][n] for n, _ in DETAIL_SORT]
-        nxt = detail_after(enriched, last, filters, start, end, per_page=40).collect()
-        if not nxt:
+        cursor = next_cursor(page, cursor)
+        page = detail_after(enriched, cursor[0], filters, start, end, per_page=40, skip=cursor[1]).collect()
+        if not page:
             break
-        keyed.extend(nxt)
+        keyed.extend(page)
     assert [tuple(r) for r in keyed] == [tuple(r) for r in pages]
 
 
