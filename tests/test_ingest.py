@@ -78,3 +78,13 @@ def test_latest_snapshot_wins_and_rerun_replaces(spark):
     assert spark.read.parquet(base).count() == 2
     with pytest.raises(FileNotFoundError):
         read_latest(spark, base + "_missing")
+
+
+def test_api_exports_every_operator():
+    import orderlens.api as api
+
+    for name in ("ingest_csv_dir", "build_enriched", "status_overview", "filter_options", "order_trend",
+                 "detail_page", "detail_count", "detail_after", "next_cursor", "top_stock", "stock_details",
+                 "top_stock_price_history", "product_class_share", "share_total", "category_report",
+                 "report_headings", "write_report", "latest_report", "write_enriched", "read_enriched"):
+        assert callable(getattr(api, name))
