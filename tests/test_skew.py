@@ -5,7 +5,6 @@ joins a large cluster would use are the ones planned."""
 import contextlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from fixtures import CUSTOMER, DETAIL, ITEM, MASTER, frame, header, line
 from orderlens.operators.enrich import build_enriched
