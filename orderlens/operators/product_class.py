@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from orderlens.functions.numeric import half_even
 from orderlens.functions.text import label_with_code
 
+# Five ranked classes, the remainder label.
 TOP_CLASSES = 5
 OTHERS = "Others"
 

@@ -23,6 +23,7 @@ from orderlens.functions.text import sql_number_text
 from orderlens.operators.enrich import dedupe_dimension
 from orderlens.plans.broadcast import bounded
 
+# Fixed value: the reference lists the 30 most ordered items.
 TOP_ITEMS = 30
 
 
