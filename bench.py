@@ -6,6 +6,10 @@ against the stored table or the reference-shaped source views. Each query is
 run once to warm up, then 3 times; the median is reported. Results are
 forced with the ``noop`` sink (full execution, nothing collected).
 
+The measured run of each query carries a job group; Spark's event log,
+written to a fresh scratch folder, gives its input bytes and shuffle bytes
+(``input_mb`` / ``shuffle_mb`` in the output).
+
 Prints one JSON line.
 """
 
@@ -16,6 +20,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 import uuid
 
@@ -33,6 +38,7 @@ from orderlens.operators.trend import order_trend  # noqa: E402
 from orderlens.session import ensure_checkpoint_dir, local_session  # noqa: E402
 from orderlens.sources.layout import read_enriched, write_enriched  # noqa: E402
 from orderlens.sources.standins import StandIns  # noqa: E402
+from tools.event_metrics import group_metrics  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -49,18 +55,27 @@ def _force(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def _time(fn, runs: int = RUNS) -> float:
+def _time(spark, name: str, fn, runs: int = RUNS) -> float:
+    sc = spark.sparkContext
+    sc.setJobGroup(f"warm:{name}", name)
     fn()  # warm-up
     samples = []
-    for _ in range(runs):
+    for i in range(runs):
+        sc.setJobGroup(name if i == 0 else f"run{i}:{name}", name)
         t0 = time.perf_counter()
         fn()
         samples.append(time.perf_counter() - t0)
+    sc.setJobGroup("", "")
     return round(statistics.median(samples), 3)
 
 
 def main() -> None:
-    spark = local_session(cores=CPUS, shuffle_partitions=max(CPUS, 8))
+    events = tempfile.mkdtemp(prefix="orderlens-events-")
+    spark = local_session(cores=CPUS, shuffle_partitions=max(CPUS, 8), extra_confs={
+        "spark.eventLog.enabled": "true",
+        "spark.eventLog.dir": f"file://{events}",
+        "spark.eventLog.compress": "false",
+    })
     s = StandIns(spark, SF_DIR)
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex[:8]}/enriched"
 
@@ -68,7 +83,7 @@ def main() -> None:
         e = build_enriched(s.sor_detail, s.sor_master, s.ar_customer, s.inv_master)
         write_enriched(e, base, run_ts="bench")
 
-    timings = {"enriched_build": _time(build)}
+    timings = {"enriched_build": _time(spark, "enriched_build", build)}
     enriched = read_enriched(spark, base)
 
     queries = {
@@ -87,8 +102,11 @@ def main() -> None:
         "category_report_bounded": lambda: category_report(enriched, AS_OF, bounded=True),
     }
     for name, make in queries.items():
-        timings[name] = _time(lambda make=make: _force(make()))
+        timings[name] = _time(spark, name, lambda make=make: _force(make()))
 
+    spark.stop()
+    io = group_metrics(events)
+    mb = 1024 * 1024
     print(json.dumps({
         "metric": "sum_of_median_query_sec",
         "value": round(sum(timings.values()), 3),
@@ -97,8 +115,9 @@ def main() -> None:
         "sf": _sf(SF_DIR),
         "cpus": CPUS,
         "runs": RUNS,
+        "input_mb": {q: round(io.get(q, {}).get("input_bytes", 0) / mb, 2) for q in timings},
+        "shuffle_mb": {q: round(io.get(q, {}).get("shuffle_write_bytes", 0) / mb, 2) for q in timings},
     }))
-    spark.stop()
 
 
 if __name__ == "__main__":

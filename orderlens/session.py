@@ -15,7 +15,7 @@ from orderlens.plans.config import SCALE_CONFS
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "orderlens") -> SparkSession:
+                  app_name: str = "orderlens", extra_confs: dict[str, str] | None = None) -> SparkSession:
     """A local session with the same engine settings a cluster run uses.
 
     Only the shuffle partition count is scaled down to the local core count;
@@ -29,7 +29,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("ORDERLENS_DRIVER_MEMORY", "16g"))
     )
-    for key, value in SCALE_CONFS.items():
+    for key, value in {**SCALE_CONFS, **(extra_confs or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
