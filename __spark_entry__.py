@@ -33,6 +33,7 @@ from orderlens.operators.stock import stock_details, top_stock, top_stock_price_
 from orderlens.operators.trend import order_trend  # noqa: E402
 from orderlens.session import ensure_checkpoint_dir  # noqa: E402
 from orderlens.sources.csv_ingest import ingest_csv_dir  # noqa: E402
+from orderlens.sources.layout import read_enriched, write_enriched  # noqa: E402
 from orderlens.sources.standins import StandIns  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -62,6 +63,15 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_enriched(s.sor_detail, s.sor_master, s.ar_customer, s.inv_master)
 
 
+def _stored_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched table written with its layout (month partitions, clustered
+    files) under the checkpoint folder and read back – the form the reference
+    queries after its one-time build."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/orderlens_enriched/{uuid.uuid4().hex}"
+    write_enriched(_enriched(spark, sf_dir), base)
+    return read_enriched(spark, base)
+
+
 def q_enriched(spark, sf_dir):
     return _dates_as_text(_enriched(spark, sf_dir))
 
@@ -91,6 +101,24 @@ def q_default_range(spark, sf_dir):
     return _dates_as_text(default_range(_enriched(spark, sf_dir)))
 
 
+def q_order_trend_stored(spark, sf_dir):
+    return order_trend(_stored_enriched(spark, sf_dir), TREND_FILTERS).select("year_month", "total_order_qty")
+
+
+def q_detail_page_stored(spark, sf_dir):
+    return _dates_as_text(detail_page(_stored_enriched(spark, sf_dir), DETAIL_FILTERS, DETAIL_START,
+                                      DETAIL_END, DETAIL_PAGE, DETAIL_PER_PAGE))
+
+
+def q_detail_count_stored(spark, sf_dir):
+    return detail_count(_stored_enriched(spark, sf_dir), DETAIL_FILTERS, DETAIL_START, DETAIL_END,
+                        DETAIL_PER_PAGE)
+
+
+def q_default_range_stored(spark, sf_dir):
+    return _dates_as_text(default_range(_stored_enriched(spark, sf_dir)))
+
+
 def q_top_stock(spark, sf_dir):
     s = _standins(spark, sf_dir)
     return top_stock(s.sor_detail, s.inv_master, s.inv_warehouse, s.inv_price)
@@ -175,6 +203,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "latest_report": q_latest_report,
         "ingest_sor_detail": q_ingest_sor_detail,
         "ingest_sor_master": q_ingest_sor_master,
+        "order_trend_stored": q_order_trend_stored,
+        "detail_page_stored": q_detail_page_stored,
+        "detail_count_stored": q_detail_count_stored,
+        "default_range_stored": q_default_range_stored,
     }
 
 
@@ -350,6 +382,10 @@ from (select * from x order by {_DETAIL_ORDER} limit 50 offset 50) y""",
         "latest_report": q_latest_report,
         "ingest_sor_detail": q_ingest_sor_detail,
         "ingest_sor_master": q_ingest_sor_master,
+        "order_trend_stored": q_order_trend_stored,
+        "detail_page_stored": q_detail_page_stored,
+        "detail_count_stored": q_detail_count_stored,
+        "default_range_stored": q_default_range_stored,
     }
 
 
@@ -561,5 +597,9 @@ from sor_master""",
 }
 
 
+_ORACLE.update({f"{name}_stored": _ORACLE[name]
+                for name in ("order_trend", "detail_page", "detail_count", "default_range")})
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
