@@ -7,10 +7,12 @@ layout:
 * ``partitionBy(order_month)`` – a date-range filter (detail page) prunes
   whole month directories; ``filters.date_range_predicate`` adds the month
   predicate for that;
-* ``repartitionByRange(order_month, branch, area, customer)`` before the
-  write – sampled range boundaries split even a month holding a third of the
-  lines over many tasks, and every file covers a narrow, sorted key range,
-  so parquet min/max statistics skip row groups for equality filters;
+* ``repartitionByRange(order_month, branch, area, customer, sales_order,
+  sales_order_line)`` before the write – the sampled range boundaries split
+  even a month, customer or order holding a third of the lines over many
+  tasks (the trailing order/line keys make the range key nearly unique), and
+  every file covers a narrow, sorted key range, so parquet min/max statistics
+  skip row groups for equality filters on the leading columns;
 * a new snapshot version per build (see ``snapshots``): readers keep the
   previous version until the new one is committed.
 """
@@ -24,6 +26,7 @@ from orderlens.functions.dates import month_start
 from orderlens.sources.snapshots import read_latest, write_snapshot
 
 CLUSTER_COLUMNS = ("branch", "area", "customer", "product_class", "salesperson")
+RANGE_KEY = ("order_month", "branch", "area", "customer", "sales_order", "sales_order_line")
 
 
 def write_enriched(enriched: DataFrame, base: str, run_ts: str | None = None,
@@ -35,9 +38,8 @@ def write_enriched(enriched: DataFrame, base: str, run_ts: str | None = None,
     """
     spark = enriched.sparkSession
     n = num_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = enriched.withColumn("order_month", month_start("order_date")).repartitionByRange(
-        n, F.col("order_month"), *[F.col(c) for c in CLUSTER_COLUMNS[:3]]
-    )
+    with_month = enriched.withColumn("order_month", month_start("order_date"))
+    laid_out = with_month.repartitionByRange(n, *[F.col(c) for c in RANGE_KEY if c in with_month.columns])
     return write_snapshot(laid_out, base, run_ts, partition_by=("order_month",),
                           sort_within=CLUSTER_COLUMNS)
 

@@ -4,6 +4,8 @@ joins a large cluster would use are the ones planned."""
 
 import contextlib
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from fixtures import CUSTOMER, DETAIL, ITEM, MASTER, frame, header, line
@@ -71,3 +73,20 @@ def test_hot_values_pre_aggregated_in_report(spark, skewed):
     assert "partial_sum" in text
     assert got[("stock_code", "HOT")] == 1000.0
     assert got[("branch", "B1")] == 3000.0
+
+
+def test_layout_write_splits_a_hot_customer_month(spark, skewed):
+    import tempfile
+
+    from orderlens.sources.layout import write_enriched
+
+    detail, master, customer, item = skewed
+    # every line in one month, one customer: only the trailing order/line keys can split it
+    hot_master = master.withColumn("customer", F.lit("C0")).withColumn("order_date", F.lit("2024-01-15").cast("date"))
+    e = build_enriched(detail, hot_master, customer, item)
+    base = tempfile.mkdtemp(prefix="orderlens-hot-") + "/e"
+    write_enriched(e, base, run_ts="x", num_files=6)
+    written = spark.read.parquet(base)
+    assert written.count() == 3000
+    files = written.inputFiles()
+    assert len(files) >= 4   # the single (month, customer) group went to several tasks
