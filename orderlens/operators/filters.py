@@ -43,7 +43,8 @@ class DimensionFilters:
             value = getattr(self, f.name)
             if value is None:
                 continue
-            term = F.col(f.name) == F.lit(value)
+            # codes are text: compare as text (77 and "77" both mean code "77")
+            term = F.col(f.name) == F.lit(str(value))
             pred = term if pred is None else pred & term
         return pred
 

@@ -184,6 +184,7 @@ def test_filters_none_empty_unknown(spark):
     assert [r.year_month for r in order_trend(e, {"branch": "nope"}).collect()] == ["2024-01", "2024-02", "2024-03"]
     with pytest.raises(ValueError):
         order_trend(e, {"bogus": "x"})
+    assert detail_count(e, {"customer": 1}).first().total_count == 0  # numeric value compared as text
 
 
 def test_one_bound_uses_full_default_range(spark):
