@@ -154,7 +154,7 @@ def q_category_report_bounded(spark, sf_dir):
 def q_latest_report(spark, sf_dir):
     """Write the report as a snapshot under the checkpoint folder, read the newest back."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/orderlens_reports/{abs(hash(sf_dir))}"
-    write_report(q_category_report(spark, sf_dir), base)
+    write_report(category_report(_enriched(spark, sf_dir), REPORT_AS_OF, sort=False), base)
     return latest_report(spark, base).drop("run_ts")
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.sources.fs import list_entries
@@ -33,7 +33,7 @@ def new_run_ts(now: dt.datetime | None = None) -> str:
 
 
 def write_snapshot(df: DataFrame, base: str, run_ts: str | None = None,
-                   partition_by: Sequence[str] = (), sort_within: Sequence[str] = (),
+                   partition_by: Sequence[str] = (), sort_within: Sequence[str | Column] = (),
                    fmt: str = "parquet") -> str:
     """Write ``df`` as version ``run_ts`` under ``base``; returns the run_ts."""
     run_ts = run_ts or new_run_ts()
