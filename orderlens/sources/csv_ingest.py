@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from orderlens.functions.dates import parse_text_date
 from orderlens.sources.fs import list_entries
 from orderlens.sources.schemas import DECLARED_TYPES, NA_TOKENS, TEXT_COLUMNS, snake_case, table_alias
-from orderlens.sources.snapshots import write_snapshot
+from orderlens.sources.snapshots import RUN_COLUMN, read_version, write_snapshot
 
 _INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 
@@ -82,8 +82,14 @@ def infer_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 def read_table(spark: SparkSession, path: str, table: str,
                text_columns: Mapping[str, Sequence[str]] = TEXT_COLUMNS,
                declared: Mapping[str, Mapping[str, str]] = DECLARED_TYPES,
-               infer: bool = True) -> DataFrame:
-    raw = spark.read.option("header", True).option("multiLine", False).csv(path)
+               infer: bool = True, multi_line: bool = False) -> DataFrame:
+    """One extract as a typed DataFrame (snake_case columns).
+
+    ``infer=False`` skips the type pass (undeclared columns stay text).
+    ``multi_line=True`` allows quoted fields with line breaks, at the price of
+    reading each file in one task (such files cannot be split).
+    """
+    raw = spark.read.option("header", True).option("multiLine", multi_line).csv(path)
     clean = raw.select(*[normalise_missing(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     text = set(text_columns.get(table, ()))
     fixed = dict(declared.get(table, {}))
@@ -104,14 +110,18 @@ def read_table(spark: SparkSession, path: str, table: str,
 
 def ingest_csv_dir(spark: SparkSession, in_dir: str, out_dir: str | None = None,
                    run_ts: str | None = None, **kwargs) -> dict[str, DataFrame]:
-    """Read every CSV table under ``in_dir``; write each to ``out_dir/<alias>``
-    as a snapshot when ``out_dir`` is given. Returns alias -> DataFrame."""
+    """Read every CSV table under ``in_dir``. With ``out_dir``, write each to
+    ``out_dir/<alias>`` as a snapshot version and return readers of the
+    written parquet (later jobs do not parse the CSV again); otherwise return
+    the typed CSV readers. Keys are the table aliases."""
     files = table_files(list_csv_files(spark, in_dir))
     tables = {}
     for table, path in sorted(files.items()):
         df = read_table(spark, path, table, **kwargs)
         alias = table_alias(table)
         if out_dir:
-            write_snapshot(df, f"{out_dir.rstrip('/')}/{alias}", run_ts=run_ts)
+            base = f"{out_dir.rstrip('/')}/{alias}"
+            version = write_snapshot(df, base, run_ts=run_ts)
+            df = read_version(spark, base, version).drop(RUN_COLUMN)
         tables[alias] = df
     return tables

@@ -88,3 +88,21 @@ def test_api_exports_every_operator():
                  "top_stock_price_history", "product_class_share", "share_total", "category_report",
                  "report_headings", "write_report", "latest_report", "write_enriched", "read_enriched"):
         assert callable(getattr(api, name))
+
+
+def test_quoted_line_breaks_need_multi_line(spark):
+    from orderlens.sources.csv_ingest import read_table
+
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    _write(folder, "InvMaster.csv", 'StockCode,Description\n001,"two\nlines"\n002,plain\n')
+    rows = read_table(spark, f"{folder}/InvMaster.csv", "InvMaster", multi_line=True).collect()
+    assert [(r.stock_code, r.description) for r in rows] == [("001", "two\nlines"), ("002", "plain")]
+
+
+def test_ingest_with_store_returns_parquet_readers(spark):
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    out = tempfile.mkdtemp(prefix="orderlens-out-")
+    _write(folder, "SalArea.csv", "Area,Description\n01,North\n")
+    df = ingest_csv_dir(spark, folder, out)["sal_area"]
+    assert all(f.endswith(".parquet") for f in df.inputFiles())
+    assert [(r.area, r.description) for r in df.collect()] == [("01", "North")]
