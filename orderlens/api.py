@@ -26,7 +26,7 @@ from orderlens.operators.detail import (  # noqa: F401
     detail_rows,
     next_cursor,
 )
-from orderlens.operators.enrich import build_enriched, first_per_key  # noqa: F401
+from orderlens.operators.enrich import build_enriched, duplicate_keys, first_per_key  # noqa: F401
 from orderlens.operators.filters import DimensionFilters, default_range  # noqa: F401
 from orderlens.operators.options import filter_options  # noqa: F401
 from orderlens.operators.product_class import product_class_share, share_total  # noqa: F401

@@ -65,6 +65,14 @@ def dedupe_dimension(df: DataFrame, key: str, columns: Sequence[str]) -> DataFra
     return first_per_key(df.select(key, *cols), key, ordered or [F.col(key)])
 
 
+def duplicate_keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """Keys that occur more than once, with their row counts (a data check;
+    ``build_enriched`` reduces such keys to one row by rule). One partial/
+    final count, so a hot key costs nothing extra."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+
+
 def first_headers(master: DataFrame) -> DataFrame:
     """First header row per sales order by invoice number (text order, NULLs
     last); remaining header columns break ties so the result is deterministic."""

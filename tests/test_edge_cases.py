@@ -9,7 +9,7 @@ from fixtures import (CLASSES, CUSTOMER, DETAIL, HISTORY, ITEM, MASTER, PRICE, W
                       header, line)
 from orderlens.functions.dates import parse_text_date
 from orderlens.operators.detail import detail_count, detail_page
-from orderlens.operators.enrich import build_enriched
+from orderlens.operators.enrich import build_enriched, duplicate_keys
 from orderlens.operators.options import filter_options
 from orderlens.operators.product_class import product_class_share, share_total
 from orderlens.operators.report import category_report, report_headings
@@ -52,11 +52,14 @@ def test_orphan_line(spark):
 
 
 def test_item_duplicates_do_not_multiply_lines(spark):
-    items = [dict(stock_code="S1", description="b"), dict(stock_code="S1", description="a")]
+    items = [dict(stock_code="S1", description="b"), dict(stock_code="S1", description="a"),
+             dict(stock_code="S2", description="c")]
     e = enrich(spark, [line(), line(line_no=2)], [header()], items=items)
     rows = e.collect()
     assert len(rows) == 2
     assert {r.stock_description for r in rows} == {"a"}
+    dups = duplicate_keys(frame(spark, ITEM, items), "stock_code").collect()
+    assert [(r.stock_code, r.rows) for r in dups] == [("S1", 2)]
 
 
 def test_enriched_prefers_item_description(spark):
