@@ -30,10 +30,14 @@ def sql_number_text(col: Column | str, data_type: DataType) -> Column:
     if isinstance(data_type, (IntegralType, DecimalType)):
         return c.cast("string")
     integral = c == F.floor(c)
+    # plain notation where a decimal(38,15) holds the value; Spark's own text
+    # (e.g. 1.0E25, NaN) beyond that, instead of failing under ANSI casts
     plain = F.regexp_replace(
-        F.regexp_replace(c.cast("decimal(38,15)").cast("string"), "0+$", ""), r"\.$", ""
+        F.regexp_replace(c.try_cast("decimal(38,15)").cast("string"), "0+$", ""), r"\.$", ""
+    )
+    return F.when(integral & (F.abs(c) < 1e15), c.cast("bigint").cast("string")).otherwise(
+        F.coalesce(plain, c.cast("string"))
     )
-    return F.when(integral & (F.abs(c) < 1e15), c.cast("bigint").cast("string")).otherwise(plain)
 
 
 def label_with_code(description: Column, code: Column) -> Column:

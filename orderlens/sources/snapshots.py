@@ -1,17 +1,21 @@
 """Versioned table snapshots: write a new version, read the newest one.
 
 Replaces the reference's "drop table, create as select" and its "serve the
-newest report file": each run writes a ``run_ts=<yyyyMMdd_HHmmss>``
-partition (plus any layout partitions) with dynamic partition overwrite, so
-
-* a re-run with the same ``run_ts`` replaces only its own version (task and
-  job retries after a lost executor are idempotent);
-* readers never see a half-written version: files of a run become visible at
-  job commit, and ``read_latest`` picks the highest committed ``run_ts``.
-
-``read_latest`` lists the committed ``run_ts=`` folders (one directory level,
-one entry per version) and reads only the newest, with ``basePath`` so the
-``run_ts`` column is kept; no job scans older versions.
+newest report file". Each run writes ``<base>/run_ts=<yyyyMMdd_HHmmss>/``
+(plus any layout partitions inside it). A version counts only once its job
+has committed, which Spark marks with a ``_SUCCESS`` file in that folder, so
+
+* readers never see a half-written version: ``read_latest`` takes the newest
+  folder that has the marker, and an in-flight or failed write has none;
+* a re-run with the same ``run_ts`` (a retried job after lost executors)
+  replaces that folder only, and until it commits readers keep the previous
+  version;
+* an empty result is still a version: when a committed folder holds no data
+  file, one empty parquet file carrying the schema is added, so the newest
+  version reads as an empty table rather than falling back to an older one.
+
+Listing is one directory level with one entry per version; the newest
+version is read with ``basePath`` so ``run_ts`` stays a column.
 """
 
 from __future__ import annotations
@@ -37,36 +41,31 @@ def write_snapshot(df: DataFrame, base: str, run_ts: str | None = None,
                    fmt: str = "parquet") -> str:
     """Write ``df`` as version ``run_ts`` under ``base``; returns the run_ts."""
     run_ts = run_ts or new_run_ts()
-    out = df.withColumn(RUN_COLUMN, F.lit(run_ts))
-    if sort_within:
-        out = out.sortWithinPartitions(*partition_by, *sort_within)
-    (
-        out.write.format(fmt)
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(RUN_COLUMN, *partition_by)
-        .save(base)
-    )
+    path = version_path(base, run_ts)
+    out = df.sortWithinPartitions(*partition_by, *sort_within) if sort_within else df
+    out.write.format(fmt).mode("overwrite").partitionBy(*partition_by).save(path)
+    spark = df.sparkSession
+    if not any(not name.startswith(("_", ".")) for name, _ in list_entries(spark, path)):
+        # no row was written: keep the schema so the empty version is readable
+        spark.createDataFrame([], df.schema).coalesce(1).write.format(fmt).mode("append").save(path)
     return run_ts
 
 
-def snapshot_versions(spark: SparkSession, base: str) -> list[str]:
-    """Committed versions under ``base``, oldest first.
+def version_path(base: str, run_ts: str) -> str:
+    return f"{base.rstrip('/')}/{RUN_COLUMN}={run_ts}"
 
-    With dynamic partition overwrite a version's folder appears only when
-    its job commits, so an in-flight or failed write is never listed.
-    """
+
+def snapshot_versions(spark: SparkSession, base: str) -> list[str]:
+    """Committed versions under ``base`` (folders with ``_SUCCESS``), oldest first."""
     prefix = f"{RUN_COLUMN}="
-    return sorted(name[len(prefix):] for name, is_dir in list_entries(spark, base)
-                  if is_dir and name.startswith(prefix))
+    folders = [name[len(prefix):] for name, is_dir in list_entries(spark, base)
+               if is_dir and name.startswith(prefix)]
+    return sorted(v for v in folders
+                  if any(n == "_SUCCESS" for n, _ in list_entries(spark, version_path(base, v))))
 
 
 def read_version(spark: SparkSession, base: str, run_ts: str, fmt: str = "parquet") -> DataFrame:
-    return (
-        spark.read.format(fmt)
-        .option("basePath", base)
-        .load(f"{base.rstrip('/')}/{RUN_COLUMN}={run_ts}")
-    )
+    return spark.read.format(fmt).option("basePath", base).load(version_path(base, run_ts))
 
 
 def read_latest(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame:

@@ -267,3 +267,13 @@ def test_empty_input(spark):
                      frame(spark, PRICE, [])).count() == 0
     assert product_class_share(empty_detail, frame(spark, CLASSES, [])).count() == 0
     assert category_report(e, dt.date(2024, 1, 1)).count() == 0
+
+
+def test_sql_number_text(spark):
+    from pyspark.sql.types import DoubleType
+
+    from orderlens.functions.text import sql_number_text
+
+    df = spark.createDataFrame([(12.0,), (12.5,), (12345678.9,), (1e25,), (float("nan"),), (None,)], "x double")
+    got = [r.t for r in df.select(sql_number_text("x", DoubleType()).alias("t")).collect()]
+    assert got == ["12", "12.5", "12345678.9", "1.0E25", "NaN", None]

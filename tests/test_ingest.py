@@ -106,3 +106,22 @@ def test_ingest_with_store_returns_parquet_readers(spark):
     df = ingest_csv_dir(spark, folder, out)["sal_area"]
     assert all(f.endswith(".parquet") for f in df.inputFiles())
     assert [(r.area, r.description) for r in df.collect()] == [("01", "North")]
+
+
+def test_empty_result_is_a_version_and_uncommitted_folders_are_ignored(spark):
+    base = tempfile.mkdtemp(prefix="orderlens-snap-") + "/t"
+    schema = "k string, x int"
+    write_snapshot(spark.createDataFrame([("a", 1)], schema), base, run_ts="20240101_000000",
+                   partition_by=("k",))
+    write_snapshot(spark.createDataFrame([], schema), base, run_ts="20240102_000000", partition_by=("k",))
+    latest = read_latest(spark, base)
+    assert latest.count() == 0
+    assert sorted(latest.columns) == ["k", "run_ts", "x"]
+    # a folder without the commit marker (a write in flight or one that failed) is not a version
+    os.makedirs(f"{base}/run_ts=20240103_000000/k=b")
+    _write(f"{base}/run_ts=20240103_000000/k=b", "part-0.parquet", "garbage")
+    assert latest_version_rows(spark, base) == 0
+
+
+def latest_version_rows(spark, base):
+    return read_latest(spark, base).count()
