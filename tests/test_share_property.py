@@ -1,0 +1,40 @@
+"""product_class_share against a direct model of the reference's algorithm:
+RANK() over class totals (ties share a rank), rank <= 5 kept, the rest summed
+as "Others" when positive, shares of the grand total rounded half-to-even."""
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from fixtures import CLASSES, DETAIL, frame, line
+from orderlens.operators.product_class import product_class_share
+
+
+def model(lines):
+    totals = {}
+    for cls, qty in lines:
+        if cls is not None:
+            totals[cls] = totals.get(cls, 0.0) + qty
+    grand = sum(totals.values())
+    rank = {c: 1 + sum(1 for d in totals if totals[d] > totals[c]) for c in totals}
+    out = {(c, False): totals[c] for c in totals if rank[c] <= 5}
+    rest = sum(totals[c] for c in totals if rank[c] > 5)
+    if rest > 0:
+        out[("Others", True)] = rest
+    return {k: (round(v), round(v / grand * 100, 2)) for k, v in out.items()}
+
+
+classes = st.sampled_from([None, "A", "B", "C", "D", "E", "F", "G", "H"])
+
+
+@settings(max_examples=15, deadline=None, derandomize=True,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(classes, st.sampled_from([1.0, 2.0, 3.0, 5.0])), min_size=1, max_size=25))
+def test_share_matches_reference_model(spark, lines):
+    detail = frame(spark, DETAIL, [line(product_class=c, qty=q, line_no=i) for i, (c, q) in enumerate(lines)])
+    got = {(r.id, r.is_others): (r.value, r.percentage)
+           for r in product_class_share(detail, frame(spark, CLASSES, [])).collect()}
+    want = model(lines)
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k][0] == want[k][0]
+        assert abs(got[k][1] - want[k][1]) < 1e-9
