@@ -49,6 +49,11 @@ def test_orphan_line(spark):
     top = top_stock(frame(spark, DETAIL, lines), frame(spark, ITEM, []), frame(spark, WAREHOUSE, []),
                     frame(spark, PRICE, []))
     assert {r.stock_code for r in top.collect()} == {"S1", "S2"}
+    report = {(r.category, r.category_value): r for r in category_report(e, dt.date(2024, 1, 20)).collect()}
+    assert report[("stock_code", "S2")].total_all_time == 7.0        # orphan counted by item
+    assert report[("stock_code", "S2")].current_month_qty == 0.0     # but never in a dated column
+    assert report[("branch", "B1")].total_all_time == 5.0             # and not under any header value
+    assert report[("customer", "C1")].total_all_time == 5.0
 
 
 def test_item_duplicates_do_not_multiply_lines(spark):
