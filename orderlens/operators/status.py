@@ -4,9 +4,10 @@ Every listed status appears (0 when absent). The share's denominator is
 *all* header rows, including unlisted and NULL statuses, so the listed shares
 need not add up to 100.
 
-Plan: a partial/final count per status (map-side combine, so a status
-holding most rows is no hot spot); the total is a scalar subquery over the
-same aggregate (one value); the eight listed codes are a broadcast literal.
+Plan: one scan and one global aggregate – per task, nine counters (the eight
+listed codes and the total) – merged in a single partition; the one result
+row is exploded into the eight labelled rows. No group-by shuffle, join or
+subquery, and a status holding most rows is just a counter.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.numeric import half_up, percent_of
-from orderlens.plans.broadcast import bounded
 
 # The reference's status codes and their labels, in its order.
 STATUS_LABELS = (
@@ -31,6 +31,8 @@ STATUS_LABELS = (
 
 
 def status_counts(master: DataFrame) -> DataFrame:
+    """Rows per status value (all values, NULL included) – a general-purpose
+    breakdown; ``status_overview`` needs only the listed codes."""
     return master.groupBy(F.col("order_status").alias("status_code")).agg(
         F.count(F.lit(1)).alias("count")
     )
@@ -39,22 +41,22 @@ def status_counts(master: DataFrame) -> DataFrame:
 def status_overview(master: DataFrame) -> DataFrame:
     """Columns: status_desc, status_code, count (bigint), percentage (double,
     SQL half-up rounding to 2 places). Ordered by count desc, then code."""
-    spark = master.sparkSession
-    listed = bounded(
-        spark.createDataFrame(list(STATUS_LABELS), "status_code string, status_desc string"),
-        len(STATUS_LABELS),
+    status = F.col("order_status")
+    counters = master.agg(
+        F.count(F.lit(1)).alias("total"),
+        *[F.count(F.when(status == code, 1)).alias(f"n{i}") for i, (code, _) in enumerate(STATUS_LABELS)],
     )
-    counts = status_counts(master)
-    total = counts.agg(F.sum("count")).scalar()
-    listed_counts = bounded(counts.join(listed.select("status_code"), "status_code", "left_semi"),
-                            len(STATUS_LABELS))
-    return (
-        listed.join(listed_counts, "status_code", "left")
-        .select(
-            "status_desc",
-            "status_code",
-            F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"),
-            half_up(F.coalesce(percent_of(F.col("count"), total), F.lit(0.0)), 2).alias("percentage"),
-        )
-        .orderBy(F.col("count").desc(), F.col("status_code"))
+    rows = counters.select(
+        "total",
+        F.explode(F.array(*[
+            F.struct(F.lit(desc).alias("status_desc"), F.lit(code).alias("status_code"),
+                     F.col(f"n{i}").alias("count"))
+            for i, (code, desc) in enumerate(STATUS_LABELS)
+        ])).alias("s"),
     )
+    return rows.select(
+        "s.status_desc",
+        "s.status_code",
+        F.col("s.count").cast("bigint").alias("count"),
+        half_up(F.coalesce(percent_of(F.col("s.count"), F.col("total")), F.lit(0.0)), 2).alias("percentage"),
+    ).orderBy(F.col("count").desc(), F.col("status_code"))
