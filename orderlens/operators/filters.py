@@ -100,10 +100,11 @@ def default_range(enriched: DataFrame) -> DataFrame:
 
 def resolve_range(enriched: DataFrame, start=None, end=None) -> tuple[Column, Column]:
     """The reference's rule: if either bound is missing or empty, **both** take
-    the default range of the unfiltered table. The default is a pair of
-    scalar subqueries, evaluated once by Spark, never collected by this code."""
+    the default range of the unfiltered table. The default is one scalar
+    subquery, evaluated once by Spark, never collected by this code."""
     if start in (None, "") or end in (None, ""):
-        rng = default_range(enriched)
-        return rng.select("min_date").scalar(), rng.select("max_date").scalar()
+        # one subquery for both bounds (its repeated uses are reused, not re-run)
+        rng = default_range(enriched).select(F.struct("min_date", "max_date")).scalar()
+        return rng["min_date"], rng["max_date"]
     lo, hi = _as_date(start), _as_date(end)
     return F.lit(lo), F.lit(hi)
