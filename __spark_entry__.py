@@ -277,185 +277,6 @@ from sor_detail sd
 _DEPS = {"enriched": ["sor_detail", "sor_master", "ar_customer", "inv_master"]}
 
 
-def _with(*names: str) -> str:
-    order: list[str] = []
-    for n in names:
-        for d in _DEPS.get(n, []) + [n]:
-            if d not in order:
-                order.append(d)
-    return "with " + ",\n".join(f"{n} as ({_VIEWS[n]})" for n in order) + "\n"
-
-
-def _report_sql(bounded: bool) -> str:
-    # as_of 2000-03-15: current month 2000-03; window from 1999-10-01
-    months = [(2000, 3), (2000, 2), (2000, 1), (1999, 12), (1999, 11), (1999, 10)]
-    sums = ["sum(order_qty) total_all_time"]
-    for name, year in (("current_month_qty", 2000), ("last_year_month_qty", 1999),
-                       ("two_years_ago_month_qty", 1998)):
-        sums.append(f"sum(case when extract(year from order_date) = {year} and extract(month from order_date) = 3 "
-                    f"then order_qty else 0 end) {name}")
-    for k, (y, m) in enumerate(months):
-        if bounded:
-            cond = f"date_trunc('month', order_date) = date '{y}-{m:02d}-01'"
-        else:
-            cond = f"order_date >= date '1999-10-01' and extract(month from order_date) = {m}"
-        sums.append(f"sum(case when {cond} then order_qty else 0 end) month_{k}_qty")
-    blocks = [
-        f"select '{c}' category, {c} category_value, {', '.join(sums)} from enriched "
-        f"where {c} is not null and trim({c}) <> '' group by {c}"
-        for c in ("branch", "area", "customer", "stock_code", "product_class", "salesperson")
-    ]
-    return _with("enriched") + "\nunion all\n".join(blocks)
-
-
-_DETAIL_WHERE = ("order_date >= date '1998-01-01' and order_date <= date '1998-01-31' "
-                 "and branch = 'ASIA'")
-_DETAIL_ORDER = ", ".join(
-    f"{n} desc nulls first" if desc else f"{n} asc nulls last" for n, desc in DETAIL_SORT
-)
-
-_TOP30 = """t as (select stock_code, stock_description, sum(order_qty) q from sor_detail
-  group by stock_code, stock_description
-  order by q desc nulls first, stock_code asc nulls last, stock_description asc nulls last limit 30)"""
-
-_WH_TEXT = "iw.warehouse || ': ' || cast(iw.qty_on_hand as varchar)"
-_PR_TEXT = "ip.price_code || ': $' || cast(ip.selling_price as varchar)"
-
-_SHARE = _with("sor_detail", "sal_product_class") + """,
-c as (select product_class, sum(order_qty) q,
-        rank() over (order by sum(order_qty) desc nulls last) rk
-      from sor_detail where product_class is not null group by product_class),
-g as (select case when rk <= 5 then product_class else 'Others' end id, rk > 5 is_others, sum(q) q
-      from c group by 1, 2),
-d as (select product_class, coalesce(max(description), 'Unknown') description
-      from sal_product_class group by product_class)
-select g.id, case when g.is_others then 'Others' else coalesce(d.description, 'Unknown') || ' (' || g.id || ')' end label,
-  cast(round_even(g.q, 0) as bigint) value,
-  round_even(g.q / (select sum(q) from c) * 100, 2) percentage, g.is_others
-from g left join d on g.id = d.product_class and not g.is_others
-where not g.is_others or g.q > 0"""
-
-_ORACLE = {
-    "enriched": _with("enriched") + """
-select * replace (cast(line_ship_date as varchar) as line_ship_date, cast(order_date as varchar) as order_date,
-  cast(req_ship_date as varchar) as req_ship_date) from enriched""",
-    "status_overview": _with("sor_master") + """,
-s as (select order_status, count(*) n from sor_master group by order_status),
-a(status_code, status_desc) as (values ('0', 'Order in process'), ('1', 'Open order'), ('2', 'Open back order'),
-  ('3', 'Released back order'), ('4', 'In warehouse'), ('8', 'To invoice'), ('9', 'Complete'), ('F', 'Forwarded order'))
-select a.status_desc, a.status_code, cast(coalesce(s.n, 0) as bigint) "count",
-  round(coalesce(cast(s.n as double) * 100.0 / cast((select sum(n) from s) as double), 0), 2) percentage
-from a left join s on a.status_code = s.order_status""",
-    "filter_options": _with("enriched") + """
-select distinct dimension, value from (
-  select 'branch' dimension, branch value from enriched
-  union all select 'area', area from enriched
-  union all select 'customer', customer from enriched
-  union all select 'product_class', product_class from enriched
-  union all select 'salesperson', salesperson from enriched) x
-where value is not null and value <> ''""",
-    "order_trend": _with("enriched") + """,
-r as (select date_trunc('month', min(order_date)) a, date_trunc('month', max(order_date)) b from enriched),
-ds as (select cast(unnest(generate_series(cast(a as timestamp), cast(b as timestamp), interval 1 month)) as date) m from r),
-mt as (select cast(date_trunc('month', order_date) as date) m, sum(order_qty) q
-       from enriched where customer = '77' and order_date is not null group by 1)
-select strftime(ds.m, '%Y-%m') year_month, coalesce(mt.q, 0) total_order_qty
-from ds left join mt on ds.m = mt.m""",
-    "detail_page": _with("enriched") + f""",
-x as (select invoice, customer customer_id, customer_name, short_name, master_account,
-  sales_order sor_id, sales_order_line sor_line, line_type, stock_code, stock_description stock_desc,
-  order_qty, ship_qty, back_order_qty, product_class, branch, area,
-  concat_ws(', ', ship_addr1, ship_addr2, ship_addr3, ship_addr4, ship_addr5, postal_code) shipping_address,
-  order_date, salesperson salesperson_id
-  from enriched where {_DETAIL_WHERE})
-select * replace (cast(order_date as varchar) as order_date)
-from (select * from x order by {_DETAIL_ORDER} limit 50 offset 50) y""",
-    "detail_count": q_detail_count,
-        "default_range": q_default_range,
-        "top_stock": q_top_stock,
-        "stock_strings": q_stock_strings,
-        "price_history": q_price_history,
-        "product_class_share": q_product_class_share,
-        "product_class_share_total": q_product_class_share_total,
-        "category_report": q_category_report,
-        "category_report_bounded": q_category_report_bounded,
-        "latest_report": q_latest_report,
-        "ingest_sor_detail": q_ingest_sor_detail,
-        "ingest_sor_master": q_ingest_sor_master,
-        "order_trend_stored": q_order_trend_stored,
-        "detail_page_stored": q_detail_page_stored,
-        "detail_count_stored": q_detail_count_stored,
-        "default_range_stored": q_default_range_stored,
-    }
-
-
-# ---------------------------------------------------------------- oracle SQL
-# Stand-in views (same definitions as orderlens.sources.standins), DuckDB text.
-_VIEWS = {
-    "ar_customer": """
-select cast(c_custkey as varchar) customer, c_mktsegment short_name,
-  case when c_acctbal < 0 then null else c_name end master_account
-from customer where not (c_acctbal >= 0 and c_acctbal < 500)""",
-    "sor_master": """
-select cast(o_orderkey as varchar) sales_order,
-  cast(o_orderkey as varchar) || '-' || coalesce(l.l_returnflag, 'X') invoice_number,
-  case when o_orderstatus = 'O' then '1' else o_orderstatus end order_status,
-  cast(o_custkey as varchar) customer, o_orderpriority salesperson,
-  cast(o_orderdate as date) order_date, r_name branch, n_name area, l.req_ship_date,
-  c_name customer_name, c_name ship_addr1, cast(null as varchar) ship_addr2, n_name ship_addr3,
-  r_name ship_addr4, cast(null as varchar) ship_addr5,
-  case when c_acctbal < 0 then null else cast(c_nationkey as varchar) end postal_code
-from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
-  join region on n_regionkey = r_regionkey
-  left join (select l_orderkey, l_returnflag, cast(min(l_shipdate) as date) req_ship_date
-             from lineitem group by l_orderkey, l_returnflag) l on o_orderkey = l.l_orderkey""",
-    "sor_detail": """
-select cast(l_orderkey as varchar) || '-' || l_returnflag invoice, cast(l_orderkey as varchar) sales_order,
-  l_linenumber sales_order_line, l_linestatus line_type, cast(l_partkey as varchar) stock_code,
-  p_type stock_description, l_returnflag warehouse, l_quantity order_qty,
-  case when l_linestatus = 'F' then l_quantity else 0.0 end ship_qty,
-  case when l_linestatus = 'F' then 0.0 else l_quantity end back_order_qty,
-  cast(l_shipdate as date) line_ship_date, l_extendedprice price,
-  case when p_size = 50 then null when p_size = 49 then '  ' else p_brand end product_class
-from lineitem join part on l_partkey = p_partkey""",
-    "inv_master": """
-select cast(p_partkey as varchar) stock_code, p_name description, p_type supplier, p_brand product_class
-from part where p_size > 5""",
-    "inv_warehouse": """
-select cast(l_partkey as varchar) stock_code, l_returnflag warehouse, cast(sum(l_quantity) as bigint) qty_on_hand
-from lineitem group by l_partkey, l_returnflag""",
-    "inv_price": """
-select cast(p_partkey as varchar) stock_code, 'A' price_code, cast(p_retailprice as decimal(18,2)) selling_price from part
-union all
-select cast(p_partkey as varchar), 'B', cast(p_retailprice * 0.5 as decimal(18,2)) from part where p_size > 16""",
-    "inv_price_history": """
-select cast(l_partkey as varchar) stock_code, l_returnflag price_code, cast(l_shipdate as date) date_changed,
-  l_linenumber time_changed, l_extendedprice new_selling_price, l_extendedprice * (1 - l_tax) old_selling_price
-from lineitem where l_discount = 0.05""",
-    "sal_product_class": """
-select distinct r_name branch, p_brand product_class,
-  case when p_brand like '%2' then null else 'Class ' || p_brand || ' ' || r_name end description
-from (select distinct p_brand, p_size from part where p_brand not like '%4') b
-  join nation on b.p_size = n_nationkey join region on n_regionkey = r_regionkey""",
-    "enriched": """
-select sd.invoice, sd.sales_order, sd.sales_order_line, sd.line_type, sd.stock_code,
-  coalesce(im.description, sd.stock_description) stock_description, sd.warehouse, sd.order_qty,
-  sd.ship_qty, sd.back_order_qty, sd.line_ship_date, sd.price, sd.product_class,
-  m.customer, m.salesperson, m.order_date, m.branch, m.area, m.req_ship_date, m.customer_name,
-  m.ship_addr1, m.ship_addr2, m.ship_addr3, m.ship_addr4, m.ship_addr5, m.postal_code,
-  ac.short_name, ac.master_account
-from sor_detail sd
-  left join (select * from (select *, row_number() over (partition by sales_order
-             order by invoice_number nulls last) rn from sor_master) x where rn = 1) m
-    on sd.sales_order = m.sales_order
-  left join ar_customer ac on m.customer = ac.customer
-  left join inv_master im on sd.stock_code = im.stock_code""",
-}
-
-# which stand-ins each view needs (in dependency order)
-_DEPS = {"enriched": ["sor_detail", "sor_master", "ar_customer", "inv_master"]}
-
-
 def _with(*names: str) -> str:
     order: list[str] = []
     for n in names:

@@ -30,13 +30,17 @@ def sql_number_text(col: Column | str, data_type: DataType) -> Column:
     if isinstance(data_type, (IntegralType, DecimalType)):
         return c.cast("string")
     integral = c == F.floor(c)
-    # plain notation where a decimal(38,15) holds the value; Spark's own text
-    # (e.g. 1.0E25, NaN) beyond that, instead of failing under ANSI casts
+    # plain notation for 1e-5 <= |x| < 1e15: decimal(38,22) keeps all 17
+    # significant digits there (the double converts via its shortest text);
+    # Spark's own text (1.0E-20, 1.0E25, NaN) outside that range
     plain = F.regexp_replace(
-        F.regexp_replace(c.try_cast("decimal(38,15)").cast("string"), "0+$", ""), r"\.$", ""
+        F.regexp_replace(c.try_cast("decimal(38,22)").cast("string"), "0+$", ""), r"\.$", ""
     )
-    return F.when(integral & (F.abs(c) < 1e15), c.cast("bigint").cast("string")).otherwise(
-        F.coalesce(plain, c.cast("string"))
+    in_plain_range = (F.abs(c) >= 1e-5) & (F.abs(c) < 1e15)
+    return (
+        F.when(integral & (F.abs(c) < 1e15), c.cast("bigint").cast("string"))
+        .when(in_plain_range, F.coalesce(plain, c.cast("string")))
+        .otherwise(c.cast("string"))
     )
 
 

@@ -55,7 +55,9 @@ def normalise_missing(col: Column, tokens: Sequence[str] = NA_TOKENS) -> Column:
 
 def infer_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """Type of each text column from its non-NULL values: bigint if all are
-    integers, double if all parse as numbers, else string. One aggregate."""
+    integers that fit in 64 bits, double if all parse as numbers, else
+    string. Integer-like text beyond 64 bits stays text (exact), rather than
+    becoming NULL or a rounded double. One aggregate."""
     if not columns:
         return {}
     aggs = []
@@ -64,15 +66,16 @@ def infer_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
         aggs += [
             F.count(col).alias(f"n{i}"),
             F.count(F.when(col.rlike(_INTEGER_TEXT), 1)).alias(f"i{i}"),
+            F.count(F.when(col.rlike(_INTEGER_TEXT) & col.try_cast("bigint").isNotNull(), 1)).alias(f"l{i}"),
             F.count(col.try_cast("double")).alias(f"d{i}"),
         ]
     counts = df.agg(*aggs).first()
     types = {}
     for i, c in enumerate(columns):
-        n, ints, dbls = counts[f"n{i}"], counts[f"i{i}"], counts[f"d{i}"]
-        if n > 0 and ints == n:
+        n, ints, longs, dbls = counts[f"n{i}"], counts[f"i{i}"], counts[f"l{i}"], counts[f"d{i}"]
+        if n > 0 and longs == n:
             types[c] = "bigint"
-        elif n > 0 and dbls == n:
+        elif n > 0 and ints < n and dbls == n:
             types[c] = "double"
         else:
             types[c] = "string"
@@ -86,10 +89,18 @@ def read_table(spark: SparkSession, path: str, table: str,
     """One extract as a typed DataFrame (snake_case columns).
 
     ``infer=False`` skips the type pass (undeclared columns stay text).
+    Declared numeric columns use a strict cast: a value that is not a number
+    fails the job (under ANSI) instead of becoming NULL; inferred columns are
+    cast only to a type every value was checked to have.
     ``multi_line=True`` allows quoted fields with line breaks, at the price of
     reading each file in one task (such files cannot be split).
     """
-    raw = spark.read.option("header", True).option("multiLine", multi_line).csv(path)
+    raw = (
+        spark.read.option("header", True)
+        .option("multiLine", multi_line)
+        .option("escape", '"')  # RFC 4180: a quote inside a quoted field is doubled
+        .csv(path)
+    )
     clean = raw.select(*[normalise_missing(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     text = set(text_columns.get(table, ()))
     fixed = dict(declared.get(table, {}))
@@ -103,7 +114,7 @@ def read_table(spark: SparkSession, path: str, table: str,
         elif types[c] == "date":
             expr = parse_text_date(col)
         else:
-            expr = col.try_cast(types[c])
+            expr = col.cast(types[c])
         out.append(expr.alias(snake_case(c)))
     return clean.select(*out)
 

@@ -14,3 +14,11 @@ def list_entries(spark: SparkSession, folder: str) -> list[tuple[str, bool]]:
     if not fs.exists(path):
         return []
     return sorted((st.getPath().getName(), bool(st.isDirectory())) for st in fs.listStatus(path))
+
+
+def touch(spark: SparkSession, file_path: str) -> None:
+    """Create an empty file (a commit marker), replacing any existing one."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file_path)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.create(path, True).close()

@@ -2,8 +2,9 @@
 
 Replaces the reference's "drop table, create as select" and its "serve the
 newest report file". Each run writes ``<base>/run_ts=<yyyyMMdd_HHmmss>/``
-(plus any layout partitions inside it). A version counts only once its job
-has committed, which Spark marks with a ``_SUCCESS`` file in that folder, so
+(plus any layout partitions inside it). A version counts only once a
+``_COMMITTED`` marker is in its folder; the marker is written last, after
+Spark's job commit (and after the schema file of an empty result), so
 
 * readers never see a half-written version: ``read_latest`` takes the newest
   folder that has the marker, and an in-flight or failed write has none;
@@ -26,9 +27,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.sources.fs import list_entries
+from orderlens.sources.fs import list_entries, touch
 
 RUN_COLUMN = "run_ts"
+COMMIT_MARKER = "_COMMITTED"
 RUN_FORMAT = "%Y%m%d_%H%M%S"
 
 
@@ -48,6 +50,7 @@ def write_snapshot(df: DataFrame, base: str, run_ts: str | None = None,
     if not any(not name.startswith(("_", ".")) for name, _ in list_entries(spark, path)):
         # no row was written: keep the schema so the empty version is readable
         spark.createDataFrame([], df.schema).coalesce(1).write.format(fmt).mode("append").save(path)
+    touch(spark, f"{path}/{COMMIT_MARKER}")
     return run_ts
 
 
@@ -56,12 +59,12 @@ def version_path(base: str, run_ts: str) -> str:
 
 
 def snapshot_versions(spark: SparkSession, base: str) -> list[str]:
-    """Committed versions under ``base`` (folders with ``_SUCCESS``), oldest first."""
+    """Committed versions under ``base`` (folders with the marker), oldest first."""
     prefix = f"{RUN_COLUMN}="
     folders = [name[len(prefix):] for name, is_dir in list_entries(spark, base)
                if is_dir and name.startswith(prefix)]
     return sorted(v for v in folders
-                  if any(n == "_SUCCESS" for n, _ in list_entries(spark, version_path(base, v))))
+                  if any(n == COMMIT_MARKER for n, _ in list_entries(spark, version_path(base, v))))
 
 
 def read_version(spark: SparkSession, base: str, run_ts: str, fmt: str = "parquet") -> DataFrame:

@@ -125,3 +125,40 @@ def test_empty_result_is_a_version_and_uncommitted_folders_are_ignored(spark):
 
 def latest_version_rows(spark, base):
     return read_latest(spark, base).count()
+
+
+def test_doubled_quotes_and_backslashes_in_fields(spark):
+    from orderlens.sources.csv_ingest import read_table
+
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    _write(folder, "SalArea.csv", 'Area,Description,Rank\n01,"say ""hi"", ok",2\n02,"C:\\\\dir\\\\",3\n')
+    rows = sorted(read_table(spark, f"{folder}/SalArea.csv", "SalArea").collect(), key=lambda r: r.area)
+    assert rows[0].description == 'say "hi", ok' and rows[0].rank == 2
+    assert rows[1].description == "C:\\\\dir\\\\" and rows[1].rank == 3
+
+
+def test_integers_beyond_64_bits_stay_exact_text(spark):
+    from orderlens.sources.csv_ingest import read_table
+
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    _write(folder, "ArPayHistory.csv", "Customer,Account\n1,99999999999999999999\n2,12\n")
+    df = read_table(spark, f"{folder}/ArPayHistory.csv", "ArPayHistory")
+    assert dict(df.dtypes)["account"] == "string"
+    assert sorted(r.account for r in df.collect()) == ["12", "99999999999999999999"]
+
+
+def test_declared_numeric_column_with_text_fails_loudly(spark):
+    from orderlens.sources.csv_ingest import read_table
+
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    _write(folder, "InvWarehouse.csv", "StockCode,Warehouse,QtyOnHand\nA,W1,5\nB,W2,lots\n")
+    with pytest.raises(Exception):
+        read_table(spark, f"{folder}/InvWarehouse.csv", "InvWarehouse").collect()
+
+
+def test_uncommitted_version_without_marker_is_skipped(spark):
+    base = tempfile.mkdtemp(prefix="orderlens-snap-") + "/t"
+    write_snapshot(spark.createDataFrame([(1,)], "x int"), base, run_ts="20240101_000000")
+    # a later version whose data is complete but whose marker is not written yet
+    spark.createDataFrame([(2,)], "x int").write.parquet(f"{base}/run_ts=20240102_000000")
+    assert [r.x for r in read_latest(spark, base).collect()] == [1]
