@@ -8,10 +8,14 @@ shuffled for n rows. Each dimension is pre-aggregated per item and then
 left-joined, which replaces the reference's join fan-out and correlated
 subquery.
 
-The reference's ``SUM(QtyOnHand)`` runs after joining warehouses *and*
-prices, so it equals the true warehouse sum times the number of price rows
-(times 1 when there is none). ``total_qty_on_hand`` reproduces that number;
-``qty_on_hand`` is the plain warehouse sum.
+The reference's ``SUM(QtyOnHand)`` runs after joining the item master,
+warehouses *and* prices and grouping by the item master's description,
+supplier and class, so it equals the true warehouse sum times the number of
+price rows (1 when none) times the number of identical item-master rows in
+that group (1 when none). ``total_qty_on_hand`` reproduces that number from
+per-item aggregates; ``qty_on_hand`` is the plain warehouse sum. An item with
+several *different* item-master rows yields one row per variant, as in the
+reference.
 """
 
 from __future__ import annotations
@@ -20,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.text import sql_number_text
-from orderlens.operators.enrich import dedupe_dimension
 from orderlens.plans.broadcast import bounded
 
 # Fixed value: the reference lists the 30 most ordered items.
@@ -75,9 +78,12 @@ def price_summary(price: DataFrame) -> DataFrame:
     )
 
 
-def _fan_out_qty(qty: Column, price_rows: Column) -> Column:
-    """Warehouse sum as the reference's warehouse×price join counts it."""
-    return qty * F.greatest(F.coalesce(price_rows, F.lit(0)), F.lit(1))
+def _fan_out_qty(qty: Column, price_rows: Column, item_rows: Column | None = None) -> Column:
+    """Warehouse sum as the reference's item×warehouse×price join counts it."""
+    factor = F.greatest(F.coalesce(price_rows, F.lit(0)), F.lit(1))
+    if item_rows is not None:
+        factor = factor * F.greatest(F.coalesce(item_rows, F.lit(0)), F.lit(1))
+    return qty * factor
 
 
 def stock_details(warehouse: DataFrame, price: DataFrame) -> DataFrame:
@@ -91,9 +97,9 @@ def stock_details(warehouse: DataFrame, price: DataFrame) -> DataFrame:
         "stock_code",
         "warehouse_qty",
         "price_details",
-        F.col("qty_on_hand").cast("bigint").alias("qty_on_hand"),
+        "qty_on_hand",
         F.coalesce("price_rows", F.lit(0)).cast("bigint").alias("price_rows"),
-        _fan_out_qty(F.col("qty_on_hand"), F.col("price_rows")).cast("bigint").alias("total_qty_on_hand"),
+        _fan_out_qty(F.col("qty_on_hand"), F.col("price_rows")).alias("total_qty_on_hand"),
     )
 
 
@@ -102,20 +108,24 @@ def top_stock(detail: DataFrame, item: DataFrame, warehouse: DataFrame, price: D
     """Columns: stock_code, description, total_order_qty, supplier,
     product_class, warehouse_qty, price_details, total_qty_on_hand (the
     reference's fan-out number, 0 when none), qty_on_hand (plain sum, 0 when
-    none). Ordered by total_order_qty desc.
+    none). Ordered by total_order_qty desc. The item-master side is not
+    broadcast-hinted: its variants per item are not bounded by n.
 
     The description prefers the line's text over the item master's (the
     opposite of the enriched table, as in the reference).
     """
     top = top_items(detail, n)
     keys = bounded(top.select("stock_code"), n)
-    items = dedupe_dimension(
-        item.join(keys, "stock_code", "left_semi"), "stock_code", ["description", "supplier", "product_class"]
+    # item-master variants of the n items, with how many identical rows each has
+    items = (
+        item.join(keys, "stock_code", "left_semi")
+        .groupBy("stock_code", "description", "supplier", "product_class")
+        .agg(F.count(F.lit(1)).alias("item_rows"))
     )
     wh = warehouse_summary(warehouse.join(keys, "stock_code", "left_semi"))
     pr = price_summary(price.join(keys, "stock_code", "left_semi"))
     joined = (
-        top.join(bounded(items, n), "stock_code", "left")
+        top.join(items, "stock_code", "left")
         .join(bounded(wh, n), "stock_code", "left")
         .join(bounded(pr, n), "stock_code", "left")
     )
@@ -127,7 +137,7 @@ def top_stock(detail: DataFrame, item: DataFrame, warehouse: DataFrame, price: D
         "product_class",
         "warehouse_qty",
         "price_details",
-        F.coalesce(_fan_out_qty(F.col("qty_on_hand"), F.col("price_rows")), F.lit(0))
+        F.coalesce(_fan_out_qty(F.col("qty_on_hand"), F.col("price_rows"), F.col("item_rows")), F.lit(0))
         .cast("double").alias("total_qty_on_hand"),
         F.coalesce(F.col("qty_on_hand"), F.lit(0)).cast("double").alias("qty_on_hand"),
     ).orderBy(F.col("total_order_qty").desc_nulls_first(), F.col("stock_code"))

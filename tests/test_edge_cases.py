@@ -160,6 +160,26 @@ def test_fan_out_quantity(spark):
     assert details["S1"].total_qty_on_hand == 60 and details["S2"].price_rows == 0
 
 
+def test_fan_out_counts_identical_item_rows_and_keeps_fractions(spark):
+    import decimal
+
+    detail = frame(spark, DETAIL, [line(stock_code="A", qty=5.0)])
+    items = frame(spark, ITEM, [dict(stock_code="A", description="d", supplier="s", product_class="p"),
+                                dict(stock_code="A", description="d", supplier="s", product_class="p")])
+    wh = frame(spark, WAREHOUSE, [dict(stock_code="A", warehouse="W1", qty_on_hand=10)])
+    pr = frame(spark, PRICE, [dict(stock_code="A", price_code=c, selling_price=decimal.Decimal("1.00"))
+                              for c in "XYZ"])
+    rows = top_stock(detail, items, wh, pr).collect()
+    assert len(rows) == 1 and rows[0].total_qty_on_hand == 60.0 and rows[0].qty_on_hand == 10.0
+    # two different item-master variants: one row each, as the reference's GROUP BY gives
+    variants = frame(spark, ITEM, [dict(stock_code="A", description="d1"), dict(stock_code="A", description="d2")])
+    assert top_stock(detail, variants, wh, pr).count() == 2
+    # fractional warehouse quantities are not truncated
+    frac = spark.createDataFrame([("A", "W1", 2.5), ("A", "W2", 3.25)], "stock_code string, warehouse string, qty_on_hand double")
+    d = stock_details(frac, pr).first()
+    assert d.qty_on_hand == 5.75 and d.total_qty_on_hand == 17.25 and d.warehouse_qty == "W1: 2.5, W2: 3.25"
+
+
 def test_top_stock_description_prefers_line_text(spark):
     detail = frame(spark, DETAIL, [line(stock_code="S1", stock_description=None), line(stock_code="S2", line_no=2)])
     items = frame(spark, ITEM, [dict(stock_code="S1", description="m1", supplier="SUP"),
