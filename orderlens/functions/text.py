@@ -23,24 +23,37 @@ def non_blank(col: Column | str) -> Column:
     return c.isNotNull() & (F.trim(c) != "")
 
 
+def _sql_exponent_text(c: Column) -> Column:
+    """Spark's ``1.0E-5`` / ``1.2345E25`` as SQL prints a double in
+    exponent form: ``1e-05`` / ``1.2345e+25`` (mantissa without a trailing
+    ``.0``, signed exponent of at least two digits)."""
+    text = c.cast("string")
+    mantissa = F.regexp_replace(F.regexp_extract(text, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
+    exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).cast("int")
+    sign = F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+"))
+    formatted = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    return F.when(text.contains("E"), formatted).otherwise(text)
+
+
 def sql_number_text(col: Column | str, data_type: DataType) -> Column:
-    """A number as SQL ``::text`` prints it: ``12`` not ``12.0``, ``12.50`` for
-    a decimal(…,2), and plain notation instead of ``1.2E7`` for doubles."""
+    """A number as SQL ``::text`` prints it: integers and decimals as they are
+    (``12``, ``12.50``); a double in its shortest form, plainly for
+    ``1e-4 <= |x| < 1e15`` (``12``, not ``12.0``; ``12345678.9``, not
+    ``1.23456789E7``) and in exponent form outside (``5e-05``, ``1e+25``)."""
     c = _c(col)
     if isinstance(data_type, (IntegralType, DecimalType)):
         return c.cast("string")
     integral = c == F.floor(c)
-    # plain notation for 1e-5 <= |x| < 1e15: decimal(38,22) keeps all 17
-    # significant digits there (the double converts via its shortest text);
-    # Spark's own text (1.0E-20, 1.0E25, NaN) outside that range
+    # decimal(38,22) keeps all 17 significant digits of a double in the plain
+    # range (the double converts through its shortest text)
     plain = F.regexp_replace(
         F.regexp_replace(c.try_cast("decimal(38,22)").cast("string"), "0+$", ""), r"\.$", ""
     )
-    in_plain_range = (F.abs(c) >= 1e-5) & (F.abs(c) < 1e15)
+    in_plain_range = (F.abs(c) >= 1e-4) & (F.abs(c) < 1e15)
     return (
         F.when(integral & (F.abs(c) < 1e15), c.cast("bigint").cast("string"))
         .when(in_plain_range, F.coalesce(plain, c.cast("string")))
-        .otherwise(c.cast("string"))
+        .otherwise(_sql_exponent_text(c))
     )
 
 

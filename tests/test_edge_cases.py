@@ -299,7 +299,9 @@ def test_sql_number_text(spark):
 
     from orderlens.functions.text import sql_number_text
 
-    values = [12.0, 12.5, 12345678.9, 1e25, float("nan"), None, 1e-20, 0.00012345678901234567, -0.5]
+    values = [12.0, 12.5, 12345678.9, 1e25, float("nan"), None, 1e-20, 0.00012345678901234567, -0.5,
+              0.00005, -1.5e-7, 1.2345e25, 0.0001]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     got = [r.t for r in df.select(sql_number_text("x", DoubleType()).alias("t")).collect()]
-    assert got == ["12", "12.5", "12345678.9", "1.0E25", "NaN", None, "1.0E-20", "0.00012345678901234567", "-0.5"]
+    assert got == ["12", "12.5", "12345678.9", "1e+25", "NaN", None, "1e-20", "0.00012345678901234567", "-0.5",
+                   "5e-05", "-1.5e-07", "1.2345e+25", "0.0001"]
