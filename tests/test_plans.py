@@ -101,3 +101,24 @@ def test_class_share_scalars_reuse_the_class_aggregate(standins):
     assert "ReusedExchange" in text and "ReusedSubquery" in text
     # lineitem (the lines) is read once, by the main query; subqueries reuse its shuffle
     assert text.count("lineitem.parquet") == 1
+
+
+def test_keyset_page_prunes_months_after_the_cursor(stored):
+    import datetime as dt
+
+    from orderlens.operators.detail import detail_after
+
+    _, df = stored
+    q = detail_after(df, [dt.date(1996, 3, 15)], start="1995-01-01", end="1998-12-31", per_page=10)
+    text = plan_text(q)
+    assert "LessThanOrEqual(order_date,1996-03-15)" in text
+    assert "(order_month" in text and "<= 1996-03-01" in text
+    assert all(r.order_date <= dt.date(1996, 3, 15) for r in q.collect())
+
+
+def test_deep_offset_beyond_limit_range_is_refused(stored):
+    from orderlens.operators.detail import detail_page
+
+    _, df = stored
+    with pytest.raises(ValueError, match="keyset"):
+        detail_page(df, page=50_000_000, per_page=50)
