@@ -34,6 +34,7 @@ from orderlens.operators.report import (  # noqa: F401
     category_report,
     latest_report,
     report_headings,
+    resolve_as_of,
     write_report,
 )
 from orderlens.operators.status import status_overview  # noqa: F401

@@ -8,7 +8,9 @@ statistics and partition pruning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.plans.broadcast import bounded
@@ -21,6 +23,26 @@ TEXT_DATE_PATTERN = "M/d/yyyy"
 MAX_SPINE_MONTHS = 9999 * 12
 
 
+def to_date_value(value) -> dt.date:
+    """A date parameter (date, datetime, ``YYYY-MM-DD`` or ``MM/DD/YYYY``) as a date."""
+    if isinstance(value, dt.datetime):
+        return value.date()
+    if isinstance(value, dt.date):
+        return value
+    text = str(value).strip()
+    for fmt in ("%Y-%m-%d", "%m/%d/%Y"):
+        try:
+            return dt.datetime.strptime(text, fmt).date()
+        except ValueError:
+            pass
+    raise ValueError(f"not a date (YYYY-MM-DD or MM/DD/YYYY): {value!r}")
+
+
+def session_today(spark: SparkSession) -> dt.date:
+    """Today by the session clock and time zone (what ``current_date()`` gives)."""
+    return spark.range(1).select(F.current_date()).first()[0]
+
+
 def parse_text_date(col: Column | str, pattern: str = TEXT_DATE_PATTERN) -> Column:
     """Text -> DATE; unparsable or impossible dates (13/45, 02/30) give NULL."""
     return F.try_to_date(F.col(col) if isinstance(col, str) else col, pattern)

@@ -20,7 +20,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from orderlens.operators.enrich import build_enriched
-from orderlens.operators.report import category_report, write_report
+from orderlens.operators.report import category_report, resolve_as_of, write_report
 from orderlens.session import ensure_checkpoint_dir
 from orderlens.sources.csv_ingest import ingest_csv_dir
 from orderlens.sources.layout import read_enriched, write_enriched
@@ -46,6 +46,7 @@ def run_build(spark: SparkSession, store: str, run_ts: str | None = None) -> str
 def run_report(spark: SparkSession, store: str, as_of: dt.date | None = None, bounded: bool = False,
                run_ts: str | None = None) -> str:
     enriched = read_enriched(spark, f"{store.rstrip('/')}/enriched")
+    as_of = resolve_as_of(spark, as_of)  # one date for the data and any headings
     report = category_report(enriched, as_of, bounded, sort=False)
     return write_report(report, f"{store.rstrip('/')}/reports", run_ts)
 

@@ -8,14 +8,13 @@ equalities that reach the parquet scan (``PushedFilters``). ``None`` means
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.dates import month_end, month_start
+from orderlens.functions.dates import month_end, month_start, to_date_value
 
 
 @dataclass(frozen=True)
@@ -54,18 +53,7 @@ def apply_filters(df: DataFrame, filters=None) -> DataFrame:
     return df if pred is None else df.where(pred)
 
 
-def _as_date(value: str | dt.date) -> dt.date:
-    if isinstance(value, dt.datetime):
-        return value.date()
-    if isinstance(value, dt.date):
-        return value
-    text = str(value).strip()
-    for fmt in ("%Y-%m-%d", "%m/%d/%Y"):
-        try:
-            return dt.datetime.strptime(text, fmt).date()
-        except ValueError:
-            pass
-    raise ValueError(f"not a date (YYYY-MM-DD or MM/DD/YYYY): {value!r}")
+_as_date = to_date_value
 
 
 def date_range_predicate(df: DataFrame, start, end) -> Column:

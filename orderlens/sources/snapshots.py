@@ -25,7 +25,6 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from orderlens.sources.fs import list_entries, touch
 

@@ -305,3 +305,12 @@ def test_sql_number_text(spark):
     got = [r.t for r in df.select(sql_number_text("x", DoubleType()).alias("t")).collect()]
     assert got == ["12", "12.5", "12345678.9", "1e+25", "NaN", None, "1e-20", "0.00012345678901234567", "-0.5",
                    "5e-05", "-1.5e-07", "1.2345e+25", "0.0001"]
+
+
+def test_as_of_parsing_matches_other_date_parameters(spark):
+    from orderlens.operators.report import resolve_as_of
+
+    assert resolve_as_of(spark, "12/03/2026") == dt.date(2026, 12, 3)
+    assert resolve_as_of(spark, dt.datetime(2026, 12, 3, 23, 59)) == dt.date(2026, 12, 3)
+    assert isinstance(resolve_as_of(spark, None), dt.date)
+    assert report_headings("Area", "01/10/2024")[3] == "January 2024"
