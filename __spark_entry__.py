@@ -33,7 +33,7 @@ from orderlens.operators.stock import stock_details, top_stock, top_stock_price_
 from orderlens.operators.trend import order_trend  # noqa: E402
 from orderlens.session import ensure_checkpoint_dir  # noqa: E402
 from orderlens.sources.csv_ingest import ingest_csv_dir  # noqa: E402
-from orderlens.sources.layout import read_enriched, write_enriched  # noqa: E402
+from orderlens.sources.layout import read_enriched, stored_month_range, write_enriched  # noqa: E402
 from orderlens.sources.standins import StandIns  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -63,13 +63,17 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_enriched(s.sor_detail, s.sor_master, s.ar_customer, s.inv_master)
 
 
-def _stored_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """The enriched table written with its layout (month partitions, clustered
     files) under the checkpoint folder and read back – the form the reference
-    queries after its one-time build."""
+    queries after its one-time build – and its folder."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/orderlens_enriched/{uuid.uuid4().hex}"
     write_enriched(_enriched(spark, sf_dir), base)
-    return read_enriched(spark, base)
+    return read_enriched(spark, base), base
+
+
+def _stored_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir)[0]
 
 
 def q_enriched(spark, sf_dir):
@@ -102,7 +106,9 @@ def q_default_range(spark, sf_dir):
 
 
 def q_order_trend_stored(spark, sf_dir):
-    return order_trend(_stored_enriched(spark, sf_dir), TREND_FILTERS).select("year_month", "total_order_qty")
+    df, base = _stored(spark, sf_dir)
+    months = stored_month_range(spark, base)  # from the month folders, no scan
+    return order_trend(df, TREND_FILTERS, month_range=months).select("year_month", "total_order_qty")
 
 
 def q_detail_page_stored(spark, sf_dir):

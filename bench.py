@@ -40,7 +40,7 @@ from orderlens.operators.status import status_overview  # noqa: E402
 from orderlens.operators.stock import stock_details, top_stock, top_stock_price_history  # noqa: E402
 from orderlens.operators.trend import order_trend  # noqa: E402
 from orderlens.session import ensure_checkpoint_dir, local_session  # noqa: E402
-from orderlens.sources.layout import read_enriched, write_enriched  # noqa: E402
+from orderlens.sources.layout import read_enriched, stored_month_range, write_enriched  # noqa: E402
 from orderlens.sources.snapshots import RUN_COLUMN, read_latest, write_snapshot  # noqa: E402
 from orderlens.sources.standins import StandIns  # noqa: E402
 from tools.event_metrics import group_metrics  # noqa: E402
@@ -100,11 +100,12 @@ def main() -> None:
 
     timings["enriched_build"] = _time(spark, "enriched_build", build)
     enriched = read_enriched(spark, f"{store}/enriched")
+    months = stored_month_range(spark, f"{store}/enriched")  # folder names, no scan
 
     queries = {
         "status_overview": lambda: status_overview(s.sor_master),
         "filter_options": lambda: filter_options(enriched),
-        "order_trend": lambda: order_trend(enriched, {"customer": "77"}),
+        "order_trend": lambda: order_trend(enriched, {"customer": "77"}, month_range=months),
         "detail_page": lambda: detail_page(enriched, {"branch": "ASIA"}, "1998-01-01", "1998-01-31", 2, 50),
         "detail_count": lambda: detail_count(enriched, {"branch": "ASIA"}, "1998-01-01", "1998-01-31"),
         "default_range": lambda: default_range(enriched),

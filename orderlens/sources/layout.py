@@ -22,8 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import calendar
+import datetime as dt
+
 from orderlens.functions.dates import month_start
-from orderlens.sources.snapshots import read_latest, write_snapshot
+from orderlens.sources.fs import list_entries
+from orderlens.sources.snapshots import read_latest, snapshot_versions, version_path, write_snapshot
 
 CLUSTER_COLUMNS = ("branch", "area", "customer", "product_class", "salesperson")
 RANGE_KEY = ("order_month", "branch", "area", "customer", "sales_order", "sales_order_line")
@@ -47,3 +51,32 @@ def write_enriched(enriched: DataFrame, base: str, run_ts: str | None = None,
 def read_enriched(spark: SparkSession, base: str) -> DataFrame:
     """The newest enriched version (keeps ``order_month`` for partition pruning)."""
     return read_latest(spark, base).drop("run_ts")
+
+
+def stored_month_range(spark: SparkSession, base: str) -> tuple[dt.date, dt.date] | None:
+    """First and last ``order_month`` of the newest version, read from its
+    folder names: one directory listing, no data file is opened. A month
+    folder exists only when rows were written to it; NULL dates (the default
+    partition) are not a month. ``None`` when there is no dated line."""
+    versions = snapshot_versions(spark, base)
+    if not versions:
+        raise FileNotFoundError(f"no snapshot under {base}")
+    prefix = "order_month="
+    months = []
+    for name, is_dir in list_entries(spark, version_path(base, versions[-1])):
+        if is_dir and name.startswith(prefix):
+            try:
+                months.append(dt.date.fromisoformat(name[len(prefix):]))
+            except ValueError:  # __HIVE_DEFAULT_PARTITION__
+                continue
+    return (min(months), max(months)) if months else None
+
+
+def stored_default_range(spark: SparkSession, base: str) -> tuple[dt.date, dt.date] | None:
+    """The detail page's default range (first day of the first month, last
+    day of the last month) from the month folders alone."""
+    rng = stored_month_range(spark, base)
+    if rng is None:
+        return None
+    lo, hi = rng
+    return lo, hi.replace(day=calendar.monthrange(hi.year, hi.month)[1])

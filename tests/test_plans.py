@@ -122,3 +122,22 @@ def test_deep_offset_beyond_limit_range_is_refused(stored):
     _, df = stored
     with pytest.raises(ValueError, match="keyset"):
         detail_page(df, page=50_000_000, per_page=50)
+
+
+def test_stored_month_range_from_folders_matches_the_data(stored, enriched, spark):
+    from pyspark.sql import functions as F
+
+    from orderlens.operators.filters import default_range
+    from orderlens.sources.layout import stored_default_range, stored_month_range
+
+    base, df = stored
+    lo, hi = stored_month_range(spark, base)
+    row = enriched.agg(F.min("order_date").alias("a"), F.max("order_date").alias("b")).first()
+    assert (lo, hi) == (row.a.replace(day=1), row.b.replace(day=1))
+    rng = default_range(enriched).first()
+    assert stored_default_range(spark, base) == (rng.min_date, rng.max_date)
+    # the trend with the folder range reads the table once, filtered
+    text = plan_text(order_trend(df, {"customer": "77"}, month_range=(lo, hi)), "formatted")
+    assert sum(1 for line in text.splitlines() if line.startswith("(") and "Scan parquet" in line) == 1
+    assert [tuple(r) for r in order_trend(df, {"customer": "77"}, month_range=(lo, hi)).collect()] == \
+        [tuple(r) for r in order_trend(df, {"customer": "77"}).collect()]
