@@ -164,25 +164,23 @@ def q_latest_report(spark, sf_dir):
     return latest_report(spark, base).drop("run_ts")
 
 
-def _ingested(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Stand-in header and line tables written as reference CSV extracts,
-    then loaded back through the CSV ingest (text overrides, NA tokens, date
-    parsing, type inference)."""
+def _ingested(spark: SparkSession, sf_dir: str, table: str, attr: str) -> DataFrame:
+    """A stand-in table written as a reference CSV extract, then loaded back
+    through the CSV ingest (text overrides, NA tokens, date parsing, type
+    inference)."""
     from tools.csv_extract import write_extract
 
-    s = _standins(spark, sf_dir)
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/orderlens_extracts/{uuid.uuid4().hex}"
-    write_extract(s.sor_detail, folder, "SorDetailRep")
-    write_extract(s.sor_master, folder, "SorMasterRep")
-    return ingest_csv_dir(spark, folder)
+    write_extract(getattr(_standins(spark, sf_dir), attr), folder, table)
+    return ingest_csv_dir(spark, folder)[attr]
 
 
 def q_ingest_sor_detail(spark, sf_dir):
-    return _dates_as_text(_ingested(spark, sf_dir)["sor_detail"])
+    return _dates_as_text(_ingested(spark, sf_dir, "SorDetailRep", "sor_detail"))
 
 
 def q_ingest_sor_master(spark, sf_dir):
-    return _dates_as_text(_ingested(spark, sf_dir)["sor_master"])
+    return _dates_as_text(_ingested(spark, sf_dir, "SorMasterRep", "sor_master"))
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -49,6 +49,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 AS_OF = dt.date(2000, 3, 15)
+BENCH_RUN_TS = "20000101_000000"  # one fixed version name, rewritten by each run
 
 
 def _sf(path: str) -> str:
@@ -88,7 +89,7 @@ def main() -> None:
 
     def load():
         for t in tables:
-            write_snapshot(getattr(views, t), f"{store}/{t}", run_ts="bench")
+            write_snapshot(getattr(views, t), f"{store}/{t}", run_ts=BENCH_RUN_TS)
 
     setup = {"load_tables": _time(spark, "load_tables", load)}
     timings = {}
@@ -96,7 +97,7 @@ def main() -> None:
 
     def build():
         e = build_enriched(s.sor_detail, s.sor_master, s.ar_customer, s.inv_master)
-        write_enriched(e, f"{store}/enriched", run_ts="bench")
+        write_enriched(e, f"{store}/enriched", run_ts=BENCH_RUN_TS)
 
     timings["enriched_build"] = _time(spark, "enriched_build", build)
     enriched = read_enriched(spark, f"{store}/enriched")

@@ -24,13 +24,27 @@ from orderlens.operators.report import category_report, resolve_as_of, write_rep
 from orderlens.session import ensure_checkpoint_dir
 from orderlens.sources.csv_ingest import ingest_csv_dir
 from orderlens.sources.layout import read_enriched, write_enriched
-from orderlens.sources.snapshots import RUN_COLUMN, read_latest
+from orderlens.plans.config import SCALE_CONFS
+from orderlens.sources.snapshots import RUN_COLUMN, latest_common_version, read_version
 
 BUILD_INPUTS = ("sor_detail", "sor_master", "ar_customer", "inv_master")
 
 
-def _latest(spark: SparkSession, store: str, table: str):
-    return read_latest(spark, f"{store.rstrip('/')}/{table}").drop(RUN_COLUMN)
+def _tables_of_one_load(spark: SparkSession, store: str, tables) -> list:
+    """The given tables at the newest version committed for *all* of them
+    (one ingest run), never a mix of a new and an old load."""
+    bases = [f"{store.rstrip('/')}/{t}" for t in tables]
+    version = latest_common_version(spark, bases)
+    return [read_version(spark, b, version).drop(RUN_COLUMN) for b in bases]
+
+
+def apply_scale_confs(spark: SparkSession) -> None:
+    """The engine settings of ``plans.config`` for every one the cluster did
+    not set itself."""
+    submitted = spark.sparkContext.getConf()
+    for key, value in SCALE_CONFS.items():
+        if not submitted.contains(key):
+            spark.conf.set(key, value)
 
 
 def run_ingest(spark: SparkSession, csv_dir: str, store: str, run_ts: str | None = None) -> list[str]:
@@ -38,7 +52,7 @@ def run_ingest(spark: SparkSession, csv_dir: str, store: str, run_ts: str | None
 
 
 def run_build(spark: SparkSession, store: str, run_ts: str | None = None) -> str:
-    detail, master, customer, item = (_latest(spark, store, t) for t in BUILD_INPUTS)
+    detail, master, customer, item = _tables_of_one_load(spark, store, BUILD_INPUTS)
     enriched = build_enriched(detail, master, customer, item)
     return write_enriched(enriched, f"{store.rstrip('/')}/enriched", run_ts)
 
@@ -68,6 +82,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.appName(f"orderlens-{args.step}").getOrCreate()
+    apply_scale_confs(spark)
     ensure_checkpoint_dir(spark)
     if args.step == "ingest":
         print("ingested:", ", ".join(run_ingest(spark, args.csv, args.store, args.run_ts)))

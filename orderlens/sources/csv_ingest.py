@@ -22,9 +22,13 @@ from pyspark.sql import functions as F
 from orderlens.functions.dates import parse_text_date
 from orderlens.sources.fs import list_entries
 from orderlens.sources.schemas import DECLARED_TYPES, NA_TOKENS, TEXT_COLUMNS, snake_case, table_alias
-from orderlens.sources.snapshots import RUN_COLUMN, read_version, write_snapshot
+from orderlens.sources.snapshots import RUN_COLUMN, new_run_ts, read_version, write_snapshot
 
 _INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+# a float as a CSV reader reads one: digits, a point, an exponent, or inf
+_FLOAT_TEXT = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI]nf(inity)?)\s*$"
+# The text a pandas-default reader takes as booleans.
+BOOL_TEXT = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
 def list_csv_files(spark: SparkSession, in_dir: str) -> list[str]:
@@ -54,29 +58,40 @@ def normalise_missing(col: Column, tokens: Sequence[str] = NA_TOKENS) -> Column:
 
 
 def infer_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """Type of each text column from its non-NULL values: bigint if all are
-    integers that fit in 64 bits, double if all parse as numbers, else
-    string. Integer-like text beyond 64 bits stays text (exact), rather than
-    becoming NULL or a rounded double. One aggregate."""
+    """Type of each text column from its values, as a pandas-default CSV
+    reader decides it: ``bigint`` if every value is an integer that fits in
+    64 bits and none is missing; ``double`` if every present value is a number
+    (integers with gaps, and all-missing columns, included); ``boolean`` for
+    True/False text; else ``string``. Integer text beyond 64 bits stays text
+    (exact) rather than a rounded double. One aggregate, one row back."""
     if not columns:
         return {}
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         col = F.col(f"`{c}`")
+        is_int = col.rlike(_INTEGER_TEXT)
         aggs += [
             F.count(col).alias(f"n{i}"),
-            F.count(F.when(col.rlike(_INTEGER_TEXT), 1)).alias(f"i{i}"),
-            F.count(F.when(col.rlike(_INTEGER_TEXT) & col.try_cast("bigint").isNotNull(), 1)).alias(f"l{i}"),
-            F.count(col.try_cast("double")).alias(f"d{i}"),
+            F.count(F.when(is_int, 1)).alias(f"i{i}"),
+            F.count(F.when(is_int & col.try_cast("bigint").isNotNull(), 1)).alias(f"l{i}"),
+            F.count(F.when(col.rlike(_FLOAT_TEXT) & col.try_cast("double").isNotNull(), 1)).alias(f"d{i}"),
+            F.count(F.when(col.isin(*BOOL_TEXT), 1)).alias(f"b{i}"),
         ]
     counts = df.agg(*aggs).first()
-    types = {}
+    rows, types = counts["rows"], {}
     for i, c in enumerate(columns):
-        n, ints, longs, dbls = counts[f"n{i}"], counts[f"i{i}"], counts[f"l{i}"], counts[f"d{i}"]
-        if n > 0 and longs == n:
+        n, ints, longs = counts[f"n{i}"], counts[f"i{i}"], counts[f"l{i}"]
+        dbls, bools = counts[f"d{i}"], counts[f"b{i}"]
+        if n == 0:
+            types[c] = "double" if rows > 0 else "string"
+        elif longs == n and n == rows:
             types[c] = "bigint"
-        elif n > 0 and ints < n and dbls == n:
+        elif ints == n and longs < n:
+            types[c] = "string"  # integers beyond 64 bits: keep the exact text
+        elif dbls == n:
             types[c] = "double"
+        elif bools == n:
+            types[c] = "boolean"
         else:
             types[c] = "string"
     return types
@@ -93,12 +108,15 @@ def read_table(spark: SparkSession, path: str, table: str,
     fails the job (under ANSI) instead of becoming NULL; inferred columns are
     cast only to a type every value was checked to have.
     ``multi_line=True`` allows quoted fields with line breaks, at the price of
-    reading each file in one task (such files cannot be split).
+    reading each file in one task (such files cannot be split); without it a
+    file with such fields fails to load (FAILFAST) instead of being misread.
+    Unparsable dates in declared date columns become NULL (FIXTURES decision).
     """
     raw = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
         .option("escape", '"')  # RFC 4180: a quote inside a quoted field is doubled
+        .option("mode", "FAILFAST")  # a malformed row fails the load, never shifts values
         .csv(path)
     )
     clean = raw.select(*[normalise_missing(F.col(f"`{c}`")).alias(c) for c in raw.columns])
@@ -113,6 +131,8 @@ def read_table(spark: SparkSession, path: str, table: str,
             expr = col
         elif types[c] == "date":
             expr = parse_text_date(col)
+        elif types[c] == "boolean":
+            expr = col.isin("True", "TRUE", "true")  # only BOOL_TEXT values are here
         else:
             expr = col.cast(types[c])
         out.append(expr.alias(snake_case(c)))
@@ -126,6 +146,7 @@ def ingest_csv_dir(spark: SparkSession, in_dir: str, out_dir: str | None = None,
     written parquet (later jobs do not parse the CSV again); otherwise return
     the typed CSV readers. Keys are the table aliases."""
     files = table_files(list_csv_files(spark, in_dir))
+    run_ts = run_ts or new_run_ts()  # one version name for the whole load
     tables = {}
     for table, path in sorted(files.items()):
         df = read_table(spark, path, table, **kwargs)

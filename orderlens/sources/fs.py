@@ -22,3 +22,12 @@ def touch(spark: SparkSession, file_path: str) -> None:
     path = jvm.org.apache.hadoop.fs.Path(file_path)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.create(path, True).close()
+
+
+def delete(spark: SparkSession, file_path: str) -> None:
+    """Remove a file if it exists."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file_path)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, False)

@@ -7,12 +7,15 @@ layout:
 * ``partitionBy(order_month)`` – a date-range filter (detail page) prunes
   whole month directories; ``filters.date_range_predicate`` adds the month
   predicate for that;
-* ``repartitionByRange(order_month, branch, area, customer, sales_order,
-  sales_order_line)`` before the write – the sampled range boundaries split
-  even a month, customer or order holding a third of the lines over many
-  tasks (the trailing order/line keys make the range key nearly unique), and
-  every file covers a narrow, sorted key range, so parquet min/max statistics
-  skip row groups for equality filters on the leading columns;
+* by default a ``rebalance`` on ``order_month`` before the write: AQE sizes
+  the write tasks from the data (about ``advisoryPartitionSizeInBytes``
+  each, no fixed count) and splits a month holding a third of the lines over
+  many tasks; each file is sorted on the filter columns, so parquet min/max
+  statistics skip row groups for equality filters;
+* with an explicit ``num_files``, ``repartitionByRange(order_month, branch,
+  area, customer, sales_order, sales_order_line)`` instead – every file then
+  covers one narrow key range (the trailing order/line keys let the sampled
+  bounds split any hot prefix);
 * a new snapshot version per build (see ``snapshots``): readers keep the
   previous version until the new one is committed.
 """
@@ -37,13 +40,16 @@ def write_enriched(enriched: DataFrame, base: str, run_ts: str | None = None,
                    num_files: int | None = None) -> str:
     """Write a new version of the enriched table under ``base``; returns run_ts.
 
-    ``num_files`` is the number of write tasks (default: the session's
-    shuffle partition count).
+    ``num_files``: ``None`` lets AQE size the write tasks (rebalance);
+    a number gives that many range-partitioned write tasks.
     """
-    spark = enriched.sparkSession
-    n = num_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     with_month = enriched.withColumn("order_month", month_start("order_date"))
-    laid_out = with_month.repartitionByRange(n, *[F.col(c) for c in RANGE_KEY if c in with_month.columns])
+    if num_files is None:
+        laid_out = with_month.hint("rebalance", "order_month")
+    else:
+        laid_out = with_month.repartitionByRange(
+            num_files, *[F.col(c) for c in RANGE_KEY if c in with_month.columns]
+        )
     return write_snapshot(laid_out, base, run_ts, partition_by=("order_month",),
                           sort_within=CLUSTER_COLUMNS)
 

@@ -22,30 +22,46 @@ version is read with ``basePath`` so ``run_ts`` stays a column.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from orderlens.sources.fs import list_entries, touch
+from orderlens.sources.fs import delete, list_entries, touch
 
 RUN_COLUMN = "run_ts"
 COMMIT_MARKER = "_COMMITTED"
 RUN_FORMAT = "%Y%m%d_%H%M%S"
+RUN_PATTERN = re.compile(r"[0-9]{8}_[0-9]{6}")
 
 
 def new_run_ts(now: dt.datetime | None = None) -> str:
     return (now or dt.datetime.now(dt.timezone.utc)).strftime(RUN_FORMAT)
 
 
+def check_run_ts(run_ts: str) -> str:
+    """Versions are ordered by name, so every name must be a ``yyyyMMdd_HHmmss``
+    stamp: an ad-hoc name would sort after (and shadow) later versions."""
+    if not RUN_PATTERN.fullmatch(run_ts or ""):
+        raise ValueError(f"run_ts must look like 20240131_235959, got {run_ts!r}")
+    return run_ts
+
+
 def write_snapshot(df: DataFrame, base: str, run_ts: str | None = None,
                    partition_by: Sequence[str] = (), sort_within: Sequence[str | Column] = (),
                    fmt: str = "parquet") -> str:
     """Write ``df`` as version ``run_ts`` under ``base``; returns the run_ts."""
-    run_ts = run_ts or new_run_ts()
+    run_ts = check_run_ts(run_ts or new_run_ts())
     path = version_path(base, run_ts)
-    out = df.sortWithinPartitions(*partition_by, *sort_within) if sort_within else df
-    out.write.format(fmt).mode("overwrite").partitionBy(*partition_by).save(path)
     spark = df.sparkSession
+    # a rewrite of the same version is uncommitted from its first moment
+    delete(spark, f"{path}/{COMMIT_MARKER}")
+    out = df.sortWithinPartitions(*partition_by, *sort_within) if sort_within else df
+    (
+        out.write.format(fmt).mode("overwrite")
+        .option("partitionOverwriteMode", "static")  # replace the whole version folder
+        .partitionBy(*partition_by).save(path)
+    )
     if not any(not name.startswith(("_", ".")) for name, _ in list_entries(spark, path)):
         # no row was written: keep the schema so the empty version is readable
         spark.createDataFrame([], df.schema).coalesce(1).write.format(fmt).mode("append").save(path)
@@ -70,6 +86,19 @@ def read_version(spark: SparkSession, base: str, run_ts: str, fmt: str = "parque
     return spark.read.format(fmt).option("basePath", base).load(version_path(base, run_ts))
 
 
+def latest_common_version(spark: SparkSession, bases: Sequence[str]) -> str:
+    """The newest version committed in *every* one of ``bases`` – so tables
+    written by one run (one run_ts) are read together, never a new table
+    with an old one after a partial failure."""
+    common = None
+    for base in bases:
+        versions = set(snapshot_versions(spark, base))
+        common = versions if common is None else common & versions
+    if not common:
+        raise FileNotFoundError(f"no version committed in all of {list(bases)}")
+    return max(common)
+
+
 def read_latest(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame:
     """The newest snapshot under ``base`` (all of its rows, ``run_ts`` kept)."""
     versions = snapshot_versions(spark, base)

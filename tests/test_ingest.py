@@ -44,11 +44,11 @@ def test_codes_kept_na_tokens_null_blanks_kept(spark):
     assert df.columns == ["stock_code", "warehouse", "qty_on_hand", "bin", "note"]
     types = dict(df.dtypes)
     assert types["stock_code"] == "string" and types["qty_on_hand"] == "double"
-    assert types["bin"] == "bigint" and types["note"] == "string"
+    assert types["bin"] == "double" and types["note"] == "string"  # integers with a gap: double
     rows = sorted(df.collect(), key=lambda r: r.warehouse)
     assert [r.stock_code for r in rows] == ["0012", None, None, "  "]
     assert [r.qty_on_hand for r in rows] == [5.0, None, 2.5, 1.0]
-    assert [r.bin for r in rows] == [7, 8, None, 9]
+    assert [r.bin for r in rows] == [7.0, 8.0, None, 9.0]
     assert rows[3].note is None
 
 
@@ -162,3 +162,40 @@ def test_uncommitted_version_without_marker_is_skipped(spark):
     # a later version whose data is complete but whose marker is not written yet
     spark.createDataFrame([(2,)], "x int").write.parquet(f"{base}/run_ts=20240102_000000")
     assert [r.x for r in read_latest(spark, base).collect()] == [1]
+
+
+def test_inference_follows_a_pandas_reader(spark):
+    from orderlens.sources.csv_ingest import read_table
+
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    _write(folder, "SalBranch.csv", "Branch,Count,Ratio,Flag,Code,Empty\n01,1,1.5,True,1d,\n02,2,2,false,2f,\n")
+    df = read_table(spark, f"{folder}/SalBranch.csv", "SalBranch")
+    types = dict(df.dtypes)
+    assert (types["count"], types["ratio"], types["flag"], types["code"], types["empty"]) == \
+        ("bigint", "double", "boolean", "string", "double")
+    assert sorted((r.flag, r.code) for r in df.collect()) == [(False, "2f"), (True, "1d")]
+
+
+def test_malformed_row_fails_the_load(spark):
+    from orderlens.sources.csv_ingest import read_table
+
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    _write(folder, "SalArea.csv", 'Area,Description\n01,"Suite 4\nBuilding B"\n02,plain\n')
+    with pytest.raises(Exception):
+        read_table(spark, f"{folder}/SalArea.csv", "SalArea").collect()
+
+
+def test_version_names_are_timestamps(spark):
+    with pytest.raises(ValueError):
+        write_snapshot(spark.createDataFrame([(1,)], "x int"), tempfile.mkdtemp() + "/t", run_ts="retry1")
+
+
+def test_build_reads_one_load_never_a_mix(spark):
+    from orderlens.sources.snapshots import latest_common_version
+
+    store = tempfile.mkdtemp(prefix="orderlens-snap-")
+    one = spark.createDataFrame([(1,)], "x int")
+    for t in ("a", "b"):
+        write_snapshot(one, f"{store}/{t}", run_ts="20240101_000000")
+    write_snapshot(one, f"{store}/a", run_ts="20240102_000000")  # a later load that stopped after table a
+    assert latest_common_version(spark, [f"{store}/a", f"{store}/b"]) == "20240101_000000"

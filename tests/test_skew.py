@@ -85,7 +85,7 @@ def test_layout_write_splits_a_hot_customer_month(spark, skewed):
     hot_master = master.withColumn("customer", F.lit("C0")).withColumn("order_date", F.lit("2024-01-15").cast("date"))
     e = build_enriched(detail, hot_master, customer, item)
     base = tempfile.mkdtemp(prefix="orderlens-hot-") + "/e"
-    write_enriched(e, base, run_ts="x", num_files=6)
+    write_enriched(e, base, run_ts="20240101_000000", num_files=6)
     written = spark.read.parquet(base)
     assert written.count() == 3000
     files = written.inputFiles()

@@ -22,6 +22,7 @@ def write_extract(df: DataFrame, folder: str, table: str) -> str:
     (
         df.select(*cols).write.mode("overwrite")
         .option("header", True)
+        .option("escape", '"')  # RFC 4180 doubled quotes, as the reader expects
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
