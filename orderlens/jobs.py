@@ -25,17 +25,15 @@ from orderlens.session import ensure_checkpoint_dir
 from orderlens.sources.csv_ingest import ingest_csv_dir
 from orderlens.sources.layout import read_enriched, write_enriched
 from orderlens.plans.config import SCALE_CONFS
-from orderlens.sources.snapshots import RUN_COLUMN, latest_common_version, read_version
+from orderlens.sources.snapshots import RUN_COLUMN, read_latest
 
 BUILD_INPUTS = ("sor_detail", "sor_master", "ar_customer", "inv_master")
 
 
-def _tables_of_one_load(spark: SparkSession, store: str, tables) -> list:
-    """The given tables at the newest version committed for *all* of them
-    (one ingest run), never a mix of a new and an old load."""
-    bases = [f"{store.rstrip('/')}/{t}" for t in tables]
-    version = latest_common_version(spark, bases)
-    return [read_version(spark, b, version).drop(RUN_COLUMN) for b in bases]
+def _latest(spark: SparkSession, store: str, table: str):
+    """Newest committed version of a table (loads commit all their tables
+    together, so these are never half of a failed load)."""
+    return read_latest(spark, f"{store.rstrip('/')}/{table}").drop(RUN_COLUMN)
 
 
 def apply_scale_confs(spark: SparkSession) -> None:
@@ -52,7 +50,7 @@ def run_ingest(spark: SparkSession, csv_dir: str, store: str, run_ts: str | None
 
 
 def run_build(spark: SparkSession, store: str, run_ts: str | None = None) -> str:
-    detail, master, customer, item = _tables_of_one_load(spark, store, BUILD_INPUTS)
+    detail, master, customer, item = (_latest(spark, store, t) for t in BUILD_INPUTS)
     enriched = build_enriched(detail, master, customer, item)
     return write_enriched(enriched, f"{store.rstrip('/')}/enriched", run_ts)
 

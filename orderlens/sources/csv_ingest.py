@@ -22,7 +22,13 @@ from pyspark.sql import functions as F
 from orderlens.functions.dates import parse_text_date
 from orderlens.sources.fs import list_entries
 from orderlens.sources.schemas import DECLARED_TYPES, NA_TOKENS, TEXT_COLUMNS, snake_case, table_alias
-from orderlens.sources.snapshots import RUN_COLUMN, new_run_ts, read_version, write_snapshot
+from orderlens.sources.snapshots import (
+    RUN_COLUMN,
+    commit_version,
+    new_run_ts,
+    read_version,
+    write_snapshot,
+)
 
 _INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 # a float as a CSV reader reads one: digits, a point, an exponent, or inf
@@ -144,16 +150,25 @@ def ingest_csv_dir(spark: SparkSession, in_dir: str, out_dir: str | None = None,
     """Read every CSV table under ``in_dir``. With ``out_dir``, write each to
     ``out_dir/<alias>`` as a snapshot version and return readers of the
     written parquet (later jobs do not parse the CSV again); otherwise return
-    the typed CSV readers. Keys are the table aliases."""
+    the typed CSV readers. Keys are the table aliases.
+
+    A load is committed as a whole: every table is written first, the
+    versions become visible only after the last one is written. A load that
+    fails halfway leaves all tables at their previous versions, so the build
+    never joins new lines to old headers; a load of only some tables is fine.
+    """
     files = table_files(list_csv_files(spark, in_dir))
     run_ts = run_ts or new_run_ts()  # one version name for the whole load
-    tables = {}
+    tables, written = {}, []
     for table, path in sorted(files.items()):
         df = read_table(spark, path, table, **kwargs)
         alias = table_alias(table)
         if out_dir:
             base = f"{out_dir.rstrip('/')}/{alias}"
-            version = write_snapshot(df, base, run_ts=run_ts)
-            df = read_version(spark, base, version).drop(RUN_COLUMN)
+            write_snapshot(df, base, run_ts=run_ts, commit=False)
+            written.append(base)
+            df = read_version(spark, base, run_ts).drop(RUN_COLUMN)
         tables[alias] = df
+    for base in written:
+        commit_version(spark, base, run_ts)
     return tables

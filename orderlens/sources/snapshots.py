@@ -49,8 +49,11 @@ def check_run_ts(run_ts: str) -> str:
 
 def write_snapshot(df: DataFrame, base: str, run_ts: str | None = None,
                    partition_by: Sequence[str] = (), sort_within: Sequence[str | Column] = (),
-                   fmt: str = "parquet") -> str:
-    """Write ``df`` as version ``run_ts`` under ``base``; returns the run_ts."""
+                   fmt: str = "parquet", commit: bool = True) -> str:
+    """Write ``df`` as version ``run_ts`` under ``base``; returns the run_ts.
+
+    ``commit=False`` leaves the version invisible until ``commit_version`` –
+    for writing several tables that must appear together."""
     run_ts = check_run_ts(run_ts or new_run_ts())
     path = version_path(base, run_ts)
     spark = df.sparkSession
@@ -65,10 +68,16 @@ def write_snapshot(df: DataFrame, base: str, run_ts: str | None = None,
     if not any(not name.startswith(("_", ".")) for name, _ in list_entries(spark, path)):
         # no row was written: keep the schema so the empty version is readable
         spark.createDataFrame([], df.schema).coalesce(1).write.format(fmt).mode("append").save(path)
-    touch(spark, f"{path}/{COMMIT_MARKER}")
+    if commit:
+        commit_version(spark, base, run_ts)
     return run_ts
 
 
+def commit_version(spark: SparkSession, base: str, run_ts: str) -> None:
+    """Make a written version visible to readers (its marker, written last)."""
+    touch(spark, f"{version_path(base, run_ts)}/{COMMIT_MARKER}")
+
+
 def version_path(base: str, run_ts: str) -> str:
     return f"{base.rstrip('/')}/{RUN_COLUMN}={run_ts}"
 
@@ -86,19 +95,6 @@ def read_version(spark: SparkSession, base: str, run_ts: str, fmt: str = "parque
     return spark.read.format(fmt).option("basePath", base).load(version_path(base, run_ts))
 
 
-def latest_common_version(spark: SparkSession, bases: Sequence[str]) -> str:
-    """The newest version committed in *every* one of ``bases`` – so tables
-    written by one run (one run_ts) are read together, never a new table
-    with an old one after a partial failure."""
-    common = None
-    for base in bases:
-        versions = set(snapshot_versions(spark, base))
-        common = versions if common is None else common & versions
-    if not common:
-        raise FileNotFoundError(f"no version committed in all of {list(bases)}")
-    return max(common)
-
-
 def read_latest(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame:
     """The newest snapshot under ``base`` (all of its rows, ``run_ts`` kept)."""
     versions = snapshot_versions(spark, base)

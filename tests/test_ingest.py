@@ -190,12 +190,27 @@ def test_version_names_are_timestamps(spark):
         write_snapshot(spark.createDataFrame([(1,)], "x int"), tempfile.mkdtemp() + "/t", run_ts="retry1")
 
 
-def test_build_reads_one_load_never_a_mix(spark):
-    from orderlens.sources.snapshots import latest_common_version
-
-    store = tempfile.mkdtemp(prefix="orderlens-snap-")
-    one = spark.createDataFrame([(1,)], "x int")
-    for t in ("a", "b"):
-        write_snapshot(one, f"{store}/{t}", run_ts="20240101_000000")
-    write_snapshot(one, f"{store}/a", run_ts="20240102_000000")  # a later load that stopped after table a
-    assert latest_common_version(spark, [f"{store}/a", f"{store}/b"]) == "20240101_000000"
+def test_a_load_becomes_visible_as_a_whole(spark, monkeypatch):
+    from orderlens.sources import csv_ingest
+
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    store = tempfile.mkdtemp(prefix="orderlens-store-")
+    _write(folder, "SalArea.csv", "Area,Description\n01,North\n")
+    _write(folder, "SalBranch.csv", "Branch,Description\n01,Main\n")
+    ingest_csv_dir(spark, folder, store, run_ts="20240101_000000")
+    _write(folder, "SalArea.csv", "Area,Description\n02,South\n")
+    real = csv_ingest.read_table
+
+    def failing(spark_, path, table, **kw):  # the second table of the next load fails
+        if table == "SalBranch":
+            raise RuntimeError("executor lost for good")
+        return real(spark_, path, table, **kw)
+
+    monkeypatch.setattr(csv_ingest, "read_table", failing)
+    with pytest.raises(RuntimeError):
+        ingest_csv_dir(spark, folder, store, run_ts="20240102_000000")
+    # the half-written load is invisible: SalArea still reads its previous version
+    assert [r.area for r in read_latest(spark, f"{store}/sal_area").collect()] == ["01"]
+    monkeypatch.setattr(csv_ingest, "read_table", real)
+    ingest_csv_dir(spark, folder, store, run_ts="20240102_000000")
+    assert [r.area for r in read_latest(spark, f"{store}/sal_area").collect()] == ["02"]
