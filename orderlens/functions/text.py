@@ -31,7 +31,10 @@ def _sql_exponent_text(c: Column) -> Column:
     mantissa = F.regexp_replace(F.regexp_extract(text, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
     exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).cast("int")
     sign = F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+"))
-    formatted = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    digits = F.abs(exponent).cast("string")
+    # lpad would also cut longer text: pad only one-digit exponents
+    digits = F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
+    formatted = F.concat(mantissa, F.lit("e"), sign, digits)
     return F.when(text.contains("E"), formatted).otherwise(text)
 
 

@@ -300,11 +300,11 @@ def test_sql_number_text(spark):
     from orderlens.functions.text import sql_number_text
 
     values = [12.0, 12.5, 12345678.9, 1e25, float("nan"), None, 1e-20, 0.00012345678901234567, -0.5,
-              0.00005, -1.5e-7, 1.2345e25, 0.0001]
+              0.00005, -1.5e-7, 1.2345e25, 0.0001, 1e100, 4.9e-324]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     got = [r.t for r in df.select(sql_number_text("x", DoubleType()).alias("t")).collect()]
     assert got == ["12", "12.5", "12345678.9", "1e+25", "NaN", None, "1e-20", "0.00012345678901234567", "-0.5",
-                   "5e-05", "-1.5e-07", "1.2345e+25", "0.0001"]
+                   "5e-05", "-1.5e-07", "1.2345e+25", "0.0001", "1e+100", "4.9e-324"]
 
 
 def test_as_of_parsing_matches_other_date_parameters(spark):
@@ -314,3 +314,6 @@ def test_as_of_parsing_matches_other_date_parameters(spark):
     assert resolve_as_of(spark, dt.datetime(2026, 12, 3, 23, 59)) == dt.date(2026, 12, 3)
     assert isinstance(resolve_as_of(spark, None), dt.date)
     assert report_headings("Area", "01/10/2024")[3] == "January 2024"
+    assert report_headings("Area", spark=spark)[3] == report_headings("Area", resolve_as_of(spark, None))[3]
+    with pytest.raises(ValueError):
+        report_headings("Area")
