@@ -40,16 +40,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (local tests) is a scratch folder created and registered.
+    ``spark.checkpoint.dir`` is read from the session (Spark applies it to the
+    context at start). Only when it is unset and the master is local (tests)
+    is a scratch folder registered with ``setCheckpointDir``; the setting
+    itself is never modified on a running session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder on the cluster")
-    scratch = tempfile.mkdtemp(prefix="orderlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    spark.sparkContext.setCheckpointDir(scratch)
-    return scratch
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="orderlens-ckpt-"))
+    return sc.getCheckpointDir()
