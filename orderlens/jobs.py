@@ -25,9 +25,11 @@ from orderlens.session import ensure_checkpoint_dir
 from orderlens.sources.csv_ingest import ingest_csv_dir
 from orderlens.sources.layout import read_enriched, write_enriched
 from orderlens.plans.config import SCALE_CONFS
-from orderlens.sources.snapshots import RUN_COLUMN, read_latest
+from orderlens.sources.snapshots import RUN_COLUMN, prune_versions, read_latest
 
 BUILD_INPUTS = ("sor_detail", "sor_master", "ar_customer", "inv_master")
+# versions kept per built table: the newest and the one readers may still be on
+KEEP_VERSIONS = 2
 
 
 def _latest(spark: SparkSession, store: str, table: str):
@@ -49,18 +51,22 @@ def run_ingest(spark: SparkSession, csv_dir: str, store: str, run_ts: str | None
     return sorted(ingest_csv_dir(spark, csv_dir, store, run_ts=run_ts))
 
 
-def run_build(spark: SparkSession, store: str, run_ts: str | None = None) -> str:
+def run_build(spark: SparkSession, store: str, run_ts: str | None = None, keep: int = KEEP_VERSIONS) -> str:
     detail, master, customer, item = (_latest(spark, store, t) for t in BUILD_INPUTS)
     enriched = build_enriched(detail, master, customer, item)
-    return write_enriched(enriched, f"{store.rstrip('/')}/enriched", run_ts)
+    version = write_enriched(enriched, f"{store.rstrip('/')}/enriched", run_ts)
+    prune_versions(spark, f"{store.rstrip('/')}/enriched", keep)
+    return version
 
 
 def run_report(spark: SparkSession, store: str, as_of: dt.date | None = None, bounded: bool = False,
-               run_ts: str | None = None) -> str:
+               run_ts: str | None = None, keep: int = KEEP_VERSIONS) -> str:
     enriched = read_enriched(spark, f"{store.rstrip('/')}/enriched")
     as_of = resolve_as_of(spark, as_of)  # one date for the data and any headings
     report = category_report(enriched, as_of, bounded, sort=False)
-    return write_report(report, f"{store.rstrip('/')}/reports", run_ts)
+    version = write_report(report, f"{store.rstrip('/')}/reports", run_ts)
+    prune_versions(spark, f"{store.rstrip('/')}/reports", keep)
+    return version
 
 
 def main(argv: list[str] | None = None) -> int:

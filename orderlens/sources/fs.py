@@ -24,10 +24,10 @@ def touch(spark: SparkSession, file_path: str) -> None:
     fs.create(path, True).close()
 
 
-def delete(spark: SparkSession, file_path: str) -> None:
-    """Remove a file if it exists."""
+def delete(spark: SparkSession, file_path: str, recursive: bool = False) -> None:
+    """Remove a file (or, with ``recursive``, a folder) if it exists."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(file_path)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(path):
-        fs.delete(path, False)
+        fs.delete(path, recursive)

@@ -91,6 +91,26 @@ def snapshot_versions(spark: SparkSession, base: str) -> list[str]:
                   if any(n == COMMIT_MARKER for n, _ in list_entries(spark, version_path(base, v))))
 
 
+def prune_versions(spark: SparkSession, base: str, keep: int = 2) -> list[str]:
+    """Retention: delete committed versions older than the newest ``keep``,
+    and uncommitted folders older than the oldest kept version (failed
+    writes; a newer uncommitted folder may be a write in flight and stays).
+    Returns the deleted version names. Readers of a deleted version that is
+    still in use fail, so keep at least the versions being read."""
+    if keep < 1:
+        raise ValueError("keep at least one version")
+    committed = snapshot_versions(spark, base)
+    if len(committed) <= keep:
+        return []
+    oldest_kept = committed[-keep]
+    prefix = f"{RUN_COLUMN}="
+    folders = [n[len(prefix):] for n, is_dir in list_entries(spark, base) if is_dir and n.startswith(prefix)]
+    doomed = sorted(v for v in folders if v < oldest_kept)
+    for v in doomed:
+        delete(spark, version_path(base, v), recursive=True)
+    return doomed
+
+
 def read_version(spark: SparkSession, base: str, run_ts: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).option("basePath", base).load(version_path(base, run_ts))
 

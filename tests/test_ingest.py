@@ -214,3 +214,16 @@ def test_a_load_becomes_visible_as_a_whole(spark, monkeypatch):
     monkeypatch.setattr(csv_ingest, "read_table", real)
     ingest_csv_dir(spark, folder, store, run_ts="20240102_000000")
     assert [r.area for r in read_latest(spark, f"{store}/sal_area").collect()] == ["02"]
+
+
+def test_prune_keeps_the_newest_versions(spark):
+    from orderlens.sources.snapshots import prune_versions, snapshot_versions
+
+    base = tempfile.mkdtemp(prefix="orderlens-snap-") + "/t"
+    one = spark.createDataFrame([(1,)], "x int")
+    for day in (1, 2, 3):
+        write_snapshot(one, base, run_ts=f"2024010{day}_000000")
+    os.makedirs(f"{base}/run_ts=20231231_000000")  # an old failed write
+    assert prune_versions(spark, base, keep=2) == ["20231231_000000", "20240101_000000"]
+    assert snapshot_versions(spark, base) == ["20240102_000000", "20240103_000000"]
+    assert prune_versions(spark, base, keep=2) == []
