@@ -23,7 +23,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from pyspark.sql.types import DateType  # noqa: E402
 
-from orderlens.operators.detail import DETAIL_SORT, detail_count, detail_page  # noqa: E402
+from orderlens.operators.detail import detail_count, detail_page  # noqa: E402
 from orderlens.operators.enrich import build_enriched  # noqa: E402
 from orderlens.operators.filters import default_range  # noqa: E402
 from orderlens.operators.options import filter_options  # noqa: E402
@@ -288,10 +288,18 @@ select sd.invoice, sd.sales_order, sd.sales_order_line, sd.line_type, sd.stock_c
   ac.short_name, ac.master_account
 from sor_detail sd
   left join (select * from (select *, row_number() over (partition by sales_order
-             order by invoice_number nulls last) rn from sor_master) x where rn = 1) m
+             order by invoice_number nulls last, customer nulls last, salesperson nulls last,
+               order_date nulls last, branch nulls last, area nulls last, req_ship_date nulls last,
+               customer_name nulls last, ship_addr1 nulls last, ship_addr2 nulls last, ship_addr3 nulls last,
+               ship_addr4 nulls last, ship_addr5 nulls last, postal_code nulls last) rn
+             from sor_master) x where rn = 1) m
     on sd.sales_order = m.sales_order
-  left join ar_customer ac on m.customer = ac.customer
-  left join inv_master im on sd.stock_code = im.stock_code""",
+  left join (select * from (select *, row_number() over (partition by customer
+             order by short_name nulls last, master_account nulls last) rn from ar_customer) y
+             where rn = 1) ac on m.customer = ac.customer
+  left join (select * from (select *, row_number() over (partition by stock_code
+             order by description nulls last) rn from inv_master) z where rn = 1) im
+    on sd.stock_code = im.stock_code""",
 }
 
 # which stand-ins each view needs (in dependency order)
@@ -331,9 +339,14 @@ def _report_sql(bounded: bool) -> str:
 
 _DETAIL_WHERE = ("order_date >= date '1998-01-01' and order_date <= date '1998-01-31' "
                  "and branch = 'ASIA'")
-_DETAIL_ORDER = ", ".join(
-    f"{n} desc nulls first" if desc else f"{n} asc nulls last" for n, desc in DETAIL_SORT
-)
+# newest order date first, then order, line (the reference's keys), then every
+# other output column as a tie-break; SQL NULL placement (ASC last, DESC first)
+_DETAIL_ORDER = """order_date desc nulls first, sor_id asc nulls last, sor_line asc nulls last,
+  invoice asc nulls last, stock_code asc nulls last, order_qty asc nulls last, customer_id asc nulls last,
+  customer_name asc nulls last, short_name asc nulls last, master_account asc nulls last,
+  line_type asc nulls last, stock_desc asc nulls last, ship_qty asc nulls last,
+  back_order_qty asc nulls last, product_class asc nulls last, branch asc nulls last, area asc nulls last,
+  shipping_address asc nulls last, salesperson_id asc nulls last"""
 
 _TOP30 = """t as (select stock_code, stock_description, sum(order_qty) q from sor_detail
   group by stock_code, stock_description
