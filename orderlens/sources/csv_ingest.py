@@ -24,7 +24,7 @@ from orderlens.sources.fs import list_entries
 from orderlens.sources.schemas import DECLARED_TYPES, NA_TOKENS, TEXT_COLUMNS, snake_case, table_alias
 from orderlens.sources.snapshots import (
     RUN_COLUMN,
-    commit_version,
+    commit_load,
     new_run_ts,
     read_version,
     write_snapshot,
@@ -152,10 +152,11 @@ def ingest_csv_dir(spark: SparkSession, in_dir: str, out_dir: str | None = None,
     written parquet (later jobs do not parse the CSV again); otherwise return
     the typed CSV readers. Keys are the table aliases.
 
-    A load is committed as a whole: every table is written first, the
-    versions become visible only after the last one is written. A load that
-    fails halfway leaves all tables at their previous versions, so the build
-    never joins new lines to old headers; a load of only some tables is fine.
+    A load is committed as a whole: every table is written first, then one
+    manifest file commits all of them at once (``snapshots.commit_load``). A
+    load that fails at any point – also between the per-table markers –
+    leaves either all its tables visible or none, so the build never joins
+    new lines to old headers; a load of only some tables is fine.
     """
     files = table_files(list_csv_files(spark, in_dir))
     run_ts = run_ts or new_run_ts()  # one version name for the whole load
@@ -166,9 +167,9 @@ def ingest_csv_dir(spark: SparkSession, in_dir: str, out_dir: str | None = None,
         if out_dir:
             base = f"{out_dir.rstrip('/')}/{alias}"
             write_snapshot(df, base, run_ts=run_ts, commit=False)
-            written.append(base)
+            written.append(alias)
             df = read_version(spark, base, run_ts).drop(RUN_COLUMN)
         tables[alias] = df
-    for base in written:
-        commit_version(spark, base, run_ts)
+    if out_dir and written:
+        commit_load(spark, out_dir, run_ts, written)
     return tables

@@ -27,7 +27,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from orderlens.sources.fs import delete, list_entries, touch
+from orderlens.sources.fs import delete, list_entries, read_text, touch, write_text
 
 RUN_COLUMN = "run_ts"
 COMMIT_MARKER = "_COMMITTED"
@@ -82,13 +82,37 @@ def version_path(base: str, run_ts: str) -> str:
     return f"{base.rstrip('/')}/{RUN_COLUMN}={run_ts}"
 
 
+LOADS_FOLDER = "_loads"
+
+
+def commit_load(spark: SparkSession, store: str, run_ts: str, tables: Sequence[str]) -> None:
+    """Commit several tables written under ``store`` with one version name as
+    one unit: a single manifest file (created in one call) lists them, and
+    from that moment all of them are committed; the per-table markers written
+    afterwards only save readers a look at the manifest."""
+    store = store.rstrip("/")
+    write_text(spark, f"{store}/{LOADS_FOLDER}/{run_ts}", "\n".join(tables))
+    for table in tables:
+        commit_version(spark, f"{store}/{table}", run_ts)
+
+
+def _in_committed_load(spark: SparkSession, base: str, run_ts: str) -> bool:
+    store, _, table = base.rstrip("/").rpartition("/")
+    manifest = read_text(spark, f"{store}/{LOADS_FOLDER}/{run_ts}")
+    return manifest is not None and table in manifest.split("\n")
+
+
 def snapshot_versions(spark: SparkSession, base: str) -> list[str]:
-    """Committed versions under ``base`` (folders with the marker), oldest first."""
+    """Committed versions under ``base``, oldest first: folders with the
+    marker, or listed by a load manifest (``commit_load``)."""
     prefix = f"{RUN_COLUMN}="
     folders = [name[len(prefix):] for name, is_dir in list_entries(spark, base)
                if is_dir and name.startswith(prefix)]
-    return sorted(v for v in folders
-                  if any(n == COMMIT_MARKER for n, _ in list_entries(spark, version_path(base, v))))
+    return sorted(
+        v for v in folders
+        if any(n == COMMIT_MARKER for n, _ in list_entries(spark, version_path(base, v)))
+        or _in_committed_load(spark, base, v)
+    )
 
 
 def prune_versions(spark: SparkSession, base: str, keep: int = 2) -> list[str]:

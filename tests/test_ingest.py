@@ -227,3 +227,28 @@ def test_prune_keeps_the_newest_versions(spark):
     assert prune_versions(spark, base, keep=2) == ["20231231_000000", "20240101_000000"]
     assert snapshot_versions(spark, base) == ["20240102_000000", "20240103_000000"]
     assert prune_versions(spark, base, keep=2) == []
+
+
+def test_load_manifest_commits_all_tables_even_without_their_markers(spark, monkeypatch):
+    from orderlens.sources import snapshots
+
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    store = tempfile.mkdtemp(prefix="orderlens-store-")
+    _write(folder, "SalArea.csv", "Area,Description\n01,North\n")
+    _write(folder, "SalBranch.csv", "Branch,Description\n01,Main\n")
+    real = snapshots.commit_version
+    calls = []
+
+    def lost_after_first_marker(spark_, base, run_ts):  # the driver dies after one marker
+        if calls:
+            raise RuntimeError("driver lost")
+        calls.append(base)
+        real(spark_, base, run_ts)
+
+    monkeypatch.setattr(snapshots, "commit_version", lost_after_first_marker)
+    with pytest.raises(RuntimeError):
+        ingest_csv_dir(spark, folder, store, run_ts="20240101_000000")
+    monkeypatch.setattr(snapshots, "commit_version", real)
+    # the manifest was the commit point: both tables of the load are visible
+    assert [r.area for r in read_latest(spark, f"{store}/sal_area").collect()] == ["01"]
+    assert [r.branch for r in read_latest(spark, f"{store}/sal_branch").collect()] == ["01"]
