@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import os
 import sys
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -66,12 +67,14 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STORED: dict[tuple[str, str], str] = {}
+_STORED_LOCK = threading.Lock()
+_PROCESS = uuid.uuid4().hex[:12]  # other processes never share (or prune) these folders
 
 
 def _scratch(spark: SparkSession, kind: str, sf_dir: str) -> str:
-    """A stable folder per (kind, input) under the shared checkpoint folder."""
+    """A folder per (kind, input, process) under the shared checkpoint folder."""
     key = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/orderlens_{kind}/{key}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/orderlens_{kind}/{key}-{_PROCESS}"
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
@@ -81,10 +84,11 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     and process (like the reference's one-time build), older builds pruned."""
     base = _scratch(spark, "enriched", sf_dir)
     key = (ensure_checkpoint_dir(spark), os.path.abspath(sf_dir))
-    if key not in _STORED or not snapshot_versions(spark, base):
-        write_enriched(_enriched(spark, sf_dir), base)
-        prune_versions(spark, base, keep=1)
-        _STORED[key] = base
+    with _STORED_LOCK:
+        if key not in _STORED or not snapshot_versions(spark, base):
+            version = write_enriched(_enriched(spark, sf_dir), base)
+            prune_versions(spark, base, keep=1, protect=(version,))
+            _STORED[key] = base
     return read_enriched(spark, base), base
 
 
@@ -176,8 +180,9 @@ def q_category_report_bounded(spark, sf_dir):
 def q_latest_report(spark, sf_dir):
     """Write the report as a snapshot under the checkpoint folder, read the newest back."""
     base = _scratch(spark, "reports", sf_dir)
-    write_report(category_report(_enriched(spark, sf_dir), REPORT_AS_OF, sort=False), base)
-    prune_versions(spark, base, keep=1)
+    with _STORED_LOCK:
+        version = write_report(category_report(_enriched(spark, sf_dir), REPORT_AS_OF, sort=False), base)
+        prune_versions(spark, base, keep=1, protect=(version,))
     return latest_report(spark, base).drop("run_ts")
 
 

@@ -55,7 +55,7 @@ def run_build(spark: SparkSession, store: str, run_ts: str | None = None, keep:
     detail, master, customer, item = (_latest(spark, store, t) for t in BUILD_INPUTS)
     enriched = build_enriched(detail, master, customer, item)
     version = write_enriched(enriched, f"{store.rstrip('/')}/enriched", run_ts)
-    prune_versions(spark, f"{store.rstrip('/')}/enriched", keep)
+    prune_versions(spark, f"{store.rstrip('/')}/enriched", keep, protect=(version,))
     return version
 
 
@@ -65,7 +65,7 @@ def run_report(spark: SparkSession, store: str, as_of: dt.date | None = None, bo
     as_of = resolve_as_of(spark, as_of)  # one date for the data and any headings
     report = category_report(enriched, as_of, bounded, sort=False)
     version = write_report(report, f"{store.rstrip('/')}/reports", run_ts)
-    prune_versions(spark, f"{store.rstrip('/')}/reports", keep)
+    prune_versions(spark, f"{store.rstrip('/')}/reports", keep, protect=(version,))
     return version
 
 

@@ -26,6 +26,7 @@ from orderlens.sources.snapshots import (
     RUN_COLUMN,
     commit_load,
     new_run_ts,
+    uncommit_load,
     read_version,
     write_snapshot,
 )
@@ -160,6 +161,8 @@ def ingest_csv_dir(spark: SparkSession, in_dir: str, out_dir: str | None = None,
     """
     files = table_files(list_csv_files(spark, in_dir))
     run_ts = run_ts or new_run_ts()  # one version name for the whole load
+    if out_dir:
+        uncommit_load(spark, out_dir, run_ts)  # a retried load is invisible until it commits again
     tables, written = {}, []
     for table, path in sorted(files.items()):
         df = read_table(spark, path, table, **kwargs)

@@ -96,6 +96,12 @@ def commit_load(spark: SparkSession, store: str, run_ts: str, tables: Sequence[s
         commit_version(spark, f"{store}/{table}", run_ts)
 
 
+def uncommit_load(spark: SparkSession, store: str, run_ts: str) -> None:
+    """Withdraw a load's manifest before its tables are rewritten (a retry
+    with the same version name); each rewritten table drops its own marker."""
+    delete(spark, f"{store.rstrip('/')}/{LOADS_FOLDER}/{run_ts}")
+
+
 def _in_committed_load(spark: SparkSession, base: str, run_ts: str) -> bool:
     store, _, table = base.rstrip("/").rpartition("/")
     manifest = read_text(spark, f"{store}/{LOADS_FOLDER}/{run_ts}")
@@ -115,12 +121,14 @@ def snapshot_versions(spark: SparkSession, base: str) -> list[str]:
     )
 
 
-def prune_versions(spark: SparkSession, base: str, keep: int = 2) -> list[str]:
+def prune_versions(spark: SparkSession, base: str, keep: int = 2,
+                   protect: Sequence[str] = ()) -> list[str]:
     """Retention: delete committed versions older than the newest ``keep``,
     and uncommitted folders older than the oldest kept version (failed
     writes; a newer uncommitted folder may be a write in flight and stays).
     Returns the deleted version names. Readers of a deleted version that is
-    still in use fail, so keep at least the versions being read."""
+    still in use fail, so keep at least the versions being read. Versions in
+    ``protect`` (e.g. the one just written) are never deleted."""
     if keep < 1:
         raise ValueError("keep at least one version")
     committed = snapshot_versions(spark, base)
@@ -129,7 +137,7 @@ def prune_versions(spark: SparkSession, base: str, keep: int = 2) -> list[str]:
     oldest_kept = committed[-keep]
     prefix = f"{RUN_COLUMN}="
     folders = [n[len(prefix):] for n, is_dir in list_entries(spark, base) if is_dir and n.startswith(prefix)]
-    doomed = sorted(v for v in folders if v < oldest_kept)
+    doomed = sorted(v for v in folders if v < oldest_kept and v not in set(protect))
     for v in doomed:
         delete(spark, version_path(base, v), recursive=True)
     return doomed

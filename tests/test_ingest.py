@@ -252,3 +252,30 @@ def test_load_manifest_commits_all_tables_even_without_their_markers(spark, monk
     # the manifest was the commit point: both tables of the load are visible
     assert [r.area for r in read_latest(spark, f"{store}/sal_area").collect()] == ["01"]
     assert [r.branch for r in read_latest(spark, f"{store}/sal_branch").collect()] == ["01"]
+
+
+def test_retried_load_is_invisible_until_it_commits_again(spark, monkeypatch):
+    from orderlens.sources import csv_ingest
+
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    store = tempfile.mkdtemp(prefix="orderlens-store-")
+    _write(folder, "SalArea.csv", "Area,Description\n01,North\n")
+    ingest_csv_dir(spark, folder, store, run_ts="20240101_000000")
+    _write(folder, "SalArea.csv", "Area,Description\n02,South\n")
+    ingest_csv_dir(spark, folder, store, run_ts="20240102_000000")
+    real = csv_ingest.commit_load
+    monkeypatch.setattr(csv_ingest, "commit_load", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):  # a retry of the second load, lost before it commits
+        ingest_csv_dir(spark, folder, store, run_ts="20240102_000000")
+    assert [r.area for r in read_latest(spark, f"{store}/sal_area").collect()] == ["01"]
+    monkeypatch.setattr(csv_ingest, "commit_load", real)
+
+
+def test_prune_never_deletes_a_protected_version(spark):
+    from orderlens.sources.snapshots import prune_versions
+
+    base = tempfile.mkdtemp(prefix="orderlens-snap-") + "/t"
+    one = spark.createDataFrame([(1,)], "x int")
+    for day in (1, 2, 3):
+        write_snapshot(one, base, run_ts=f"2024010{day}_000000")
+    assert prune_versions(spark, base, keep=2, protect=("20240101_000000",)) == []
