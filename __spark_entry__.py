@@ -68,7 +68,9 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STORED: dict[tuple[str, str], str] = {}
 _STORED_LOCK = threading.Lock()
-_PROCESS = uuid.uuid4().hex[:12]  # other processes never share (or prune) these folders
+# other processes never share (or prune) these folders; they live in the
+# checkpoint folder, which is scratch space and may be cleared after a run
+_PROCESS = uuid.uuid4().hex[:12]
 
 
 def _scratch(spark: SparkSession, kind: str, sf_dir: str) -> str:
@@ -87,7 +89,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     with _STORED_LOCK:
         if key not in _STORED or not snapshot_versions(spark, base):
             version = write_enriched(_enriched(spark, sf_dir), base)
-            prune_versions(spark, base, keep=1, protect=(version,))
+            prune_versions(spark, base, keep=2, protect=(version,))
             _STORED[key] = base
     return read_enriched(spark, base), base
 
@@ -182,7 +184,7 @@ def q_latest_report(spark, sf_dir):
     base = _scratch(spark, "reports", sf_dir)
     with _STORED_LOCK:
         version = write_report(category_report(_enriched(spark, sf_dir), REPORT_AS_OF, sort=False), base)
-        prune_versions(spark, base, keep=1, protect=(version,))
+        prune_versions(spark, base, keep=2, protect=(version,))  # a concurrent reader keeps its version
     return latest_report(spark, base).drop("run_ts")
 
 

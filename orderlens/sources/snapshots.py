@@ -97,9 +97,16 @@ def commit_load(spark: SparkSession, store: str, run_ts: str, tables: Sequence[s
 
 
 def uncommit_load(spark: SparkSession, store: str, run_ts: str) -> None:
-    """Withdraw a load's manifest before its tables are rewritten (a retry
-    with the same version name); each rewritten table drops its own marker."""
-    delete(spark, f"{store.rstrip('/')}/{LOADS_FOLDER}/{run_ts}")
+    """Withdraw a committed load before it is rewritten (a retry with the
+    same version name): the listed tables' markers go first – the manifest
+    still keeps them all visible meanwhile – then the manifest, so readers see
+    the whole load or none of it."""
+    store = store.rstrip("/")
+    manifest = read_text(spark, f"{store}/{LOADS_FOLDER}/{run_ts}")
+    for table in (manifest or "").split("\n"):
+        if table:
+            delete(spark, f"{version_path(f'{store}/{table}', run_ts)}/{COMMIT_MARKER}")
+    delete(spark, f"{store}/{LOADS_FOLDER}/{run_ts}")
 
 
 def _in_committed_load(spark: SparkSession, base: str, run_ts: str) -> bool:

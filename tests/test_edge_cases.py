@@ -317,3 +317,21 @@ def test_as_of_parsing_matches_other_date_parameters(spark):
     assert report_headings("Area", spark=spark)[3] == report_headings("Area", resolve_as_of(spark, None))[3]
     with pytest.raises(ValueError):
         report_headings("Area")
+
+
+def test_keyset_pages_through_a_group_of_identical_rows(spark):
+    from orderlens.operators.detail import detail_after, next_cursor
+
+    lines = [line(sales_order="1", stock_code="S", qty=1.0, line_no=1, invoice="I") for _ in range(10)]
+    lines += [line(sales_order="2", stock_code="S", qty=1.0, line_no=1, invoice="I")]
+    e = enrich(spark, lines, [header(sales_order="1"), header(sales_order="2")])
+    page = detail_page(e, per_page=3).collect()
+    seen, cursor = list(page), None
+    while True:
+        cursor = next_cursor(page, cursor)
+        page = detail_after(e, cursor[0], per_page=3, skip=cursor[1]).collect()
+        if not page:
+            break
+        seen += page
+    assert len(seen) == 11
+    assert [r.sor_id for r in seen] == ["1"] * 10 + ["2"]

@@ -279,3 +279,24 @@ def test_prune_never_deletes_a_protected_version(spark):
     for day in (1, 2, 3):
         write_snapshot(one, base, run_ts=f"2024010{day}_000000")
     assert prune_versions(spark, base, keep=2, protect=("20240101_000000",)) == []
+
+
+def test_retry_of_a_committed_multi_table_load_never_mixes(spark, monkeypatch):
+    from orderlens.sources import csv_ingest
+
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    store = tempfile.mkdtemp(prefix="orderlens-store-")
+    _write(folder, "SalArea.csv", "Area,Description\n01,North\n")
+    _write(folder, "SalBranch.csv", "Branch,Description\n01,Main\n")
+    ingest_csv_dir(spark, folder, store, run_ts="20240101_000000")
+    _write(folder, "SalArea.csv", "Area,Description\n02,South\n")
+    _write(folder, "SalBranch.csv", "Branch,Description\n02,Side\n")
+    ingest_csv_dir(spark, folder, store, run_ts="20240102_000000")
+    real = csv_ingest.commit_load
+    monkeypatch.setattr(csv_ingest, "commit_load", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):  # retry of the committed second load, lost before commit
+        ingest_csv_dir(spark, folder, store, run_ts="20240102_000000")
+    monkeypatch.setattr(csv_ingest, "commit_load", real)
+    area = [r.area for r in read_latest(spark, f"{store}/sal_area").collect()]
+    branch = [r.branch for r in read_latest(spark, f"{store}/sal_branch").collect()]
+    assert (area, branch) == (["01"], ["01"])  # both back on the first load, never one of each
