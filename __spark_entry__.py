@@ -14,6 +14,7 @@ import hashlib
 import os
 import sys
 import threading
+import time
 import uuid
 from collections.abc import Callable
 
@@ -36,7 +37,7 @@ from orderlens.operators.trend import order_trend  # noqa: E402
 from orderlens.session import ensure_checkpoint_dir  # noqa: E402
 from orderlens.sources.csv_ingest import ingest_csv_dir  # noqa: E402
 from orderlens.sources.layout import read_enriched, stored_month_range, write_enriched  # noqa: E402
-from orderlens.sources.snapshots import prune_versions, snapshot_versions  # noqa: E402
+from orderlens.sources.snapshots import new_run_ts, snapshot_versions  # noqa: E402
 from orderlens.sources.standins import StandIns  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -68,8 +69,9 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STORED: dict[tuple[str, str], str] = {}
 _STORED_LOCK = threading.Lock()
-# other processes never share (or prune) these folders; they live in the
-# checkpoint folder, which is scratch space and may be cleared after a run
+# other processes never share these folders; nothing in them is deleted while
+# the process runs. They live in the checkpoint folder, which is scratch space
+# and may be cleared after a run
 _PROCESS = uuid.uuid4().hex[:12]
 
 
@@ -88,12 +90,25 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     key = (ensure_checkpoint_dir(spark), os.path.abspath(sf_dir))
     with _STORED_LOCK:
         if key not in _STORED or not snapshot_versions(spark, base):
-            version = write_enriched(_enriched(spark, sf_dir), base)
-            prune_versions(spark, base, keep=2, protect=(version,))
+            write_enriched(_enriched(spark, sf_dir), base, _unique_run_ts())
             _STORED[key] = base
     return read_enriched(spark, base), base
 
 
+_LAST_RUN_TS = [""]
+
+
+def _unique_run_ts() -> str:
+    """A version name later than any this process used (callers hold the lock),
+    so a lazily read version is never rewritten; nothing here is pruned."""
+    ts = new_run_ts()
+    while ts <= _LAST_RUN_TS[0]:
+        time.sleep(0.2)
+        ts = new_run_ts()
+    _LAST_RUN_TS[0] = ts
+    return ts
+
+
 def _stored_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir)[0]
 
@@ -183,8 +198,10 @@ def q_latest_report(spark, sf_dir):
     """Write the report as a snapshot under the checkpoint folder, read the newest back."""
     base = _scratch(spark, "reports", sf_dir)
     with _STORED_LOCK:
-        version = write_report(category_report(_enriched(spark, sf_dir), REPORT_AS_OF, sort=False), base)
-        prune_versions(spark, base, keep=2, protect=(version,))  # a concurrent reader keeps its version
+        write_report(category_report(_enriched(spark, sf_dir), REPORT_AS_OF, sort=False), base,
+                     _unique_run_ts())
+    # newest version; every version in this folder holds the same report and
+    # none is deleted or rewritten while the process runs
     return latest_report(spark, base).drop("run_ts")
 
 
