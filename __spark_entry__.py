@@ -40,6 +40,19 @@ from orderlens.sources.layout import read_enriched, stored_month_range, write_en
 from orderlens.sources.snapshots import new_run_ts, snapshot_versions  # noqa: E402
 from orderlens.sources.standins import StandIns  # noqa: E402
 
+try:  # the training-data operators are optional: without their folder the rest works alone
+    from orderlens.llm import queries as llm_queries  # noqa: E402
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith("orderlens.llm"):
+        raise
+    llm_queries = None
+try:
+    import corpus_pipeline  # noqa: E402
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("corpus_pipeline", "orderlens.llm")):
+        raise
+    corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Fixed query parameters used by the registered queries.
@@ -230,6 +243,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _own_queries() | (llm_queries.QUERIES if llm_queries else {}) | (
+        {"pipeline": corpus_pipeline.run} if corpus_pipeline else {})
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "enriched": q_enriched,
         "status_overview": q_status_overview,
@@ -481,4 +499,5 @@ _ORACLE.update({f"{name}_stored": _ORACLE[name]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return _ORACLE | (llm_queries.ORACLE_SQL if llm_queries else {}) | (
+        {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline and corpus_pipeline.ORACLE_SQL else {})
