@@ -41,7 +41,7 @@ from orderlens.sources.snapshots import new_run_ts, snapshot_versions  # noqa: E
 from orderlens.sources.standins import StandIns  # noqa: E402
 
 try:  # the training-data operators are optional: without their folder the rest works alone
-    from orderlens.llm import queries as llm_queries  # noqa: E402
+    import orderlens.llm.queries as llm_queries  # noqa: E402
 except ModuleNotFoundError as missing:
     if not (missing.name or "").startswith("orderlens.llm"):
         raise
