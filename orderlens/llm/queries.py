@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import mixing, qda, toxicity
+from orderlens.llm import ledger, mixing, qda, toxicity, urls
 from orderlens.llm.store import Scratch
 
 
@@ -19,18 +19,87 @@ def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.words_taken(rows, slots, pieces).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = ledger.apply_policy(ledger.quality_ledger(table(spark, sf_dir, "documents")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
     "op1_mixing_sources": op1_mixing_sources,
+    "op2_url_filters": op2_url_filters,
     "op4_toxicity": op4_toxicity,
+    "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORD_SQL = r"'[^\x20\x09-\x0D]+'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": r"""
+with recursive parts as (
+  select page_id, url, html,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path,
+    case when contains(url, '://') then regexp_replace(url, '(?s)#.*', '') end page
+  from pages),
+rules(verdict, rhost, rpath) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+  ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+urls as (select page, any_value(host) host, any_value(path) path from parts where page is not null group by page),
+ruled as (
+  select page, verdict from urls join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
+  qualify row_number() over (partition by page order by length(rhost || rpath) desc, verdict) = 1),
+linked as (
+  select page a, regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''>\s]+)', 1) b
+  from parts where page is not null),
+edges as (select a, b from linked where contains(b, '://') union select b, a from linked where contains(b, '://')),
+reach(page, other) as (select page, page from urls union select r.page, e.b from reach r join edges e on e.a = r.other),
+inherited as (
+  select reach.page, bool_or(verdict = 'allow') allowed, bool_or(verdict = 'block') blocked
+  from reach join ruled on ruled.page = reach.other group by reach.page)
+select page_id, host, path, r.rule, coalesce(r.verdict, case when blocked and not allowed then 'block' else 'allow' end) verdict
+from parts left join inherited using (page) left join lateral (
+  select rhost || rpath as rule, verdict from rules
+  where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
+  order by length(rhost || rpath) desc limit 1) r on true""",
+    "op8_quality_rules": rf"""
+with d as (select row_number() over () r, doc_id, coalesce(text, '') text from documents),
+w as (select r, unnest(regexp_extract_all(text, {WORD_SQL})) word, generate_subscripts(regexp_extract_all(text, {WORD_SQL}), 1) i from d),
+windows as (
+  select r, i, word, lead(word) over t b, lead(word, 2) over t c, lag(word) over t prev from w window t as (partition by r order by i)),
+twice as (select r, i, count(*) over (partition by r, word, b, c) n from windows where b is not null and c is not null),
+covered as (select distinct r, i + k p from twice, range(3) k(k) where n >= 2),
+repeats as (select r, count(*) n from covered group by r),
+counted as (
+  select r, count(*) n_words, sum(length(word)) word_chars, count(*) filter (prev = word) n_runs,
+    count(*) filter (regexp_matches(word, '[#*$%&|<>!]$')) n_symbol_words from windows group by r),
+lines as (select r, unnest(string_split(text, chr(10))) line from d),
+line_counts as (
+  select r, sum(n) n_lines, sum(n - 1) n_dup_lines
+  from (select r, line, count(*) n from lines where regexp_matches(line, {WORD_SQL}) group by r, line) group by r),
+m as (
+  select d.doc_id, coalesce(counted.n_words, 0) n_words, cast(coalesce(word_chars, 0) as bigint) word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) n_symbols, cast(coalesce(n_dup_lines, 0) as bigint) n_dup_lines,
+    coalesce(n_lines, 0) n_lines, coalesce(repeats.n, 0) n_repeat_words, coalesce(n_runs, 0) n_runs, coalesce(n_symbol_words, 0) n_symbol_words,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) n_upper, length(regexp_replace(text, '[^0-9]', '', 'g')) n_digits,
+    length(regexp_replace(text, '[^!?]', '', 'g')) n_shouts
+  from d left join counted using (r) left join line_counts using (r) left join repeats using (r)),
+rules as (
+  select *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, 100 * n_symbols > 25 * n_words, 100 * n_upper > 60 * word_chars,
+    100 * n_shouts > 40 * n_words, n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines, 100 * n_runs > 20 * n_words,
+    word_chars < 2 * n_words or word_chars > 20 * n_words, 100 * n_symbol_words > 30 * n_words, 100 * n_digits > 40 * word_chars] bits from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits[1] or bits[2] base_failed,
+  not list_contains(bits, true) kept, cast(list_sum(list_transform(bits, lambda b, i: case when b then 1 << (i - 1) else 0 end)) as bigint) failed
+from rules""",
+}
