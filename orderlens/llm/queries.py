@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import ledger, mixing, qda, toxicity, urls
+from orderlens.llm import ledger, mixing, qda, toxicity, urls, warc
 from orderlens.llm.store import Scratch
 
 
@@ -27,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = ledger.apply_policy(ledger.quality_ledger(table(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_mixing_sources": op1_mixing_sources,
     "op2_url_filters": op2_url_filters,
     "op4_toxicity": op4_toxicity,
+    "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
 }
@@ -73,6 +78,14 @@ from parts left join inherited using (page) left join lateral (
   select rhost || rpath as rule, verdict from rules
   where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
   order by length(rhost || rpath) desc limit 1) r on true""",
+    "op7_warc": """
+with p as (select page_id, url, coalesce(html, '') html from pages),
+d as (select page_id, url, strlen(html) n, sha1(html) digest, count(*) over (partition by html) c,
+  max(page_id) over (partition by html) first from p)
+select page_id, cast(n as bigint) payload_bytes, digest payload_digest,
+  case when n >= 1000 and c > 1 and page_id <> first then 'revisit' else 'response' end record_type,
+  case when n >= 1000 and c > 1 and page_id <> first then first end refers_to
+from d""",
     "op8_quality_rules": rf"""
 with d as (select row_number() over () r, doc_id, coalesce(text, '') text from documents),
 w as (select r, unnest(regexp_extract_all(text, {WORD_SQL})) word, generate_subscripts(regexp_extract_all(text, {WORD_SQL}), 1) i from d),
