@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import ledger, mixing, qda, toxicity, urls, warc
+from orderlens.llm import ledger, mixing, ngramjoin, qda, toxicity, urls, warc
 from orderlens.llm.store import Scratch
 
 
@@ -23,6 +23,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing_sources": op1_mixing_sources,
     "op2_url_filters": op2_url_filters,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
@@ -78,6 +83,25 @@ from parts left join inherited using (page) left join lateral (
   select rhost || rpath as rule, verdict from rules
   where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
   order by length(rhost || rpath) desc limit 1) r on true""",
+    "op3_ngram_jaccard_join": rf"""
+with recursive d as (select row_number() over () r, doc_id, text from documents),
+w as (select r, word, i from (
+  select r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD_SQL})) word,
+    generate_subscripts(regexp_extract_all(text, {WORD_SQL}), 1) i from d)),
+grams as (
+  select r, i, word || chr(10) || lead(word) over t || chr(10) || lead(word, 2) over t || chr(10) || lead(word, 3) over t g, count(*) over (partition by r) n,
+    string_agg(word, chr(10)) over (partition by r order by i rows between unbounded preceding and unbounded following) whole
+  from w window t as (partition by r order by i)),
+shingles as materialized (select distinct r, md5(case when n < 4 then whole else g end) g from grams where case when n < 4 then i = 1 else g is not null end),
+sizes as materialized (select r, count(*) n from shingles group by r),
+links as materialized (
+  select a, b from (select x.r a, y.r b, count(*) c from shingles x join shingles y on x.g = y.g and x.r <> y.r group by x.r, y.r)
+  join sizes sa on sa.r = a join sizes sb on sb.r = b where 100 * c >= 85 * (sa.n + sb.n - c)),
+reach as (select r, r o from d union select reach.r, links.b from reach join links on links.a = reach.o)
+select d.doc_id, coalesce(any_value(sizes.n), 0) n_shingles, min(o.doc_id) component_id, coalesce(any_value(l.n), 0) n_links
+from reach join d on d.r = reach.r join d o on o.r = reach.o left join sizes on sizes.r = reach.r
+  left join (select a, count(*) n from links group by a) l on l.a = reach.r
+group by reach.r, d.doc_id""",
     "op7_warc": """
 with p as (select page_id, url, coalesce(html, '') html from pages),
 d as (select page_id, url, strlen(html) n, sha1(html) digest, count(*) over (partition by html) c,
