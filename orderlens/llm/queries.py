@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import ledger, mixing, ngramjoin, qda, toxicity, urls, warc
+from orderlens.llm import containment, ledger, mixing, ngramjoin, qda, toxicity, urls, warc
 from orderlens.llm.store import Scratch
 
 
@@ -31,6 +31,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
@@ -102,6 +107,23 @@ select d.doc_id, coalesce(any_value(sizes.n), 0) n_shingles, min(o.doc_id) compo
 from reach join d on d.r = reach.r join d o on o.r = reach.o left join sizes on sizes.r = reach.r
   left join (select a, count(*) n from links group by a) l on l.a = reach.r
 group by reach.r, d.doc_id""",
+    "op6_benchmark_decontamination": rf"""
+with texts as (
+  select 'd' kind, row_number() over () r, doc_id id, text from documents
+  union all select 'i', row_number() over (), item_id, text from benchmark),
+w as (
+  select kind, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD_SQL})) word,
+    generate_subscripts(regexp_extract_all(text, {WORD_SQL}), 1) i from texts),
+grams as (
+  select kind, r, i, count(*) over (partition by kind, r) n, lead(word, 4) over t last,
+    string_agg(word, chr(10)) over (partition by kind, r order by i rows between current row and 4 following) g
+  from w window t as (partition by kind, r order by i)),
+shingles as (select distinct kind, r, g from grams where last is not null or n < 5 and i = 1),
+sizes as (select r, count(*) n from shingles where kind = 'i' group by r),
+shared as (select d.r dr, i.r ir, count(*) n from shingles d join shingles i using (g) where d.kind = 'd' and i.kind = 'i' group by d.r, i.r)
+select d.id doc_id, i.id item_id, sizes.n n_item, shared.n n_shared
+from shared join sizes on sizes.r = ir join texts d on d.kind = 'd' and d.r = dr join texts i on i.kind = 'i' and i.r = ir
+where 100 * shared.n >= 80 * sizes.n""",
     "op7_warc": """
 with p as (select page_id, url, coalesce(html, '') html from pages),
 d as (select page_id, url, strlen(html) n, sha1(html) digest, count(*) over (partition by html) c,
