@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import containment, ledger, mixing, ngramjoin, qda, toxicity, urls, warc
-from orderlens.llm.store import Scratch
+from orderlens.llm import containment, ledger, mixing, ngramjoin, qda, suffixes, toxicity, urls, warc
+from orderlens.llm.store import Scratch, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +32,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = suffixes.repeated_passages(docs)
+    words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    ranges = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"], x["stop"])), " ")
+    return (docs.select("doc_id", suffixes.row_key().alias("row")).distinct().join(found, "row")
+            .select("doc_id", ranges("repeated").alias("repeated"), ranges("later").alias("later"),
+                    words("repeated").alias("n_repeated"), words("later").alias("n_later")))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +64,7 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
@@ -107,6 +119,25 @@ select d.doc_id, coalesce(any_value(sizes.n), 0) n_shingles, min(o.doc_id) compo
 from reach join d on d.r = reach.r join d o on o.r = reach.o left join sizes on sizes.r = reach.r
   left join (select a, count(*) n from links group by a) l on l.a = reach.r
 group by reach.r, d.doc_id""",
+    "op5_suffix_array_dedup": rf"""
+with d as (select distinct doc_id, text from documents),
+w as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD_SQL})) word,
+    generate_subscripts(regexp_extract_all(text, {WORD_SQL}), 1) - 1 i from d),
+windows as (
+  select doc_id, i, lead(i, 49) over t last, md5(string_agg(word, chr(10)) over (partition by doc_id order by i rows between current row and 49 following)) h
+  from w window t as (partition by doc_id order by i)),
+counted as (
+  select doc_id, i, count(*) over (partition by h) n, row_number() over (partition by h order by doc_id, i) k from windows where last is not null),
+starts as (select 'repeated' kind, doc_id, i from counted where n > 1 union all select 'later', doc_id, i from counted where n > 1 and k > 1),
+islands as (
+  select *, sum(case when i <= before + 50 then 0 else 1 end) over (partition by kind, doc_id order by i rows unbounded preceding) g
+  from (select *, lag(i) over (partition by kind, doc_id order by i) before from starts)),
+ranges as (select kind, doc_id, min(i) a, max(i) + 50 b from islands group by kind, doc_id, g)
+select doc_id, coalesce(string_agg(a || '-' || b, ' ' order by a) filter (kind = 'repeated'), '') repeated,
+  coalesce(string_agg(a || '-' || b, ' ' order by a) filter (kind = 'later'), '') later,
+  cast(sum(b - a) filter (kind = 'repeated') as bigint) n_repeated, cast(coalesce(sum(b - a) filter (kind = 'later'), 0) as bigint) n_later
+from ranges group by doc_id""",
     "op6_benchmark_decontamination": rf"""
 with texts as (
   select 'd' kind, row_number() over () r, doc_id id, text from documents

@@ -7,16 +7,35 @@ of a later join start from plain scans, so adaptive execution can split a hot ke
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+import orderlens
 from orderlens.session import ensure_checkpoint_dir
 from orderlens.sources.fs import delete
 
 _ROOTS: list[tuple[SparkSession, str]] = []
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this library to the executors, once a Spark application: their Python need not have it."""
+    if spark.sparkContext.applicationId not in _SHIPPED:
+        _SHIPPED.add(spark.sparkContext.applicationId)
+        package = Path(orderlens.__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="orderlens-py-")) / "orderlens.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+
+
 class Scratch:
     """A folder of its own under ``spark.checkpoint.dir`` for one call of one operator.
 
