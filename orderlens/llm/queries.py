@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import containment, ledger, mixing, ngramjoin, qda, suffixes, toxicity, urls, warc
+from orderlens.llm import containment, ledger, lm, mixing, ngramjoin, qda, suffixes, toxicity, urls, warc
 from orderlens.llm.store import Scratch, ship_package
 
 
@@ -59,6 +59,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.lattice_scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_mixing_sources": op1_mixing_sources,
     "op2_url_filters": op2_url_filters,
@@ -69,6 +74,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
