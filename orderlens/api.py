@@ -1,19 +1,11 @@
 """Everything a user calls, in one place.
 
-Reference endpoint / script            -> function here
--------------------------------------     ------------------------------------------
-CSV load of the extracts                  ingest_csv_dir(spark, in_dir, out_dir)
-enriched-table build (CTAS + indexes)     build_enriched(...), write_enriched(...), read_enriched(...)
-order status overview                     status_overview(master)
-filter options                            filter_options(enriched)
-monthly order-quantity trend              order_trend(enriched, filters)
-order detail table + pagination           detail_page(...), detail_count(...),
-                                          detail_after(...) / next_cursor(...) for deep pages
-top ordered stock items                   top_stock(...), stock_details(...), top_stock_price_history(...)
-order quantity by product class           product_class_share(detail, classes), share_total(share)
-comprehensive report (download)           category_report(enriched, as_of, bounded),
-                                          report_headings(category, as_of), write_report(...)
-static report (newest file)               latest_report(spark, base)
+Loading goes ``ingest_csv_dir`` -> ``build_enriched`` -> ``write_enriched``;
+queries take the frame that ``read_enriched`` returns, or the typed tables.
+Ranges of a stored table come from its folder names (``stored_month_range``,
+``stored_default_range``), without opening a file. Reports are written with
+their date and read back by ``latest_report``; ``report_labels`` names their
+months.
 
 ``filters`` is a dict (or ``DimensionFilters``) with any of branch, area,
 customer, product_class, salesperson; ``None`` values mean "no filter".
@@ -34,6 +26,7 @@ from orderlens.operators.report import (  # noqa: F401
     category_report,
     latest_report,
     report_headings,
+    report_labels,
     resolve_as_of,
     write_report,
 )
@@ -46,5 +39,10 @@ from orderlens.operators.stock import (  # noqa: F401
 )
 from orderlens.operators.trend import order_trend  # noqa: F401
 from orderlens.sources.csv_ingest import ingest_csv_dir, read_table  # noqa: F401
-from orderlens.sources.layout import read_enriched, write_enriched  # noqa: F401
+from orderlens.sources.layout import (  # noqa: F401
+    read_enriched,
+    stored_default_range,
+    stored_month_range,
+    write_enriched,
+)
 from orderlens.sources.snapshots import read_latest, write_snapshot  # noqa: F401

@@ -18,6 +18,8 @@ from orderlens.plans.broadcast import bounded
 # Fixed value: the reference's text date format is MM/DD/YYYY. ``M/d`` also
 # accepts the single-digit month/day forms that format tolerates.
 TEXT_DATE_PATTERN = "M/d/yyyy"
+# Extracts also carry ISO dates, with or without a time of day.
+ISO_DATE = r"^\s*([0-9]{4}-[0-9]{2}-[0-9]{2})([ T][0-9:.]*)?\s*$"
 
 # Months between year 1 and year 9999: the most rows a month spine can have.
 MAX_SPINE_MONTHS = 9999 * 12
@@ -48,6 +50,28 @@ def parse_text_date(col: Column | str, pattern: str = TEXT_DATE_PATTERN) -> Colu
     return F.try_to_date(F.col(col) if isinstance(col, str) else col, pattern)
 
 
+def parse_extract_date(col: Column | str) -> Column:
+    """Text -> DATE for both forms extracts have, M/d/yyyy and ISO; NULL for
+    text that neither reads (``unread_date`` tells it from a missing one)."""
+    c = F.col(col) if isinstance(col, str) else col
+    iso = F.nullif(F.regexp_extract(c, ISO_DATE, 1), F.lit(""))
+    return F.coalesce(parse_text_date(F.trim(c)), F.try_to_date(iso, "yyyy-MM-dd"))
+
+
+def unread_date(col: Column | str) -> Column:
+    """True where there is text but no date in it."""
+    c = F.col(col) if isinstance(col, str) else col
+    return c.isNotNull() & parse_extract_date(c).isNull()
+
+
+def strict_extract_date(col: Column | str) -> Column:
+    """``parse_extract_date`` that fails the job, naming the text, instead of
+    losing a date."""
+    c = F.col(col) if isinstance(col, str) else col
+    error = F.raise_error(F.concat(F.lit("not a date (M/d/yyyy or yyyy-MM-dd): "), c)).cast("date")
+    return F.when(unread_date(c), error).otherwise(parse_extract_date(c))
+
+
 def month_start(col: Column | str) -> Column:
     """First day of the month, as DATE (``date_trunc`` would give a timestamp)."""
     return F.trunc(F.col(col) if isinstance(col, str) else col, "MM")

@@ -1,24 +1,26 @@
 """The enriched order-line table: every line with its first order header, the
 header's customer and the item master description.
 
-Plan shape (all decided by Catalyst/AQE, nothing hinted):
+Plan shape:
 
 * first header per order: ``row_number() == 1`` over ``sales_order`` plans as a
   partial ``WindowGroupLimit`` before the shuffle, so a hot order with many
   header rows sends at most one row per map task;
-* header ⟕ customer runs on the deduplicated headers (one per order), not on
-  all header rows;
-* line ⟕ header and line ⟕ item are the two big shuffles; a skewed order or
-  item on the line side is split by AQE's skew-join handling (left outer
-  joins may split their left side), and a small dimension becomes a broadcast
-  join from its measured size.
+* lines are joined to the items first, while they are narrow, then to the
+  headers with their customers: the wide row is built by the last join and
+  never shuffled;
+* with ``scratch`` (a folder), the headers, customers and items made unique are
+  written there and read back. Every join then has a plain shuffle on both
+  sides, which is what AQE needs to split a hot order, item or customer. Without
+  it their de-duplication shares the join's shuffle, one less, but a hot key
+  stays in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Columns of the reference's enriched table, in its order. Optional ones are
@@ -84,21 +86,36 @@ def first_headers(master: DataFrame) -> DataFrame:
 
 
 def build_enriched(detail: DataFrame, master: DataFrame, customer: DataFrame,
-                   item: DataFrame) -> DataFrame:
-    """Lines ⟕ first header per order ⟕ customer ⟕ item master.
+                   item: DataFrame, scratch: str | None = None) -> DataFrame:
+    """Lines ⟕ item master ⟕ (first header per order ⟕ customer).
 
     ``stock_description`` prefers the item master's description over the
     line's own text. Row count equals the line count.
     """
-    headers = first_headers(master)
-    cust = dedupe_dimension(customer, "customer", _present(customer, CUSTOMER_COLUMNS))
-    headers = headers.join(cust, "customer", "left")
-    items = dedupe_dimension(item, "stock_code", ["description"]).withColumnRenamed(
-        "description", "_item_description"
-    )
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        if scratch is None:
+            return df
+        path = f"{scratch.rstrip('/')}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
+
+    headers = stored(first_headers(master), "headers")
+    cust = stored(dedupe_dimension(customer, "customer", _present(customer, CUSTOMER_COLUMNS)), "customers")
+    headers = stored(headers.join(cust, "customer", "left"), "headers_with_customers")
+    items = stored(dedupe_dimension(item, "stock_code", ["description"]), "items")
+    return _join_sides(detail, headers, items)
+
+
+def enriched_from(spark: SparkSession, detail: DataFrame, scratch: str) -> DataFrame:
+    """``build_enriched`` again from the sides that an earlier call stored in ``scratch``."""
+    headers, items = (spark.read.parquet(f"{scratch.rstrip('/')}/{t}") for t in ("headers_with_customers", "items"))
+    return _join_sides(detail, headers, items)
+
 
+def _join_sides(detail: DataFrame, headers: DataFrame, items: DataFrame) -> DataFrame:
+    items = items.withColumnRenamed("description", "_item_description")
     d = detail.select(*_present(detail, DETAIL_COLUMNS))
-    joined = d.join(headers, "sales_order", "left").join(items, "stock_code", "left")
+    joined = d.join(items, "stock_code", "left").join(headers, "sales_order", "left")
 
     out = []
     for c in _present(detail, DETAIL_COLUMNS):
@@ -106,6 +123,5 @@ def build_enriched(detail: DataFrame, master: DataFrame, customer: DataFrame,
             out.append(F.coalesce("_item_description", "stock_description").alias(c))
         else:
             out.append(F.col(c))
-    out += [F.col(c) for c in _present(master, HEADER_COLUMNS)]
-    out += [F.col(c) for c in _present(customer, CUSTOMER_COLUMNS)]
+    out += [F.col(c) for c in _present(headers, HEADER_COLUMNS + CUSTOMER_COLUMNS)]
     return joined.select(*out)

@@ -108,8 +108,8 @@ def top_stock(detail: DataFrame, item: DataFrame, warehouse: DataFrame, price: D
     """Columns: stock_code, description, total_order_qty, supplier,
     product_class, warehouse_qty, price_details, total_qty_on_hand (the
     reference's fan-out number, 0 when none), qty_on_hand (plain sum, 0 when
-    none). Ordered by total_order_qty desc. The item-master side is not
-    broadcast-hinted: its variants per item are not bounded by n.
+    none). Ordered by total_order_qty desc, then code, description, supplier,
+    class. Only the n keys are broadcast-hinted.
 
     The description prefers the line's text over the item master's (the
     opposite of the enriched table, as in the reference).
@@ -126,8 +126,8 @@ def top_stock(detail: DataFrame, item: DataFrame, warehouse: DataFrame, price: D
     pr = price_summary(price.join(keys, "stock_code", "left_semi"))
     joined = (
         top.join(items, "stock_code", "left")
-        .join(bounded(wh, n), "stock_code", "left")
-        .join(bounded(pr, n), "stock_code", "left")
+        .join(wh, "stock_code", "left")  # text of any width: AQE broadcasts by measured size
+        .join(pr, "stock_code", "left")
     )
     return joined.select(
         "stock_code",
@@ -140,7 +140,10 @@ def top_stock(detail: DataFrame, item: DataFrame, warehouse: DataFrame, price: D
         F.coalesce(_fan_out_qty(F.col("qty_on_hand"), F.col("price_rows"), F.col("item_rows")), F.lit(0))
         .cast("double").alias("total_qty_on_hand"),
         F.coalesce(F.col("qty_on_hand"), F.lit(0)).cast("double").alias("qty_on_hand"),
-    ).orderBy(F.col("total_order_qty").desc_nulls_first(), F.col("stock_code"))
+    ).orderBy(
+        F.col("total_order_qty").desc_nulls_first(),
+        *[F.col(c).asc_nulls_last() for c in ("stock_code", "description", "supplier", "product_class")],
+    )
 
 
 def price_history(history: DataFrame, keys: DataFrame | None = None) -> DataFrame:

@@ -19,8 +19,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.functions.dates import parse_text_date
-from orderlens.sources.fs import list_entries
+from orderlens.functions.dates import parse_extract_date, strict_extract_date, unread_date
+from orderlens.sources.fs import delete, list_entries
 from orderlens.sources.schemas import DECLARED_TYPES, NA_TOKENS, TEXT_COLUMNS, snake_case, table_alias
 from orderlens.sources.snapshots import (
     RUN_COLUMN,
@@ -107,7 +107,8 @@ def infer_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 def read_table(spark: SparkSession, path: str, table: str,
                text_columns: Mapping[str, Sequence[str]] = TEXT_COLUMNS,
                declared: Mapping[str, Mapping[str, str]] = DECLARED_TYPES,
-               infer: bool = True, multi_line: bool = False) -> DataFrame:
+               infer: bool = True, multi_line: bool = False, bad_dates: str = "fail",
+               rejects: dict[str, int] | None = None, staging: str | None = None) -> DataFrame:
     """One extract as a typed DataFrame (snake_case columns).
 
     ``infer=False`` skips the type pass (undeclared columns stay text).
@@ -117,8 +118,16 @@ def read_table(spark: SparkSession, path: str, table: str,
     ``multi_line=True`` allows quoted fields with line breaks, at the price of
     reading each file in one task (such files cannot be split); without it a
     file with such fields fails to load (FAILFAST) instead of being misread.
-    Unparsable dates in declared date columns become NULL (FIXTURES decision).
+    Declared dates are read as M/d/yyyy or ISO. Other text fails the load
+    (``bad_dates="fail"``) or becomes NULL after being counted into ``rejects``
+    (``bad_dates="count"``: ``<table>.<column>`` -> rows).
+    ``staging`` (a folder) keeps the text rows as parquet, so the CSV is parsed
+    once and the counting passes and the result read the parquet.
     """
+    if bad_dates not in ("fail", "count"):
+        raise ValueError(f"bad_dates must be 'fail' or 'count', got {bad_dates!r}")
+    if bad_dates == "count" and rejects is None:
+        raise ValueError("bad_dates='count' needs a dict to report the counts in")
     raw = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
@@ -127,17 +136,24 @@ def read_table(spark: SparkSession, path: str, table: str,
         .csv(path)
     )
     clean = raw.select(*[normalise_missing(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    if staging:
+        clean.write.mode("overwrite").parquet(staging)
+        clean = spark.read.schema(clean.schema).parquet(staging)
     text = set(text_columns.get(table, ()))
     fixed = dict(declared.get(table, {}))
     rest = [c for c in clean.columns if c not in text and c not in fixed]
     types = {**(infer_types(clean, rest) if infer else {c: "string" for c in rest}), **fixed}
+    dates = [c for c in clean.columns if types.get(c) == "date" and c not in text]
+    if bad_dates == "count" and dates:
+        counts = clean.agg(*[F.count_if(unread_date(F.col(f"`{c}`"))).alias(f"n{i}") for i, c in enumerate(dates)]).first()
+        rejects.update({f"{table}.{c}": counts[f"n{i}"] for i, c in enumerate(dates) if counts[f"n{i}"]})
     out = []
     for c in clean.columns:
         col = F.col(f"`{c}`")
         if c in text or types.get(c, "string") == "string":
             expr = col
         elif types[c] == "date":
-            expr = parse_text_date(col)
+            expr = strict_extract_date(col) if bad_dates == "fail" else parse_extract_date(col)
         elif types[c] == "boolean":
             expr = col.isin("True", "TRUE", "true")  # only BOOL_TEXT values are here
         else:
@@ -165,14 +181,17 @@ def ingest_csv_dir(spark: SparkSession, in_dir: str, out_dir: str | None = None,
         uncommit_load(spark, out_dir, run_ts)  # a retried load is invisible until it commits again
     tables, written = {}, []
     for table, path in sorted(files.items()):
-        df = read_table(spark, path, table, **kwargs)
         alias = table_alias(table)
+        staged = f"{out_dir.rstrip('/')}/_staging/{run_ts}/{table}" if out_dir else None
+        df = read_table(spark, path, table, staging=staged, **kwargs)
         if out_dir:
             base = f"{out_dir.rstrip('/')}/{alias}"
             write_snapshot(df, base, run_ts=run_ts, commit=False)
             written.append(alias)
             df = read_version(spark, base, run_ts).drop(RUN_COLUMN)
         tables[alias] = df
+    if out_dir:
+        delete(spark, f"{out_dir.rstrip('/')}/_staging/{run_ts}", recursive=True)
     if out_dir and written:
         commit_load(spark, out_dir, run_ts, written)
     return tables

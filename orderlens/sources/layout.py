@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 import calendar
 import datetime as dt
@@ -55,8 +56,12 @@ def write_enriched(enriched: DataFrame, base: str, run_ts: str | None = None,
 
 
 def read_enriched(spark: SparkSession, base: str) -> DataFrame:
-    """The newest enriched version (keeps ``order_month`` for partition pruning)."""
-    return read_latest(spark, base).drop("run_ts")
+    """The newest enriched version (keeps ``order_month`` for partition pruning;
+    a DATE also when no line has one and the folder names give no type)."""
+    df = read_latest(spark, base).drop("run_ts")
+    if isinstance(df.schema["order_month"].dataType, DateType):
+        return df
+    return df.withColumn("order_month", F.col("order_month").cast("date"))
 
 
 def stored_month_range(spark: SparkSession, base: str) -> tuple[dt.date, dt.date] | None:

@@ -61,7 +61,7 @@ TEXT_COLUMNS: dict[str, tuple[str, ...]] = {
 }
 
 # Columns the queries compute with, typed once at ingest. Dates arrive as
-# MM/DD/YYYY text and become DATE.
+# MM/DD/YYYY or ISO text and become DATE.
 DECLARED_TYPES: dict[str, dict[str, str]] = {
     "SorMasterRep": {"OrderDate": "date", "ReqShipDate": "date"},
     "SorDetailRep": {

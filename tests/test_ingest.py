@@ -59,12 +59,44 @@ def test_dates_parsed_at_ingest_and_snapshot_written(spark):
            "SalesOrder,InvoiceNumber,OrderDate,Customer\n"
            "0001,10,01/05/2024,007\n"
            "0002,11,13/45/2024,008\n")
-    ingest_csv_dir(spark, folder, out, run_ts="20240101_000000")
+    with pytest.raises(Exception, match="not a date"):
+        ingest_csv_dir(spark, folder, out, run_ts="20240101_000000")
+    rejects = {}
+    ingest_csv_dir(spark, folder, out, run_ts="20240101_000000", bad_dates="count", rejects=rejects)
+    assert rejects == {"SorMasterRep.OrderDate": 1}
     df = read_latest(spark, f"{out}/sor_master")
     rows = sorted(df.collect(), key=lambda r: r.sales_order)
     assert [r.sales_order for r in rows] == ["0001", "0002"]
     assert str(rows[0].order_date) == "2024-01-05" and rows[1].order_date is None
     assert rows[0].customer == "007"
+    assert not os.listdir(f"{out}/_staging")  # the staged text is gone
+
+
+def test_iso_and_slash_dates_both_load(spark):
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    _write(folder, "SorDetailRep.csv", "SalesOrder,OrderQty,LineShipDate\n1,2,2024-03-01\n2,3,3/2/2024\n3,4,2024-03-03T10:15:00\n4,5,NULL\n")
+    _write(folder, "InvPriceHistory.csv", "StockCode,PriceCode,DateChanged\nA,P,2024-01-05\nA,P,2024-02-06 00:00:00\n")
+    tables = ingest_csv_dir(spark, folder)
+    lines = {r.sales_order: str(r.line_ship_date) for r in tables["sor_detail"].collect()}
+    assert lines == {"1": "2024-03-01", "2": "2024-03-02", "3": "2024-03-03", "4": "None"}
+    assert sorted(str(r.date_changed) for r in tables["inv_price_history"].collect()) == ["2024-01-05", "2024-02-06"]
+
+
+def test_every_table_of_the_schema_loads(spark):
+    """All tables with text rules: codes keep their zeros, missing-value tokens are NULL."""
+    from orderlens.sources.schemas import NA_TOKENS, TEXT_COLUMNS, snake_case, table_alias
+
+    folder = tempfile.mkdtemp(prefix="orderlens-csv-")
+    for table, columns in TEXT_COLUMNS.items():
+        body = [",".join(columns), ",".join("007" for _ in columns)]
+        body += [",".join(f'"{NA_TOKENS[(i + k) % len(NA_TOKENS)]}"' for k in range(len(columns))) for i in range(2)]
+        _write(folder, f"{table}.csv", "\n".join(body) + "\n")
+    tables = ingest_csv_dir(spark, folder)
+    assert set(tables) == {table_alias(t) for t in TEXT_COLUMNS}
+    for table, columns in TEXT_COLUMNS.items():
+        rows = [tuple(r) for r in tables[table_alias(table)].collect()]
+        assert tables[table_alias(table)].columns == [snake_case(c) for c in columns]
+        assert sorted(rows, key=str)[0] == ("007",) * len(columns) and all(set(r) in ({"007"}, {None}) for r in rows)
 
 
 def test_latest_snapshot_wins_and_rerun_replaces(spark):

@@ -39,29 +39,70 @@ def confs(spark, values):
                 spark.conf.set(k, v)
 
 
+N = 3000
+
+
+def tables(spark, order=None, item=None, customer=None):
+    """Lines, headers, customers and items with at most the given hot keys."""
+    lines = [line(sales_order=order or f"O{i}" if i % 3 == 0 else f"O{i}", stock_code=item or f"S{i % 97}" if i % 3 == 1 else f"S{i % 97}",
+                  qty=1.0, line_no=i) for i in range(N)]
+    headers = [header(sales_order=f"O{i}", customer=customer if customer and i % 3 == 2 else f"C{i % 50}") for i in range(N)]
+    headers += [header(sales_order=order)] if order else []
+    items = [dict(stock_code=f"S{k}", description=f"d{k}") for k in range(97)] + ([dict(stock_code=item, description="hot item")] if item else [])
+    customers = [dict(customer=f"C{k}", short_name="x") for k in range(50)] + ([dict(customer=customer, short_name="hot")] if customer else [])
+    return frame(spark, DETAIL, lines), frame(spark, MASTER, headers), frame(spark, CUSTOMER, customers), frame(spark, ITEM, items)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
-    n = 3000
-    lines = [line(sales_order="HOT" if i % 3 == 0 else f"O{i}", stock_code="HOT" if i % 3 == 1 else f"S{i % 97}",
-                  qty=1.0, line_no=i) for i in range(n)]
-    headers = [header(sales_order="HOT")] + [header(sales_order=f"O{i}", customer=f"C{i % 50}")
-                                            for i in range(n) if i % 3]
-    items = [dict(stock_code="HOT", description="hot item")] + [dict(stock_code=f"S{k}", description=f"d{k}")
-                                                               for k in range(97)]
-    return (frame(spark, DETAIL, lines), frame(spark, MASTER, headers),
-            frame(spark, CUSTOMER, [dict(customer=f"C{k}", short_name="x") for k in range(50)]),
-            frame(spark, ITEM, items))
-
-
-def test_hot_order_and_item_are_split_in_joins(spark, skewed):
-    with confs(spark, SKEW_CONFS):
-        e = build_enriched(*skewed)
+    return tables(spark, order="HOT", item="HOT")
+
+
+def joins(text, key):
+    """Lines of the sort-merge joins on ``key`` in the plan that ran."""
+    return [x for x in text.split("== Initial Plan ==")[0].splitlines() if "SortMergeJoin" in x and f"[{key}#" in x]
+
+
+def build(spark, tmp_path, inputs, **more):
+    with confs(spark, {**SKEW_CONFS, **more}):
+        e = build_enriched(*inputs, scratch=str(tmp_path / "sides"))
         rows = e.collect()
-        final = plan_text(e, "simple")
-    assert len(rows) == 3000
-    assert sum(1 for r in rows if r.sales_order == "HOT" and r.branch == "B1") == 1000
-    assert "SortMergeJoin" in final
-    assert "skew=true" in final
+        return rows, plan_text(e, "simple")
+
+
+@pytest.mark.parametrize(("hot", "key"), [({"order": "HOT"}, "sales_order"), ({"item": "HOT"}, "stock_code")])
+def test_one_hot_key_is_split_in_its_own_join(spark, tmp_path, hot, key):
+    rows, plan = build(spark, tmp_path, tables(spark, **hot))
+    assert len(rows) == N
+    assert [("skew=true" in x) for x in joins(plan, key)] == [True]
+    other = {"sales_order": "stock_code", "stock_code": "sales_order"}[key]
+    assert len(joins(plan, other)) == 1
+
+
+def test_hot_customer_is_split_in_the_header_join(spark, tmp_path):
+    """That join is written with the sides; its plan is that of the same join."""
+    inputs = tables(spark, customer="HOT")
+    rows, _ = build(spark, tmp_path, inputs)
+    assert sum(r.short_name == "hot" for r in rows) == N // 3
+    with confs(spark, SKEW_CONFS):
+        headers, customers = (spark.read.parquet(str(tmp_path / "sides" / t)) for t in ("headers", "customers"))
+        joined = headers.join(customers, "customer", "left")
+        joined.collect()
+        assert ["skew=true" in x for x in joins(plan_text(joined, "simple"), "customer")] == [True]
+
+
+def test_hot_order_and_item_are_split_together(spark, tmp_path):
+    inputs = tables(spark, order="HOT", item="HOT")
+    rows, plan = build(spark, tmp_path, inputs)
+    assert sum(1 for r in rows if r.sales_order == "HOT" and r.branch == "B1") == N // 3
+    assert all("skew=true" in x for key in ("sales_order", "stock_code") for x in joins(plan, key))
+
+
+def test_items_are_joined_before_the_wide_headers(spark, tmp_path):
+    """The shuffle on the order carries lines and a description, not header columns twice."""
+    _, plan = build(spark, tmp_path, tables(spark))
+    order, item = (plan.index(joins(plan, k)[0]) for k in ("sales_order", "stock_code"))
+    assert order < item  # printed from the top: the header join is the last one
 
 
 def test_hot_values_pre_aggregated_in_report(spark, skewed):
