@@ -19,5 +19,5 @@ def test_bench_prints_one_json_line():
     result = json.loads(lines[0])
     assert result["unit"] == "sec" and result["sf"] == "0.001"
     assert result["metric"] and result["value"] > 0
-    assert {"enriched_build", "order_trend", "category_report", "top_stock"} <= set(result["queries"])
+    assert {"enriched_build", "order_trend_stored", "detail_page_deep", "category_report", "top_stock", "latest_report"} <= set(result["queries"])
     assert all(v > 0 for v in result["queries"].values())
