@@ -189,7 +189,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total: fl
     # equal rows are told apart by their number among equals
     copies = sized.groupBy("doc_id", "source", "_t", "n_words").agg(F.count("*").alias("_c"))
     sized = copies.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))))
-    sized = scratch.write(sized.select(F.struct("doc_id", "_t", "_i").alias("row"), "doc_id", "source", "n_words"), "sized")
+    sized = scratch.write(sized.select(F.struct("doc_id", "source", "_t", "_i").alias("row"), "doc_id", "source", "n_words"), "sized")
     sizes = sized.groupBy("source").agg(F.sum("n_words").alias("source_size"))
     targets = scratch.write(source_targets(sizes, weights, total, most), "targets")
     if (n := targets.count()) > MOST_SOURCES:
