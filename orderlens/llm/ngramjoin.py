@@ -28,15 +28,16 @@ from orderlens.llm.components import connected_components
 from orderlens.llm.store import Scratch
 from orderlens.llm.words import Words, mix, shingle_hashes, text_chunks, unique
 
-#: Text of which common n-grams are counted together, and the count from which one is reported.
-COUNTED_BYTES, REPORTED = 16 << 20, 4
-#: An n-gram is common when reports of it reach one document in so many. This and the length of the list
-#: only affect the order of columns, never the result; the list is broadcast.
-COMMON_SHARE, MOST_COMMON = 2500, 1 << 20
+#: Text of which n-grams are counted together before the counts are shuffled.
+COUNTED_BYTES = 16 << 20
+#: N-grams whose hash is below this, which are all that come first, are counted; those in this many sets or
+#: more are common and come last. Both, and the length of the list of common ones, which is broadcast,
+#: only affect the order of columns, never the result.
+COUNTED_BELOW, COMMON, MOST_COMMON = np.uint64(1 << 62), 16, 1 << 20
 #: Kept n-grams in a block of columns.
-COLUMN_BLOCK = 1 << 20
+COLUMN_BLOCK = 3 << 19
 #: A column with more rows only clusters them.
-WIDE_COLUMN = 256
+WIDE_COLUMN = 64
 #: Rows and n-grams in a block of rows.
 BLOCK_ROWS, BLOCK_NGRAMS = 256, 1 << 19
 
@@ -70,43 +71,58 @@ def _as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _ngrams(n: int):
-    """Rows (doc_id, size, sig) of documents, and rows (grams, counts) of n-grams that are frequent nearby."""
+def _ngrams(n: int, blocks: int):
+    """Rows (doc_id, size, sig) of documents, and rows (block, grams, counts) of counted n-grams."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
         seen = 0
-        names = ["doc_id", "size", "sig", "grams", "counts"]
+        names = ["doc_id", "size", "sig", "block", "grams", "counts"]
 
-        def report(kind):
+        def counted(kind):
             h = np.sort(np.concatenate(pending))
-            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
-            count = np.diff(at)
-            often = count >= REPORTED
-            grams, counts = h[at[:-1][often]], count[often]
-            return pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), _list_array(_as_long(grams), np.array([0, len(grams)]), pa.int64()),
-                                               _list_array(counts, np.array([0, len(grams)]), pa.int64())], names)
+            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
+            gram, count = h[at[:-1]], np.diff(at).astype(np.int32)
+            block = (mix(gram) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            block = block[order]
+            cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(block) else np.zeros(1, np.int64)
+            k = len(cuts) - 1
+            return pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(block[cuts[:-1]]),
+                                               _list_array(_as_long(gram[order]), cuts, pa.int64()), _list_array(count[order], cuts, pa.int32())], names)
 
         for batch in batches:
             kind = batch.column("doc_id").type
             for part in text_chunks(batch, "text"):
                 h, off = ngram_sets(part.column("text"), n)
                 sig, size = signatures(h, off), np.diff(off)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(_as_long(sig), mask=size == 0), pa.nulls(len(size), pa.list_(pa.int64())),
-                                                  pa.nulls(len(size), pa.list_(pa.int64()))], names)
+                k = len(size)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(_as_long(sig), mask=size == 0), pa.nulls(k, pa.int64()),
+                                                  pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32()))], names)
                 # a set that repeats here counts once
-                first = np.isin(np.arange(len(sig)), np.unique(sig, return_index=True)[1])
-                pending.append(h[np.repeat(first, size)])
+                first = np.isin(np.arange(k), np.unique(sig, return_index=True)[1])
+                pending.append(h[np.repeat(first, size) & (h < COUNTED_BELOW)])
                 seen += part.nbytes
                 if seen >= COUNTED_BYTES:
-                    yield report(kind)
+                    yield counted(kind)
                     pending, seen = [], 0
         if pending:
-            yield report(kind)
+            yield counted(kind)
     return run
 
 
+def _common(table: pa.Table) -> pa.Table:
+    gram, count = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(k).chunks]) for k in ("grams", "counts"))
+    order = np.argsort(gram, kind="stable")
+    gram = gram[order]
+    first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+    total = np.add.reduceat(count[order].astype(np.int64), first)
+    often = total >= COMMON
+    return pa.table({"gram": gram[first][often], "sets": total[often]})
+
+
 def _kept_columns(n: int, percent: int, common, blocks: int):
-    """Rows (block, gram, sig, size, at): the kept n-grams of each distinct set, by block of columns."""
+    """Rows (block, gram, sig, size, at, last): the kept n-grams of each distinct set, by block of columns;
+    ``last`` is the place in the order of columns of the last one that the set keeps."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = common.value
         for batch in batches:
@@ -119,38 +135,46 @@ def _kept_columns(n: int, percent: int, common, blocks: int):
                 if len(heavy) and len(h):
                     i = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
                     is_common = heavy[i] == h
-                grams, sigs, sizes, ats = [], [], [], []
+                grams, sigs, sizes, ats, lasts = [], [], [], [], []
                 for d in first:
                     s, c = h[off[d]:off[d + 1]], is_common[off[d]:off[d + 1]]
                     size = len(s)
                     keep = size - -(-percent * size // 100) + 1
+                    last = int(max(0, keep - (size - c.sum())))  # common columns kept
                     s = np.concatenate((s[~c], s[c]))[:keep]
+                    lasts.append(np.full(len(s), (s[-1] >> np.uint64(2)) | np.uint64((last > 0) << 62)))
                     grams.append(s)
                     sigs.append(np.full(len(s), sig[d]))
                     sizes.append(np.full(len(s), size, np.int32))
                     ats.append(np.arange(len(s), dtype=np.int32))
                 if not grams:
                     continue
-                g, s, z, a = map(np.concatenate, (grams, sigs, sizes, ats))
+                g, s, z, a, e = map(np.concatenate, (grams, sigs, sizes, ats, lasts))
                 block = (mix(g) % np.uint64(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 block = block[order]
                 cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
                 yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), _list_array(_as_long(g[order]), cuts, pa.int64()), _list_array(_as_long(s[order]), cuts, pa.int64()),
-                                                  _list_array(z[order], cuts, pa.int32()), _list_array(a[order], cuts, pa.int32())], ["block", "gram", "sig", "size", "at"])
+                                                  _list_array(z[order], cuts, pa.int32()), _list_array(a[order], cuts, pa.int32()), _list_array(_as_long(e[order]), cuts, pa.int64())],
+                                                 ["block", "gram", "sig", "size", "at", "last"])
     return run
 
 
 def _accumulate(percent: int):
-    """Partial products of a block of columns: (a, b, shared, after_a, after_b, size_a, size_b), shared 0
-    for rows that a wide column puts into one cluster."""
+    """Partial products of a block of columns: (a, b, shared, after, need), shared 0 for rows that a wide
+    column puts into one cluster.
+
+    ``after`` bounds what columns may add to the overlap beyond all shared ones that are kept: no more than
+    either row has after this one, and no more than the row whose kept columns end first has in all after
+    them, as up to there both rows have been compared. ``need`` is the least overlap of a link."""
     def run(table: pa.Table) -> pa.Table:
-        gram, sig, size, at = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(k).chunks]) for k in ("gram", "sig", "size", "at"))
+        gram, sig, size, at, last = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(k).chunks]) for k in ("gram", "sig", "size", "at", "last"))
         order = np.lexsort((sig, size, gram))
-        gram, sig, size, at = gram[order], sig[order], size[order].astype(np.int64), at[order].astype(np.int64)
+        gram, sig, size, at, last = gram[order], sig[order], size[order].astype(np.int64), at[order].astype(np.int64), last[order]
         fresh = np.ones(len(gram), bool)  # the same set from several tasks
         fresh[1:] = (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])
-        gram, sig, size, at = gram[fresh], sig[fresh], size[fresh], at[fresh]
+        gram, sig, size, at, last = gram[fresh], sig[fresh], size[fresh], at[fresh], last[fresh]
+        unseen = -(-percent * size // 100) - 1
         cuts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1], [True])))
         length = np.diff(cuts)
         out = []
@@ -161,31 +185,32 @@ def _accumulate(percent: int):
         i = i[100 * size[i] >= percent * size[i + 1]]
         if len(i):
             zero = np.zeros(len(i), np.int64)
-            out.append((sig[i], sig[i + 1], zero, zero, zero, size[i], size[i + 1]))
+            out.append((sig[i], sig[i + 1], zero, zero, zero))
         # all pairs at the same distance in their column together
-        last = np.repeat(np.where((length > 1) & (length <= WIDE_COLUMN), cuts[1:], 0), length)
+        stop = np.repeat(np.where((length > 1) & (length <= WIDE_COLUMN), cuts[1:], 0), length)
         for step in range(1, min(WIDE_COLUMN, int(length.max(initial=0)))):
-            i = np.flatnonzero(np.arange(len(gram)) + step < last)
+            i = np.flatnonzero(np.arange(len(gram)) + step < stop)
             if not len(i):
                 break
             j = i + step
             ok = 100 * size[i] >= percent * size[j]
             i, j = i[ok], j[ok]
-            most = 1 + np.minimum(at[i], at[j]) + np.minimum(size[i] - at[i], size[j] - at[j]) - 1
-            ok = most >= least_overlap(percent, size[i], size[j])
-            i, j = i[ok], j[ok]
+            after, need = np.minimum(size[i] - at[i], size[j] - at[j]) - 1, least_overlap(percent, size[i], size[j])
+            ok = 1 + np.minimum(at[i], at[j]) + after >= need
+            i, j, after, need = i[ok], j[ok], after[ok], need[ok]
             if len(i):
+                # what kept columns add is counted in ``shared``: the rest of both rows bounds the rest
+                rest = np.where(last[i] <= last[j], unseen[i], unseen[j])
                 swap = sig[i] > sig[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                out.append((sig[i], sig[j], np.ones(len(i), np.int64), size[i] - at[i] - 1, size[j] - at[j] - 1, size[i], size[j]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 7
+                out.append((np.where(swap, sig[j], sig[i]), np.where(swap, sig[i], sig[j]), np.ones(len(i), np.int64), np.minimum(after, rest), need))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
         if len(cols[0]):
             order = np.lexsort((cols[1], cols[0]))
             cols = [c[order] for c in cols]
             start = np.flatnonzero(np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))))
             shared = np.where(np.minimum.reduceat(cols[2], start) == 0, 0, np.add.reduceat(cols[2], start))
-            cols = [cols[0][start], cols[1][start], shared, np.minimum.reduceat(cols[3], start), np.minimum.reduceat(cols[4], start), cols[5][start], cols[6][start]]
-        return pa.table(dict(zip(("a", "b", "shared", "after_a", "after_b", "size_a", "size_b"), cols, strict=True)))
+            cols = [cols[0][start], cols[1][start], shared, np.minimum.reduceat(cols[3], start), cols[4][start]]
+        return pa.table(dict(zip(("a", "b", "shared", "after", "need"), cols, strict=True)))
     return run
 
 
@@ -298,26 +323,28 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, scratch:
     scratch = scratch or Scratch(spark, "ngram-join")
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    first = scratch.write(docs.mapInArrow(_ngrams(n), f"doc_id {kind}, size long, sig long, grams array<long>, counts array<long>"), "first")
-    rows = first.where("grams is null").select("doc_id", "size", "sig")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    first = scratch.write(docs.mapInArrow(_ngrams(n, max(least, text // 24 // COLUMN_BLOCK + 1)),
+                                          f"doc_id {kind}, size long, sig long, block long, grams array<long>, counts array<int>"), "first")
+    rows = first.where("block is null").select("doc_id", "size", "sig")
     about = rows.agg(F.count("*").alias("n"), F.sum("size").alias("grams")).first()
-    often = (first.where("grams is not null").select(F.explode(F.arrays_zip("grams", "counts")).alias("g")).groupBy("g.grams").agg(F.sum("g.counts").alias("c"))
-             .where(F.col("c") >= max(16, about.n // COMMON_SHARE)).orderBy(F.desc("c"), "grams").limit(MOST_COMMON))
-    common = spark.sparkContext.broadcast(np.sort(np.array([r.grams for r in often.collect()], np.int64).view(np.uint64)))
+    often = (first.where("block is not null").select("block", "grams", "counts").groupBy("block").applyInArrow(_common, "gram long, sets long")
+             .orderBy(F.desc("sets"), "gram").limit(MOST_COMMON))
+    common = spark.sparkContext.broadcast(np.sort(np.array([r.gram for r in often.collect()], np.int64).view(np.uint64)))
     kept = int((about.grams or 0) * (1 - percent / 100)) + about.n
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), kept // COLUMN_BLOCK + 1)
-    columns = docs.mapInArrow(_kept_columns(n, percent, common, blocks), "block long, gram array<long>, sig array<long>, size array<int>, at array<int>")
-    partial = columns.groupBy("block").applyInArrow(_accumulate(percent), "a long, b long, shared long, after_a long, after_b long, size_a long, size_b long")
-    bound = F.ceil(F.lit(percent) * (F.col("size_a") + F.col("size_b")) / F.lit(100 + percent) - 1e-9)
-    pairs = (partial.groupBy("a", "b").agg(F.min("shared").alias("least"), F.sum("shared").alias("shared"), F.min("after_a").alias("after_a"), F.min("after_b").alias("after_b"),
-                                           F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
-             .where((F.col("least") == 0) | (F.col("shared") + F.least("after_a", "after_b") >= bound)).select("a", "b"))
+    blocks = kept // COLUMN_BLOCK + 1  # few: a pair's overlaps are added up in a block before they are shuffled
+    columns = docs.mapInArrow(_kept_columns(n, percent, common, blocks), "block long, gram array<long>, sig array<long>, size array<int>, at array<int>, last array<long>")
+    partial = columns.groupBy("block").applyInArrow(_accumulate(percent), "a long, b long, shared long, after long, need long")
+    pairs = (partial.groupBy("a", "b").agg(F.min("shared").alias("least"), F.sum("shared").alias("shared"), F.min("after").alias("after"), F.max("need").alias("need"))
+             .where((F.col("least") == 0) | (F.col("shared") + F.col("after") >= F.col("need"))).select("a", "b"))
     clusters = connected_components(pairs, scratch, "clusters")
     sets = scratch.write(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.count("*").alias("copies")), "sets")
     members = clusters.withColumnRenamed("id", "sig").join(sets, "sig").where("first_id is not null")
     units = scratch.write(_units(members, percent, scratch).withColumnRenamed("first_id", "doc_id"), "units")
     wanted = units.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "side", "sig", "root", "copies")).alias("to"))
-    work = docs.join(scratch.write(wanted, "wanted"), "doc_id").select("text", F.explode("to").alias("t")).select("t.*", "text")
+    # texts are always shuffled to their tasks, at any size of the other side
+    work = docs.join(scratch.write(wanted, "wanted").hint("merge"), "doc_id").select("text", F.explode("to").alias("t")).select("t.*", "text")
     found = scratch.write(work.groupBy("unit").applyInArrow(_links(n, percent), "sig long, to long, links long"), "links")
     parts = connected_components(found.select(F.col("sig").alias("a"), F.col("to").alias("b")), scratch, "linked")
     named = parts.withColumnRenamed("id", "sig").join(sets.select("sig", "first_id"), "sig", "left")
