@@ -7,7 +7,7 @@ of a later join start from plain scans, so adaptive execution can split a hot ke
 from __future__ import annotations
 
 import atexit
-import tempfile
+import io
 import uuid
 import zipfile
 from pathlib import Path
@@ -25,15 +25,31 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this library to the executors, once a Spark application: their Python need not have it."""
-    if spark.sparkContext.applicationId not in _SHIPPED:
-        _SHIPPED.add(spark.sparkContext.applicationId)
-        package = Path(orderlens.__file__).parent
-        archive = Path(tempfile.mkdtemp(prefix="orderlens-py-")) / "orderlens.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        spark.sparkContext.addPyFile(str(archive))
+    """Sends this library to the executors, once a Spark application: their Python need not have it. The
+    archive lies in the shared checkpoint folder, as everything that executors read."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package, archive = Path(orderlens.__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/orderlens-llm/package-{uuid.uuid4().hex}"
+    if not _ROOTS:
+        atexit.register(_clear)
+    _ROOTS.append((spark, root))
+    write_bytes(spark, f"{root}/orderlens.zip", archive.getvalue())
+    spark.sparkContext.addPyFile(f"{root}/orderlens.zip")
+
+
+def write_bytes(spark: SparkSession, file_path: str, data: bytes) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file_path)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
 
 
 class Scratch:
