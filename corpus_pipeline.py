@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on all labels of these documents, does not call toxic."""
     scratch = Scratch(spark, "toxicity")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(False), scratch)
-    return toxicity.score(docs, model, docs.columns).where("score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model, docs.columns, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,8 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, scratch: Scratch, label: s
     return scratch.write(one.select("text", "y").mapInArrow(train, "feature long, weight double"), "weights")
 
 
-def score(docs: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with score, the probability that the text is toxic; a null text is empty
+def score(docs: DataFrame, model: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` with ``name``, the probability that the text is toxic; a null text is empty
     and an empty text gets the bias alone. The model has at most 2^BITS weights."""
     weights = model.collect()
     at = np.array([r.feature for r in weights if r.feature >= 0], np.int64)
@@ -136,9 +136,9 @@ def score(docs: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame:
                 sums = np.bincount(np.repeat(np.arange(len(off) - 1), np.diff(off)), w[x], minlength=len(off) - 1)
                 scores.append(1.0 / (1.0 + np.exp(-np.clip(bias + sums, -35, 35))))
             out = pa.array(np.concatenate(scores) if scores else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), out], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), out], [*keep, name])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(apply, schema)
 
 
