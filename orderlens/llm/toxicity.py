@@ -111,8 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, scratch: Scratch, label: s
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], bias))], ["feature", "weight"])
 
-    rows = training_rows(docs, labels, label, held_out, most_rows)
-    one = rows.repartitionByRange(1, "order").sortWithinPartitions("order", "doc_id", F.xxhash64("text"))
+    rows = scratch.write(training_rows(docs, labels, label, held_out, most_rows), "sample")
+    one = rows.coalesce(1).sortWithinPartitions("order", "doc_id", F.xxhash64("text"))  # whatever the shuffle settings
     return scratch.write(one.select("text", "y").mapInArrow(train, "feature long, weight double"), "weights")
 
 
