@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from orderlens.llm.components import connected_components
 from orderlens.llm.store import Scratch
+from orderlens.llm.suffixes import row_key
 from orderlens.llm.words import Words, mix, shingle_hashes, text_chunks, unique
 
 #: Text of which n-grams are counted together before the counts are shuffled.
@@ -72,11 +73,11 @@ def _as_long(x: np.ndarray) -> np.ndarray:
 
 
 def _ngrams(n: int, blocks: int):
-    """Rows (doc_id, size, sig) of documents, and rows (block, grams, counts) of counted n-grams."""
+    """Rows (doc_id, key, size, sig) of documents, and rows (block, grams, counts) of counted n-grams."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
         seen = 0
-        names = ["doc_id", "size", "sig", "block", "grams", "counts"]
+        names = ["doc_id", "key", "size", "sig", "block", "grams", "counts"]
 
         def counted(kind):
             h = np.sort(np.concatenate(pending))
@@ -87,7 +88,7 @@ def _ngrams(n: int, blocks: int):
             block = block[order]
             cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(block) else np.zeros(1, np.int64)
             k = len(cuts) - 1
-            return pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(block[cuts[:-1]]),
+            return pa.RecordBatch.from_arrays([pa.nulls(k, kind), *[pa.nulls(k, pa.int64())] * 3, pa.array(block[cuts[:-1]]),
                                                _list_array(_as_long(gram[order]), cuts, pa.int64()), _list_array(count[order], cuts, pa.int32())], names)
 
         for batch in batches:
@@ -96,7 +97,7 @@ def _ngrams(n: int, blocks: int):
                 h, off = ngram_sets(part.column("text"), n)
                 sig, size = signatures(h, off), np.diff(off)
                 k = len(size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(_as_long(sig), mask=size == 0), pa.nulls(k, pa.int64()),
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(size), pa.array(_as_long(sig), mask=size == 0), pa.nulls(k, pa.int64()),
                                                   pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32()))], names)
                 # a set that repeats here counts once
                 first = np.isin(np.arange(k), np.unique(sig, return_index=True)[1])
@@ -243,7 +244,7 @@ def _links(n: int, percent: int):
         h, off = ngram_sets(texts, n)
         found = _as_long(signatures(h, off))
         want, root, side, copies = (table.column(k).to_numpy() for k in ("sig", "root", "side", "copies"))
-        good = np.flatnonzero(found == want)  # an id that stands for several texts brings some others along
+        good = np.flatnonzero(found == want)
         good = good[np.unique(np.stack((want[good], side[good])), axis=1, return_index=True)[1]] if len(good) else good
         good = good[np.lexsort((want[good], root[good]))]
         sig_out, to_out, links_out = [], [], []
@@ -315,19 +316,19 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, scratch:
     smallest doc_id reachable by links, itself included; n_links the other rows it is linked with.
 
     Texts without words, empty and null ones have an empty set, no links and their own id. Repeated rows
-    and ids are rows of their own (equal sets link). A null id takes part through rows that have its set
-    and an id; alone its component_id is null. Texts of any length are read whole; an empty table gives no
-    rows; other columns are ignored.
+    and ids are rows of their own (equal sets link). Rows with a null id link as all others do; component_id
+    is null where no id is reachable. Texts of any length are read whole; an empty table gives no rows;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "ngram-join")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", row_key().alias("key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     first = scratch.write(docs.mapInArrow(_ngrams(n, max(least, text // 24 // COLUMN_BLOCK + 1)),
-                                          f"doc_id {kind}, size long, sig long, block long, grams array<long>, counts array<int>"), "first")
-    rows = first.where("block is null").select("doc_id", "size", "sig")
+                                          f"doc_id {kind}, key long, size long, sig long, block long, grams array<long>, counts array<int>"), "first")
+    rows = first.where("block is null").select("doc_id", "key", "size", "sig")
     about = rows.agg(F.count("*").alias("n"), F.sum("size").alias("grams")).first()
     often = (first.where("block is not null").select("block", "grams", "counts").groupBy("block").applyInArrow(_common, "gram long, sets long")
              .orderBy(F.desc("sets"), "gram").limit(MOST_COMMON))
@@ -339,12 +340,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, scratch:
     pairs = (partial.groupBy("a", "b").agg(F.min("shared").alias("least"), F.sum("shared").alias("shared"), F.min("after").alias("after"), F.max("need").alias("need"))
              .where((F.col("least") == 0) | (F.col("shared") + F.col("after") >= F.col("need"))).select("a", "b"))
     clusters = connected_components(pairs, scratch, "clusters")
-    sets = scratch.write(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.count("*").alias("copies")), "sets")
-    members = clusters.withColumnRenamed("id", "sig").join(sets, "sig").where("first_id is not null")
-    units = scratch.write(_units(members, percent, scratch).withColumnRenamed("first_id", "doc_id"), "units")
-    wanted = units.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "side", "sig", "root", "copies")).alias("to"))
+    sets = scratch.write(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("key"), F.first("size").alias("size"), F.count("*").alias("copies")), "sets")
+    members = clusters.withColumnRenamed("id", "sig").join(sets.drop("first_id"), "sig")
+    units = scratch.write(_units(members, percent, scratch), "units")
+    wanted = units.groupBy("key").agg(F.collect_list(F.struct("unit", "side", "sig", "root", "copies")).alias("to"))
     # texts are always shuffled to their tasks, at any size of the other side
-    work = docs.join(scratch.write(wanted, "wanted").hint("merge"), "doc_id").select("text", F.explode("to").alias("t")).select("t.*", "text")
+    carriers = docs.select("key", "text").join(scratch.write(wanted, "wanted").hint("merge"), "key").dropDuplicates(["key"])
+    work = carriers.select("text", F.explode("to").alias("t")).select("t.*", "text")
     found = scratch.write(work.groupBy("unit").applyInArrow(_links(n, percent), "sig long, to long, links long"), "links")
     parts = connected_components(found.select(F.col("sig").alias("a"), F.col("to").alias("b")), scratch, "linked")
     named = parts.withColumnRenamed("id", "sig").join(sets.select("sig", "first_id"), "sig", "left")

@@ -70,3 +70,13 @@ def test_odd_rows(make_docs):
 
 def test_empty(make_docs):
     assert ngram_jaccard_join(make_docs([])).count() == 0
+
+
+def test_bridge_without_an_id(make_docs):
+    """The only row of its set has no id, and two others are linked through it alone."""
+    words = [f"w{i}" for i in range(103)]
+    a, bridge, b = (" ".join(words[i:i + 97]) for i in (0, 3, 6))
+    rows = [(7, a), (None, bridge), (3, b), (20, "other words altogether")]
+    assert sorted((c, n) for *_, c, n in brute(rows, 4, 92)) == [(3, 1), (3, 1), (3, 2), (20, 0)]
+    check(make_docs, rows, 4, 92)
+    check(make_docs, [*rows, *rows, (None, a + " x"), (None, None), (None, "p q r s t"), (None, "p q r s t"), (3, "p q r s t u")], 4, 92)
