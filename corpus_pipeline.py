@@ -23,13 +23,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join (five words, similarity 0.8): the one with
-    the smallest id. Of rows that share that id one stays; rows without an id and a component stay."""
+    """One row of each component of the n-gram Jaccard join (five words, similarity 0.8): the one with the
+    smallest id, those without an id last, and of these the one with the least text hash. Rows with equal id
+    and text are one document, rows that share an id alone are not; rows without an id and words all stay."""
     scratch = Scratch(spark, "near-copies")
-    joined = ngramjoin.ngram_jaccard_join(docs, n=5, percent=80, scratch=scratch)
-    keep = scratch.write(joined.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct(), "keep")
-    return (docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
-            .unionByName(docs.where("doc_id is null")))
+    bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(~bare)
+    # the join sees row keys as ids: never null, and different texts of one id stay apart
+    joined = ngramjoin.ngram_jaccard_join(rows.select(suffixes.row_key().alias("doc_id"), "text"), n=5, percent=80, scratch=scratch)
+    part_of = joined.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("part")).distinct()
+    whole = F.xxhash64(*docs.columns)  # tells rows apart that share id and text
+    place = rows.select(suffixes.row_key().alias("_key"), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("t"), whole.alias("_whole")).alias("place"))
+    keep = scratch.write(place.join(part_of, "_key").groupBy("part").agg(F.min("place").alias("m")).select("m._whole"), "keep")
+    return (rows.withColumn("_whole", whole).join(keep, "_whole", "left_semi").dropDuplicates(["_whole"]).drop("_whole")
+            .unionByName(docs.where(bare)))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +45,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = Scratch(spark, "leaks").write(containment.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti")
+    """Documents that hold no benchmark item, told apart by id and text, so with a null or repeated id too."""
+    found = containment.contained_items(docs.select(suffixes.row_key().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = Scratch(spark, "leaks").write(found.select(F.col("doc_id").alias("_key")).distinct(), "leaks")
+    return docs.withColumn("_key", suffixes.row_key()).join(leaks, "_key", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,25 @@ def test_pipeline(spark):
         assert all(0 < r.taken <= 2 * r.size and abs(r.target - want[s]) < 1e-6 * want[s] + 1e-6 for r in mine)
         assert abs(sum(r.taken for r in mine) - want[s]) <= 0.1 * want[s] + 256
     assert p.run(spark, SF).count() == len(mixed)
+
+
+def test_pipeline_rows_with_null_and_repeated_ids(spark, make_docs):
+    import corpus_pipeline as p
+
+    text = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    a, b, d, e = (text(c) for c in "abde")
+    rows = [(3, a), (5, a), (5, b), (None, a + " end"), (None, d), (None, d), (None, d + " end"), (7, e), (7, e), (None, e), (8, None), (8, ""), (None, None), (None, " ")]
+    kept = p.drop_near_copies(spark, make_docs(rows), SF)
+    assert kept.columns == make_docs(rows).columns
+    got = [(r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()]
+    null = [t for i, t in got if i is None and t and t.strip()]
+    assert sorted((x for x in got if x[0] is not None), key=str) == sorted([(3, a), (5, b), (7, e), (8, None), (8, "")], key=str)
+    assert len(null) == 1 and null[0] in (d, d + " end")
+    assert sorted((t for i, t in got if i is None and t not in null), key=str) == [" ", None] and len(got) == 8
+    for order in (rows[::-1], rows[5:] + rows[:5]):
+        assert sorted(p.drop_near_copies(spark, make_docs(order), SF).collect(), key=str) == sorted(kept.collect(), key=str)
+
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text and len(r.text.split()) > 9)
+    rows = [(None, f"{a} {item} {b}"), (None, a), (5, f"{b} {item}"), (5, b), (6, None), (None, None)]
+    left = [(r.doc_id, r.text) for r in p.drop_contaminated(spark, make_docs(rows), SF).collect()]
+    assert sorted(left, key=str) == sorted([(None, a), (5, b), (6, None), (None, None)], key=str)
