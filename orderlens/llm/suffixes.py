@@ -2,12 +2,14 @@
 
 Of all suffixes of the corpus only those that start with a minimiser are kept: the least HEAD-word hash
 of every MATCH-word window. Two equal windows have the same minimiser, so a passage that repeats shares a
-kept suffix. Suffixes whose head occurs once are dropped; the rest are sorted, with the windows around
-them, into runs of equal neighbours. A match extends to the left and right as far as neighbouring windows
+kept suffix. Suffixes whose head occurs once are dropped; of the rest, the windows around them are sorted
+into runs of equal neighbours. A match extends to the left and right as far as neighbouring windows
 match too: the repeated part of a document is the union of its windows that occur elsewhere.
 
-Heads and windows are matched by hash blocks. Before that each task matches what repeats within it and
-sends one copy on, so a passage that a third of all documents share costs a row a task.
+Heads and windows are matched by hash blocks, each by its own hash: equal windows meet, and the different
+windows around a short phrase that many documents share are spread evenly. Before that each task matches
+what repeats within it and sends one copy on, so a passage that a third of all documents share costs a row
+a task.
 """
 
 from __future__ import annotations
@@ -162,7 +164,7 @@ def _found(row, start, later) -> tuple[np.ndarray, pa.Array, pa.Array]:
 
 def _windows(blocks: int):
     """Windows whose minimiser another suffix has too, one of each in a part of a task, by block of the
-    minimiser; and those that the part itself repeats, by row."""
+    window's hash; and those that the part itself repeats, by row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in WINDOWS.split(", ")]
         for batch in batches:
@@ -175,15 +177,12 @@ def _windows(blocks: int):
                 with np.errstate(over="ignore"):
                     salt = lambda d: mix(d.astype(np.uint64) + np.uint64(1))
                     keep = np.isin(least + salt(doc), wanted + salt(of))
-                doc, start, least, whole = doc[keep], start[keep].astype(np.int32), least[keep], whole[keep]
+                doc, start, whole = doc[keep], start[keep].astype(np.int32), whole[keep]
                 if not len(doc):
                     continue
-                with np.errstate(over="ignore"):
-                    block = (mix(least) % np.uint64(blocks)).astype(np.int64)
-                # equal windows have equal minimisers: the block can be looked up by the window's hash
-                by_hash = np.argsort(whole, kind="stable")
                 h, d, r, s, several, later = _settle(whole, order_of[doc], ids[doc], start)
-                b = block[by_hash][np.searchsorted(whole[by_hash], h)]
+                with np.errstate(over="ignore"):
+                    b = (mix(h) % np.uint64(blocks)).astype(np.int64)
                 one = ~later
                 key, at, (hh, rr, dd, ss) = _by_block(b[one], h[one], r[one], d[one], s[one])
                 k = len(key)
@@ -254,7 +253,9 @@ def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     common = heads.where("block is not null").groupBy("block").applyInArrow(_common_heads, "row long, head array<long>")
     kept = flat(common.unionByName(heads.where("block is null").select("row", "head")), "head")
     kept = scratch.write(kept.select("row", F.array_distinct("head").alias("heads")), "kept")
-    around = scratch.write(docs.join(kept, "row").mapInArrow(_windows(blocks), WINDOWS), "windows")
+    # a kept suffix is the minimiser of WINDOW / 2 windows on average
+    several = (kept.agg(F.sum(F.size("heads")).alias("n")).first().n or 0) * WINDOW // 2
+    around = scratch.write(docs.join(kept, "row").mapInArrow(_windows(max(blocks, several // BLOCK + 1)), WINDOWS), "windows")
     again = around.where("block is not null").groupBy("block").applyInArrow(_common_windows, FOUND)
     found = flat(again.unionByName(around.where("block is null").select("row", "starts", "later")), "starts", "later")
     return scratch.write(found.mapInArrow(_spans, SPANS), "spans")

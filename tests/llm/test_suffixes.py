@@ -1,7 +1,10 @@
 import random
 from collections import defaultdict
 
-from orderlens.llm.suffixes import cut_passages, repeated_passages, row_key
+import numpy as np
+import pyarrow as pa
+
+from orderlens.llm.suffixes import _windows, cut_passages, repeated_passages, row_key, windows
 
 from .conftest import ODD_ROWS
 from .test_words import lowered
@@ -65,3 +68,29 @@ def test_odd_rows(make_docs):
 
 def test_empty(make_docs):
     assert repeated_passages(make_docs([])).count() == 0
+
+
+def around_a_phrase(n):
+    """Texts that share 30 words, less than a passage, with other words around them."""
+    footer = " ".join(f"f{i}" for i in range(30))
+    return [(d, " ".join(f"a{d}x{i}" for i in range(25)) + f" {footer} " + " ".join(f"b{d}x{i}" for i in range(25))) for d in range(n)]
+
+
+def test_windows_around_a_common_phrase_are_spread():
+    texts = pa.array([t for _, t in around_a_phrase(400)])
+    _, doc, _, least, _, _ = windows(texts)
+    head, n = np.unique(least, return_counts=True)
+    hot = head[n > 399].view(np.int64).tolist()
+    assert hot
+    k = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(k)), pa.array(range(k)), texts, pa.array([hot] * k)], ["row", "place", "text", "heads"])
+    sizes = np.zeros(16, int)
+    for out in _windows(16)([batch]):
+        for block, hashes in zip(out.column("block").to_pylist(), out.column("hash").to_pylist(), strict=True):
+            sizes[block] += len(hashes)
+    assert sizes.sum() >= 400 and sizes.max() < 2 * sizes.mean()
+
+
+def test_common_phrase_matches_brute_force(make_docs):
+    rows = around_a_phrase(40)
+    check(make_docs, [*rows, (100, rows[3][1] + " more"), (101, "before " + rows[5][1])])
