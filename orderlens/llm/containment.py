@@ -50,14 +50,14 @@ def seeded(h: np.ndarray, r: int) -> np.ndarray:
 
 def bin_minima(h: np.ndarray, off: np.ndarray, classes: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
     """(set number, value) of the bin minima of sketch r of each set: a set of class c has 2^(c+1) bins,
-    and a value's bin is its leading bits."""
+    and a value's bin is its leading bits. Only bins that hold a value take memory."""
     values, owner = seeded(h, r), np.repeat(np.arange(len(off) - 1), np.diff(off))
     first = np.concatenate(([0], np.cumsum(np.int64(1) << (classes + 1))))
     slot = first[owner] + (values >> (np.uint64(63) - classes.astype(np.uint64)[owner])).astype(np.int64)
-    low = np.full(first[-1], np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(low, slot, values)
-    won = low[slot] == values
-    return owner[won], values[won]
+    order = np.argsort(slot)
+    slot = slot[order]
+    run = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(slot) else order
+    return owner[order[run]], np.minimum.reduceat(values[order], run) if len(run) else values
 
 
 class ItemBlock:
