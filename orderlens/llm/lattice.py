@@ -88,8 +88,9 @@ class Lattice:
             yield order[i:j]
             i = j
 
-    def _long(self, spelt: np.ndarray) -> float:
-        """Log probability of one word of any length: slices of its lattice, a few positions kept."""
+    def _long(self, spelt: np.ndarray, weight: float = 0.0, uses: np.ndarray | None = None) -> float:
+        """Log probability of one word of any length: slices of its lattice, a few positions kept. With a
+        weight, the expected uses of its pieces are added to ``uses``, by slices from the right."""
         alpha = np.full(len(spelt) + 1, -np.inf)
         alpha[0] = 0.0
         one = np.zeros(len(spelt), np.int8)
@@ -106,11 +107,29 @@ class Lattice:
                 x = alpha[a[lo:hi]] + v[lo:hi]
                 top = x.max()
                 alpha[k] = top + np.log(np.exp(x - top).sum())
+        if weight > 0:
+            beta = np.full(len(spelt) + 1, -np.inf)
+            beta[-1] = 0.0
+            for at in reversed(range(0, len(spelt), GROUP // 2)):
+                stop = min(len(spelt), at + GROUP // 2)
+                a, b, piece = self._edges(spelt, one, at, min(len(spelt), stop + self.longest))
+                use = a < stop
+                a, b, piece = a[use], b[use], piece[use]
+                order = np.argsort(a, kind="stable")
+                a, b, piece = a[order], b[order], piece[order]
+                v = self.logp[piece]
+                cuts = np.searchsorted(a, np.arange(at, stop + 1))
+                for k in range(stop - 1, at - 1, -1):
+                    lo, hi = cuts[k - at], cuts[k - at + 1]
+                    x = beta[b[lo:hi]] + v[lo:hi]
+                    top = x.max()
+                    beta[k] = top + np.log(np.exp(x - top).sum())
+                uses += np.bincount(piece, np.exp(alpha[a] + v + beta[b] - alpha[-1]) * weight, minlength=len(uses))
         return float(alpha[-1])
 
     def score(self, buf: np.ndarray, off: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probability of each word (word i is buf[off[i]:off[i + 1]]) and, with weights, the
-        expected uses of each piece over all paths (words longer than GROUP bytes count none)."""
+        expected uses of each piece over all paths."""
         sizes = np.diff(off) + 1
         out, uses = np.zeros(len(sizes)), np.zeros(len(self.pieces))
         for group in self._groups(sizes):
@@ -121,7 +140,7 @@ class Lattice:
             fill = within > 0
             spelt[fill] = buf[(np.repeat(off[group], n) + within - 1)[fill]]
             if n.sum() > GROUP:
-                out[group[0]] = self._long(spelt)
+                out[group[0]] = self._long(spelt, 0.0 if weight is None else float(weight[group[0]]), uses)
                 continue
             word = np.repeat(np.arange(len(group)), n)
             a, b, piece = self._edges(spelt, word, 0, len(spelt))

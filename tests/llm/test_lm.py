@@ -54,6 +54,16 @@ def test_very_long_word(vocabulary):
     assert score(lattice, [b"q" * (GROUP + 5), b"the"])[0][0] < -1000
 
 
+def test_uses_of_long_words(vocabulary, monkeypatch):
+    """Words beyond GROUP teach the pieces' weights as all others do."""
+    lattice = Lattice(*vocabulary)
+    words, weight = [b"therein" * 60, b"the", b"handle" * 50 + b"q"], np.array([2.0, 1.0, 3.0])
+    z, uses = score(lattice, words, weight)
+    monkeypatch.setattr("orderlens.llm.lattice.GROUP", 128)
+    long_z, long_uses = score(lattice, words, weight)
+    assert np.allclose(long_z, z) and np.allclose(long_uses, uses) and uses.sum() > 100
+
+
 def test_planes():
     x = np.array([0, 1, 255, 256, 70_000, 2**32 - 1])
     assert (unplanes(planes(x)) == x).all()
