@@ -6,8 +6,9 @@ kept suffix. Suffixes whose head occurs once are dropped; of the rest, the windo
 into runs of equal neighbours. A match extends to the left and right as far as neighbouring windows
 match too: the repeated part of a document is the union of its windows that occur elsewhere.
 
-Heads and windows are matched by hash blocks, each by its own hash: equal windows meet, and the different
-windows around a short phrase that many documents share are spread evenly. Before that each task matches
+Heads and windows are matched by hash blocks, windows by that of their minimiser. Around a short phrase
+that very many documents share, the windows differ and have one minimiser: such minimisers are counted, and
+their windows go by their own hash, which spreads them evenly; equal windows still meet. Before that each task matches
 what repeats within it and sends one copy on, so a passage that a third of all documents share costs a row
 a task.
 """
@@ -29,6 +30,8 @@ MATCH, HEAD = 50, 10
 WINDOW = MATCH - HEAD + 1
 #: Entries in a hash block.
 BLOCK = 1 << 20
+#: Suffixes with one head of which the windows, WINDOW each at most, still fit into a block.
+HOT = BLOCK // WINDOW
 #: Text that a task matches within itself before it sends anything on.
 LOCAL_BYTES = 8 << 20
 
@@ -96,11 +99,13 @@ def _by_block(block: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.n
     return block[cuts[:-1]], cuts, [c[order] for c in columns]
 
 
-HEADS = "block long, row long, head array<long>, rows array<long>"
+HEADS = "block long, row long, head array<long>, rows array<long>, counts array<int>"
 
 
 def _heads(blocks: int):
     """Of each part of a task: heads by block, one row for each head; heads that occur in it twice, by row."""
+    names = [x.split()[0] for x in HEADS.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch, "text", LOCAL_BYTES):
@@ -117,11 +122,11 @@ def _heads(blocks: int):
                 cuts = _cuts(head)
                 several = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
                 one = cuts[:-1]
-                block, at, (h, r) = _by_block((mix(head[one]) % np.uint64(blocks)).astype(np.int64), head[one], owner[one])
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.nulls(len(block), pa.int64()), _lists(h, at), _lists(r, at)], ["block", "row", "head", "rows"])
+                block, at, (h, r, n) = _by_block((mix(head[one]) % np.uint64(blocks)).astype(np.int64), head[one], owner[one], np.diff(cuts).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.nulls(len(block), pa.int64()), _lists(h, at), _lists(r, at), _lists(n, at, pa.int32())], names)
                 if several.any():
                     own, at, (h,) = _by_block(owner[several], head[several])
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.array(own), _lists(h, at), pa.nulls(len(own), pa.list_(pa.int64()))], ["block", "row", "head", "rows"])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.array(own), _lists(h, at), pa.nulls(len(own), pa.list_(pa.int64())), pa.nulls(len(own), pa.list_(pa.int32()))], names)
     return run
 
 
@@ -139,6 +144,18 @@ def _common_heads(table: pa.Table) -> pa.Table:
     return pa.table({"row": pa.array(own), "head": _lists(h, at)})
 
 
+def _hot_heads(most: int):
+    """Heads that more than ``most`` suffixes start with."""
+    def run(table: pa.Table) -> pa.Table:
+        head, n = _flat(table, "head", "counts")
+        order = np.argsort(head, kind="stable")
+        head, n = head[order], n[order].astype(np.int64)
+        cuts = _cuts(head)[:-1]
+        total = np.add.reduceat(n, cuts) if len(n) else n
+        return pa.table({"head": head[cuts[:len(total)]][total > most]})
+    return run
+
+
 WINDOWS = "block long, row long, doc long, hash array<long>, rows array<long>, docs array<long>, starts array<int>, later array<boolean>"
 FOUND = "row long, starts array<int>, later array<boolean>"
 
@@ -162,9 +179,10 @@ def _found(row, start, later) -> tuple[np.ndarray, pa.Array, pa.Array]:
     return own, _lists(s, at, pa.int32()), _lists(x, at, pa.bool_())
 
 
-def _windows(blocks: int):
+def _windows(blocks: int, hot):
     """Windows whose minimiser another suffix has too, one of each in a part of a task, by block of the
-    window's hash; and those that the part itself repeats, by row."""
+    minimiser, or of the window's own hash if the minimiser is in ``hot``; and those that the part itself
+    repeats, by row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in WINDOWS.split(", ")]
         for batch in batches:
@@ -177,12 +195,15 @@ def _windows(blocks: int):
                 with np.errstate(over="ignore"):
                     salt = lambda d: mix(d.astype(np.uint64) + np.uint64(1))
                     keep = np.isin(least + salt(doc), wanted + salt(of))
-                doc, start, whole = doc[keep], start[keep].astype(np.int32), whole[keep]
+                doc, start, least, whole = doc[keep], start[keep].astype(np.int32), least[keep], whole[keep]
                 if not len(doc):
                     continue
-                h, d, r, s, several, later = _settle(whole, order_of[doc], ids[doc], start)
                 with np.errstate(over="ignore"):
-                    b = (mix(h) % np.uint64(blocks)).astype(np.int64)
+                    block = (mix(np.where(np.isin(least, hot.value), whole, least)) % np.uint64(blocks)).astype(np.int64)
+                # equal windows have equal minimisers: the block can be looked up by the window's hash
+                by_hash = np.argsort(whole, kind="stable")
+                h, d, r, s, several, later = _settle(whole, order_of[doc], ids[doc], start)
+                b = block[by_hash][np.searchsorted(whole[by_hash], h)]
                 one = ~later
                 key, at, (hh, rr, dd, ss) = _by_block(b[one], h[one], r[one], d[one], s[one])
                 k = len(key)
@@ -253,9 +274,11 @@ def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     common = heads.where("block is not null").groupBy("block").applyInArrow(_common_heads, "row long, head array<long>")
     kept = flat(common.unionByName(heads.where("block is null").select("row", "head")), "head")
     kept = scratch.write(kept.select("row", F.array_distinct("head").alias("heads")), "kept")
+    often = heads.where("block is not null").groupBy("block").applyInArrow(_hot_heads(HOT), "head long").collect()  # few: HOT suffixes each
+    hot = spark.sparkContext.broadcast(np.array([r.head for r in often], np.int64).view(np.uint64))
     # a kept suffix is the minimiser of WINDOW / 2 windows on average
     several = (kept.agg(F.sum(F.size("heads")).alias("n")).first().n or 0) * WINDOW // 2
-    around = scratch.write(docs.join(kept, "row").mapInArrow(_windows(max(blocks, several // BLOCK + 1)), WINDOWS), "windows")
+    around = scratch.write(docs.join(kept, "row").mapInArrow(_windows(max(blocks, several // BLOCK + 1), hot), WINDOWS), "windows")
     again = around.where("block is not null").groupBy("block").applyInArrow(_common_windows, FOUND)
     found = flat(again.unionByName(around.where("block is null").select("row", "starts", "later")), "starts", "later")
     return scratch.write(found.mapInArrow(_spans, SPANS), "spans")

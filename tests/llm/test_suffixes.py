@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -85,12 +86,13 @@ def test_windows_around_a_common_phrase_are_spread():
     k = len(texts)
     batch = pa.RecordBatch.from_arrays([pa.array(range(k)), pa.array(range(k)), texts, pa.array([hot] * k)], ["row", "place", "text", "heads"])
     sizes = np.zeros(16, int)
-    for out in _windows(16)([batch]):
+    for out in _windows(16, SimpleNamespace(value=np.array(hot, np.int64).view(np.uint64)))([batch]):
         for block, hashes in zip(out.column("block").to_pylist(), out.column("hash").to_pylist(), strict=True):
             sizes[block] += len(hashes)
     assert sizes.sum() >= 400 and sizes.max() < 2 * sizes.mean()
 
 
-def test_common_phrase_matches_brute_force(make_docs):
+def test_common_phrase_matches_brute_force(make_docs, monkeypatch):
+    monkeypatch.setattr("orderlens.llm.suffixes.HOT", 5)
     rows = around_a_phrase(40)
     check(make_docs, [*rows, (100, rows[3][1] + " more"), (101, "before " + rows[5][1])])
