@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import containment, ledger, lm, mixing, ngramjoin, qda, suffixes, toxicity, urls, warc
+from orderlens.llm import containment, ledger, lm, mixing, ngramjoin, qda, streamdedup, suffixes, toxicity, urls, warc
 from orderlens.llm.store import Scratch, ship_package
 
 
@@ -64,6 +64,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = streamdedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_mixing_sources": op1_mixing_sources,
     "op2_url_filters": op2_url_filters,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_streaming_exact_dedup": op11_streaming_exact_dedup,
 }
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -198,4 +204,8 @@ rules as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits[1] or bits[2] base_failed,
   not list_contains(bits, true) kept, cast(list_sum(list_transform(bits, lambda b, i: case when b then 1 << (i - 1) else 0 end)) as bigint) failed
 from rules""",
+    "op11_streaming_exact_dedup": """
+select doc_id, max(doc_id) over same keep_id, count(*) over same group_size,
+  row_number() over (same order by doc_id desc nulls last) = 1 kept, sha256(coalesce(text, '')) text_sha256
+from documents window same as (partition by coalesce(text, ''))""",
 }
