@@ -3,9 +3,12 @@ parameters, to a whole table and derives the contract's columns from what the op
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import containment, ledger, lm, mixing, ngramjoin, qda, streamdedup, suffixes, toxicity, urls, warc
+from orderlens.llm import containment, ledger, lm, mixing, ngramjoin, periodic, qda, streamdedup, suffixes, toxicity, urls, warc
 from orderlens.llm.store import Scratch, ship_package
 
 
@@ -69,6 +72,30 @@ def op11_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def _planted_periods(doc_ids: list, counts: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The query's rewriting of some texts: from a word drawn by the id on, the words go round."""
+    out = []
+    for i, (doc_id, n) in enumerate(zip(doc_ids, counts.tolist(), strict=True)):
+        h = zlib.crc32(str(doc_id).encode())
+        if doc_id is not None and h % 10 == 0 and n > 0:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            places = np.arange(n)
+            places[a:] = a + (places[a:] - a) % p
+            out.append((i, places))
+    return out
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id are not rewritten."""
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), _planted_periods)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_mixing_sources": op1_mixing_sources,
     "op2_url_filters": op2_url_filters,
@@ -81,6 +108,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_streaming_exact_dedup": op11_streaming_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
