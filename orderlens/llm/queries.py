@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import containment, ledger, lm, mixing, ngramjoin, periodic, qda, streamdedup, suffixes, toxicity, urls, warc
+from orderlens.llm import containment, crosstok, ledger, lm, mixing, ngramjoin, periodic, qda, streamdedup, suffixes, toxicity, urls, warc
 from orderlens.llm.store import Scratch, ship_package
 
 
@@ -72,6 +72,10 @@ def op11_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.align_tokenizers(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def _planted_periods(doc_ids: list, counts: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """The query's rewriting of some texts: from a word drawn by the id on, the words go round."""
     out = []
@@ -108,6 +112,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_streaming_exact_dedup": op11_streaming_exact_dedup,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
