@@ -27,16 +27,16 @@ from pyspark.sql import DataFrame, functions as F
 from orderlens.llm.components import connected_components
 from orderlens.llm.store import Scratch
 from orderlens.llm.suffixes import row_key
-from orderlens.llm.words import Words, mix, shingle_hashes, text_chunks, unique
+from orderlens.llm.words import Words, give_back, mix, shingle_hashes, text_chunks, unique
 
 #: Text of which n-grams are counted together before the counts are shuffled.
-COUNTED_BYTES = 16 << 20
+COUNTED_BYTES = 8 << 20
 #: N-grams whose hash is below this, which are all that come first, are counted; those in this many sets or
 #: more are common and come last. Both, and the length of the list of common ones, which is broadcast,
 #: only affect the order of columns, never the result.
 COUNTED_BELOW, COMMON, MOST_COMMON = np.uint64(1 << 62), 16, 1 << 20
 #: Kept n-grams in a block of columns.
-COLUMN_BLOCK = 3 << 19
+COLUMN_BLOCK = 1 << 20
 #: A column with more rows only clusters them.
 WIDE_COLUMN = 64
 #: Rows and n-grams in a block of rows.
@@ -112,6 +112,7 @@ def _ngrams(n: int, blocks: int):
 
 
 def _common(table: pa.Table) -> pa.Table:
+    give_back()
     gram, count = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(k).chunks]) for k in ("grams", "counts"))
     order = np.argsort(gram, kind="stable")
     gram = gram[order]
@@ -169,6 +170,7 @@ def _accumulate(percent: int):
     either row has after this one, and no more than the row whose kept columns end first has in all after
     them, as up to there both rows have been compared. ``need`` is the least overlap of a link."""
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         gram, sig, size, at, last = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(k).chunks]) for k in ("gram", "sig", "size", "at", "last"))
         order = np.lexsort((sig, size, gram))
         gram, sig, size, at, last = gram[order], sig[order], size[order].astype(np.int64), at[order].astype(np.int64), last[order]
@@ -240,6 +242,7 @@ def _links(n: int, percent: int):
     """Exact product of a pair of blocks: for each row with a link in it (sig, to, links): a row it is
     connected with here, and the documents it is linked with."""
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         texts = pa.chunked_array(table.column("text").chunks, pa.string()).combine_chunks()
         h, off = ngram_sets(texts, n)
         found = _as_long(signatures(h, off))

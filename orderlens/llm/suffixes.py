@@ -22,18 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from orderlens.llm.store import Scratch
-from orderlens.llm.words import BASE, BASE_INVERSE, Words, mix, powers, text_chunks, unique
+from orderlens.llm.words import BASE, BASE_INVERSE, Words, give_back, mix, powers, text_chunks, unique
 
 #: Words of the shortest repeated passage, and of the head by which suffixes are selected. Any window of
 #: MATCH words holds WINDOW heads, of which the least is its minimiser.
 MATCH, HEAD = 50, 10
 WINDOW = MATCH - HEAD + 1
 #: Entries in a hash block.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Suffixes with one head of which the windows, WINDOW each at most, still fit into a block.
 HOT = BLOCK // WINDOW
 #: Text that a task matches within itself before it sends anything on.
-LOCAL_BYTES = 8 << 20
+LOCAL_BYTES = 2 << 20
 
 
 def span_sums(words: np.ndarray, size: int) -> np.ndarray:
@@ -135,6 +135,7 @@ def _flat(table: pa.Table, *names: str) -> list[np.ndarray]:
 
 
 def _common_heads(table: pa.Table) -> pa.Table:
+    give_back()
     head, row = _flat(table, "head", "rows")
     order = np.lexsort((row, head))
     head, row = head[order], row[order]
@@ -218,6 +219,7 @@ def _windows(blocks: int, hot):
 
 
 def _common_windows(table: pa.Table) -> pa.Table:
+    give_back()
     hash_, row, doc, start = _flat(table, "hash", "rows", "docs", "starts")
     _, _, row, start, several, later = _settle(hash_, doc, row, start)
     own, starts, flags = _found(row[several], start[several], later[several])

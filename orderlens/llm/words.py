@@ -7,6 +7,7 @@ depend on the bytes alone, so they agree between tasks, retries and runs.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,7 +126,18 @@ def shingle_hashes(words: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarr
         return mix(total), out_off
 
 
-def text_chunks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns freed memory to the system: workers stay between tasks and stages, and what one has freed
+    counts against the next one's limit."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def text_chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each; a longer text is a slice by itself."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.concatenate(([0], np.cumsum(sizes)))
@@ -134,3 +146,4 @@ def text_chunks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iter
         j = max(i + 1, int(np.searchsorted(total, total[i] + most, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    give_back()
