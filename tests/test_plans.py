@@ -116,12 +116,14 @@ def test_keyset_page_prunes_months_after_the_cursor(stored):
     assert all(r.order_date <= dt.date(1996, 3, 15) for r in q.collect())
 
 
-def test_deep_offset_beyond_limit_range_is_refused(stored):
-    from orderlens.operators.detail import detail_page
+def test_a_page_beyond_the_sorted_rows_is_served(stored):
+    from orderlens.operators.detail import SORTED_ROWS, _sort_columns, detail_rows
 
     _, df = stored
-    with pytest.raises(ValueError, match="keyset"):
-        detail_page(df, page=2_001, per_page=50)
+    rows = [tuple(r) for r in detail_rows(df).orderBy(*_sort_columns()).collect()]
+    page = SORTED_ROWS // 50 + 777
+    assert [tuple(r) for r in detail_page(df, page=page, per_page=50).collect()] == rows[(page - 1) * 50:page * 50] != []
+    assert detail_page(df, page=2_001, per_page=50).collect() == rows[100_000:]
 
 
 def test_stored_month_range_from_folders_matches_the_data(stored, enriched, spark):
