@@ -29,13 +29,16 @@ from pyspark.sql.types import DateType  # noqa: E402
 from orderlens.operators.detail import detail_after, detail_count, detail_page, next_cursor  # noqa: E402
 from orderlens.operators.enrich import build_enriched, enriched_from  # noqa: E402
 from orderlens.operators.filters import default_range  # noqa: E402
+from orderlens.operators.history import price_history_json, top_stock_with_history  # noqa: E402
 from orderlens.operators.options import filter_options  # noqa: E402
 from orderlens.operators.product_class import product_class_share, share_total  # noqa: E402
 from orderlens.operators.report import category_report, latest_report, report_labels, write_report  # noqa: E402
+from orderlens.operators.rollup import build_rollup, merged, rollup_count, rollup_for, rollup_trend  # noqa: E402
 from orderlens.operators.status import status_overview  # noqa: E402
 from orderlens.operators.stock import stock_details, top_stock, top_stock_price_history, warehouse_summary  # noqa: E402
 from orderlens.operators.trend import order_trend  # noqa: E402
 from orderlens.session import ensure_checkpoint_dir  # noqa: E402
+from orderlens.sources.access import lookup, write_access_table  # noqa: E402
 from orderlens.sources.csv_ingest import ingest_csv_dir  # noqa: E402
 from orderlens.sources.fs import delete  # noqa: E402
 from orderlens.sources.layout import (  # noqa: E402
@@ -44,6 +47,7 @@ from orderlens.sources.layout import (  # noqa: E402
     stored_month_range,
     write_enriched,
 )
+from orderlens.sources.positions import Positions, write_positions  # noqa: E402
 from orderlens.sources.snapshots import new_run_ts, snapshot_versions  # noqa: E402
 from orderlens.sources.standins import StandIns  # noqa: E402
 
@@ -69,6 +73,14 @@ DETAIL_START, DETAIL_END, DETAIL_PAGE, DETAIL_PER_PAGE = "1998-01-01", "1998-01-
 REPORT_AS_OF = "2000-03-15"
 ALL_FILTERS = {"branch": "ASIA", "area": "INDIA", "product_class": "Brand#32", "salesperson": "1-URGENT",
                "customer": None}
+# Secondary lookups, and the rows of a file and changes of a chunk in the stored structures.
+LOOKUP_ORDERS = ["1", "7", "32", "1000", "9999"]
+LOOKUP_SHIPPED = ("1998-01-05", "1998-01-09")
+LOOKUP_ACCOUNT = {"short_name": "BUILDING", "master_account": ["Customer#000000004", "Customer#000000026", "Customer#000000034"]}
+LOOKUP_COLUMNS = ("sales_order", "sales_order_line", "invoice", "stock_code", "order_qty", "line_ship_date", "order_date",
+                  "customer", "short_name", "master_account")
+COUNT_START, COUNT_END = "1997-12-15", "1998-03-02"
+BLOCK_ROWS, HISTORY_CHUNK = 20_000, 16
 
 
 def _dates_as_text(df: DataFrame) -> DataFrame:
@@ -161,6 +173,89 @@ def _stored_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir)[0]
 
 
+def _once(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[str], object]) -> str:
+    """The folder of a structure that is built from the stored table once per input and process."""
+    base = _scratch(spark, kind, sf_dir)
+    key = (ensure_checkpoint_dir(spark), f"{kind}:{os.path.abspath(sf_dir)}")
+    with _KIND_LOCK:
+        if key not in _STORED:
+            build(base)
+            _STORED[key] = base
+    return base
+
+
+_KIND_LOCK = threading.Lock()
+
+
+def _access(spark, sf_dir):
+    lines = _stored_enriched(spark, sf_dir)
+    return _once(spark, sf_dir, "access", lambda base: write_access_table(lines.drop("order_month"), base))
+
+
+def _rollup(spark, sf_dir):
+    lines = _stored_enriched(spark, sf_dir)
+    return _once(spark, sf_dir, "rollup", lambda base: build_rollup(lines, base))
+
+
+def _positions(spark, sf_dir):
+    lines = _stored_enriched(spark, sf_dir)
+    return Positions(spark, _once(spark, sf_dir, "positions", lambda base: write_positions(lines, base, block_rows=BLOCK_ROWS)))
+
+
+def q_lines_by_order(spark, sf_dir):
+    return _dates_as_text(lookup(spark, _access(spark, sf_dir), {"sales_order": LOOKUP_ORDERS}).select(*LOOKUP_COLUMNS))
+
+
+def q_lines_by_ship_date(spark, sf_dir):
+    return _dates_as_text(lookup(spark, _access(spark, sf_dir), {"line_ship_date": LOOKUP_SHIPPED}).select(*LOOKUP_COLUMNS))
+
+
+def q_lines_by_account(spark, sf_dir):
+    return _dates_as_text(lookup(spark, _access(spark, sf_dir), LOOKUP_ACCOUNT).select(*LOOKUP_COLUMNS))
+
+
+def q_order_trend_rollup(spark, sf_dir):
+    return rollup_trend(spark, _rollup(spark, sf_dir), TREND_FILTERS).select("year_month", "total_order_qty")
+
+
+def q_detail_count_rollup(spark, sf_dir):
+    """All rows of a range that cuts two months, with a filter."""
+    return rollup_count(spark, _rollup(spark, sf_dir), _stored_enriched(spark, sf_dir), DETAIL_FILTERS, COUNT_START, COUNT_END, DETAIL_PER_PAGE)
+
+
+def q_monthly_area_totals_rollup(spark, sf_dir):
+    """Lines and quantity of every month, branch and area, added up from the smallest stored grouping that has both."""
+    by = merged(rollup_for(spark, _rollup(spark, sf_dir), columns=("branch", "area")), "month", "branch", "area")
+    return _dates_as_text(by.drop("n_qty"))
+
+
+def q_detail_page_positions(spark, sf_dir):
+    return _dates_as_text(_positions(spark, sf_dir).page(DETAIL_FILTERS, DETAIL_START, DETAIL_END, DETAIL_PAGE, DETAIL_PER_PAGE))
+
+
+def q_detail_page_deep_positions(spark, sf_dir):
+    """The last full page of all lines, by the stored counts."""
+    stored = _positions(spark, sf_dir)
+    return _dates_as_text(stored.page(page=stored.count() // 50, per_page=50))
+
+
+def _rounded_history(s: StandIns) -> DataFrame:
+    """Prices with four decimals, so that both engines write the same digits."""
+    return s.inv_price_history.withColumns({c: F.col(c).cast("decimal(18,4)") for c in ("new_selling_price", "old_selling_price")})
+
+
+def q_price_history_json(spark, sf_dir):
+    """The nested history of every item in the item master."""
+    s = _standins(spark, sf_dir)
+    return price_history_json(_rounded_history(s), s.inv_master, f"{_scratch(spark, 'history', sf_dir)}/{uuid.uuid4().hex}", HISTORY_CHUNK)
+
+
+def q_top_stock_history(spark, sf_dir):
+    s = _standins(spark, sf_dir)
+    return top_stock_with_history(s.sor_detail, s.inv_master, s.inv_warehouse, s.inv_price, _rounded_history(s),
+                                  f"{_scratch(spark, 'history', sf_dir)}/{uuid.uuid4().hex}", chunk_rows=HISTORY_CHUNK)
+
+
 def q_enriched(spark, sf_dir):
     return _dates_as_text(_enriched(spark, sf_dir))
 
@@ -184,7 +279,7 @@ def q_detail_page(spark, sf_dir):
 
 def q_detail_page_deep(spark, sf_dir):
     """The last full page of all lines of the default range, of 50 rows."""
-    rows = _enriched(spark, sf_dir)
+    rows = _stored_enriched(spark, sf_dir)
     pages = detail_count(rows, None, None, None, 50).first()["total_count"] // 50
     return _dates_as_text(detail_page(rows, None, None, None, pages, 50))
 
@@ -366,6 +461,16 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "detail_count_stored": q_detail_count_stored,
         "default_range_stored": q_default_range_stored,
         "detail_count_default_range_stored": q_detail_count_default_range_stored,
+        "lines_by_order": q_lines_by_order,
+        "lines_by_ship_date": q_lines_by_ship_date,
+        "lines_by_account": q_lines_by_account,
+        "order_trend_rollup": q_order_trend_rollup,
+        "detail_count_rollup": q_detail_count_rollup,
+        "monthly_area_totals_rollup": q_monthly_area_totals_rollup,
+        "detail_page_positions": q_detail_page_positions,
+        "detail_page_deep_positions": q_detail_page_deep_positions,
+        "price_history_json": q_price_history_json,
+        "top_stock_history": q_top_stock_history,
     }
 
 
@@ -613,6 +718,43 @@ select stock_code, string_agg(distinct {_WH_TEXT}, ', ' order by {_WH_TEXT}) war
 }
 
 
+def _lookup_sql(where: str) -> str:
+    return _with("enriched") + f"""
+select sales_order, sales_order_line, invoice, stock_code, order_qty, cast(line_ship_date as varchar) line_ship_date,
+  cast(order_date as varchar) order_date, customer, short_name, master_account
+from enriched where {where}"""
+
+
+# changes of each item, newest first, 16 to an array; JSON written out field by field
+_CHUNKS = """
+changes as (
+  select stock_code, row_number() over item - 1 position,
+    '{"priceCode":"' || price_code || '","dateChanged":"' || date_changed || '","timeChanged":' || time_changed || ',"newPrice":'
+      || cast(new_selling_price as decimal(18,4)) || ',"oldPrice":' || cast(old_selling_price as decimal(18,4)) || '}' change
+  from inv_price_history window item as (partition by stock_code order by date_changed desc, time_changed desc, price_code, new_selling_price, old_selling_price)),
+chunks as (
+  select stock_code, position // 16 chunk, count(*) n_changes, '[' || string_agg(change, ',' order by position) || ']' price_history
+  from changes group by all)"""
+_ORACLE |= {
+    "lines_by_order": _lookup_sql("sales_order in ('1', '7', '32', '1000', '9999')"),
+    "lines_by_ship_date": _lookup_sql("line_ship_date between date '1998-01-05' and date '1998-01-09'"),
+    "lines_by_account": _lookup_sql("short_name = 'BUILDING' and master_account in ('Customer#000000004', 'Customer#000000026', 'Customer#000000034')"),
+    "order_trend_rollup": _ORACLE["order_trend"],
+    "detail_count_rollup": _with("enriched") + """
+select count(*) total_count, cast(ceil(count(*) / 50.0) as bigint) total_pages, 50 per_page
+from enriched where branch = 'ASIA' and order_date between date '1997-12-15' and date '1998-03-02'""",
+    "monthly_area_totals_rollup": _with("enriched") + """
+select cast(cast(date_trunc('month', order_date) as date) as varchar) as month, branch, area, count(*) n_lines, sum(order_qty) qty
+from enriched group by all""",
+    "detail_page_positions": _ORACLE["detail_page"],
+    "detail_page_deep_positions": _ORACLE["detail_page_deep"],
+    "price_history_json": _with("inv_master", "inv_price_history") + "," + _CHUNKS + """
+select stock_code, coalesce(chunk, 0) chunk, coalesce(n_changes, 0) n_changes, coalesce(price_history, '[]') price_history
+from (select distinct stock_code from inv_master) left join chunks using (stock_code)""",
+    "top_stock_history": _ORACLE["top_stock"].replace("with ", _with("inv_price_history").rstrip() + "," + _CHUNKS + ",\n", 1).replace(
+        "select best.stock_code,", "select best.stock_code, coalesce(chunk, 0) chunk, coalesce(n_changes, 0) n_changes, coalesce(price_history, '[]') price_history,", 1)
+        + " left join chunks using (stock_code)",
+}
 _ORACLE.update({f"{name}_stored": _ORACLE[name]
                 for name in ("order_trend", "detail_page", "detail_count", "default_range")})
 

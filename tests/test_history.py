@@ -1,0 +1,76 @@
+"""Nested price history against plain lists."""
+
+import datetime as dt
+import json
+
+import pytest
+
+from orderlens.operators.history import numbered_changes, price_history_json, top_stock_with_history
+from orderlens.operators.stock import price_history, top_stock
+
+SCHEMA = "stock_code string, price_code string, date_changed date, time_changed int, new_selling_price double, old_selling_price double"
+
+
+def day(n):
+    return dt.date(2024, 1, 1) + dt.timedelta(days=n)
+
+
+ROWS = ([("HOT", "A", day(i % 97), i % 5, float(i % 11), 1.5) for i in range(700)] + [("HOT", "B", day(3), 1, 2.0, 3.0)] * 300
+        + [(f"I{i % 60}", "A", day(i), i % 3, 1.25, None) for i in range(900)] + [("N", "A", None, 2, 1.0, 1.0), ("N", None, day(1), None, None, None), (None, "A", day(1), 1, 1.0, 1.0)])
+
+
+def in_order(rows):
+    """Newest first, NULL dates and times first, then code and prices with NULLs last."""
+    up = lambda v: (v is None, v if v is not None else 0)
+    down = lambda v: (v is not None, -v if v is not None else 0)
+    return sorted(rows, key=lambda r: (down(r[2] and r[2].toordinal()), down(r[3]), (r[1] is None, r[1] or ""), up(r[4]), up(r[5])))
+
+
+def as_json(r):
+    names = ("priceCode", "dateChanged", "timeChanged", "newPrice", "oldPrice")
+    return {k: v.isoformat() if isinstance(v, dt.date) else v for k, v in zip(names, r[1:], strict=True)}
+
+
+@pytest.mark.parametrize("chunk", [7, 1000])
+@pytest.mark.parametrize("runs", [1, 13])
+def test_chunks_make_the_whole_array(spark, tmp_path, chunk, runs):
+    history = spark.createDataFrame(ROWS, SCHEMA).repartition(4)
+    items = spark.createDataFrame([("HOT",), ("I5",), ("N",), ("NONE",), ("NONE",), (None,)], "stock_code string")
+    got = price_history_json(history, items, f"{tmp_path}/runs", chunk, runs).collect()
+    assert all(0 <= r.n_changes <= chunk for r in got)
+    for code in ("HOT", "I5", "N"):
+        mine = sorted((r for r in got if r.stock_code == code), key=lambda r: r.chunk)
+        assert [r.chunk for r in mine] == list(range(len(mine)))
+        assert all(r.n_changes == chunk for r in mine[:-1])
+        whole = [x for r in mine for x in json.loads(r.price_history)]
+        assert whole == [as_json(r) for r in in_order([r for r in ROWS if r[0] == code])]
+    assert [(r.chunk, r.n_changes, r.price_history) for r in got if r.stock_code in ("NONE", None)] == [(0, 0, "[]")] * 2
+
+
+def test_a_hot_item_spreads_over_runs(spark, tmp_path):
+    """A third of all changes are copies of one: no run holds them all."""
+    history = spark.createDataFrame(ROWS[700:1000] * 2 + ROWS[1000:1900], SCHEMA).repartition(4)
+    numbered = numbered_changes(history, f"{tmp_path}/runs", 12)
+    assert sorted(r.position for r in numbered.where("stock_code = 'HOT'").collect()) == list(range(600))
+    per_run = [r["count"] for r in spark.read.parquet(f"{tmp_path}/runs").groupBy("_run").count().collect()]
+    assert len(per_run) >= 8 and max(per_run) < 300
+
+
+def test_top_stock(spark, standins, tmp_path):
+    s = standins
+    got = top_stock_with_history(s.sor_detail, s.inv_master, s.inv_warehouse, s.inv_price, s.inv_price_history, f"{tmp_path}/runs", chunk_rows=16).collect()
+    plain = top_stock(s.sor_detail, s.inv_master, s.inv_warehouse, s.inv_price)
+    assert sorted({tuple(r)[:len(plain.columns)] for r in got}, key=str) == sorted((tuple(r) for r in plain.collect()), key=str)
+    codes = {r.stock_code for r in got}
+    long = price_history(s.inv_price_history).where("stock_code in ({})".format(", ".join(f"'{c}'" for c in codes))).collect()
+    for code in list(codes)[:5]:
+        mine = sorted((r for r in got if r.stock_code == code), key=lambda r: r.chunk)
+        whole = [x for r in mine for x in json.loads(r.price_history)]
+        assert [(x["dateChanged"], x["timeChanged"]) for x in whole] == [(r.date_changed.isoformat(), r.time_changed) for r in long if r.stock_code == code]
+
+
+def test_empty(spark, tmp_path):
+    none = spark.createDataFrame([], SCHEMA)
+    items = spark.createDataFrame([("A",)], "stock_code string")
+    assert [tuple(r) for r in price_history_json(none, items, f"{tmp_path}/runs").collect()] == [("A", 0, 0, "[]")]
+    assert price_history_json(none, none, f"{tmp_path}/runs2").collect() == []

@@ -1,0 +1,66 @@
+"""Pages by stored positions against the sorted rows, and what they read."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from orderlens.operators.detail import _sort_columns, detail_count, detail_page, detail_rows
+from orderlens.sources.positions import Positions, write_positions
+from orderlens.operators.enrich import build_enriched
+
+from fixtures import CUSTOMER, DETAIL, ITEM, MASTER, frame, header, line
+
+RANGES = [(None, None), ("1998-01-01", "1998-01-31"), ("1996-03-05", "1997-02-17"), ("1900-01-01", "2100-01-01"), ("1999-01-01", "1998-01-01"), (None, "1998-01-01")]
+FILTERS = [None, {"branch": "ASIA"}, {"customer": "77"}, {"branch": "ASIA", "salesperson": "1-URGENT", "area": "INDIA"}, {"branch": "no such"}]
+
+
+@pytest.fixture(scope="module")
+def stored(spark, enriched, tmp_path_factory):
+    base = f"{tmp_path_factory.mktemp('the positions')}/p"
+    write_positions(enriched, base, "20240101_000000", block_rows=1500)
+    return Positions(spark, base)
+
+
+@pytest.mark.parametrize("days", RANGES)
+@pytest.mark.parametrize("filters", FILTERS)
+def test_pages(enriched, stored, days, filters):
+    rows = [tuple(r) for r in detail_rows(enriched, filters, *days).orderBy(*_sort_columns()).collect()]
+    assert stored.count(filters, *days) == len(rows)
+    last = max(1, -(-len(rows) // 50))
+    for page, size in {(1, 50), (2, 50), (last, 50), (last + 1, 50), (max(1, last // 2), 50), (2, 2000)}:
+        got = [tuple(r) for r in stored.page(filters, *days, page=page, per_page=size).collect()]
+        assert got == rows[(page - 1) * size:page * size], (page, size)
+
+
+def test_a_deep_page_reads_its_blocks_only(enriched, stored):
+    total = len(stored.rows.inputFiles())
+    assert total >= 30
+    pages = detail_count(enriched).first().total_pages
+    for page in (pages - 1, pages // 2, 1):
+        assert len(stored.page(page=page).inputFiles()) <= 2
+    assert len(stored.page({"branch": "ASIA"}, page=200).inputFiles()) <= 2
+
+
+def test_hot_day_copies_and_undated_rows(spark, tmp_path):
+    rows = [line(sales_order="7", line_no=3)] * 150 + [line(sales_order=str(i % 30), line_no=i % 4) for i in range(300)] + [line(sales_order="900", line_no=i) for i in range(40)]
+    headers = [header(sales_order=str(i), order_date="2024-01-15") for i in range(30)]
+    e = build_enriched(frame(spark, DETAIL, rows), frame(spark, MASTER, headers), frame(spark, CUSTOMER, []), frame(spark, ITEM, [])).cache()
+    assert e.where("order_date is null").count() == 40
+    write_positions(e, f"{tmp_path}/p", "20240101_000000", block_rows=40)
+    p = Positions(spark, f"{tmp_path}/p")
+    sizes = [r.n for r in p.counts.collect()]
+    assert sum(sizes) == 490 and max(sizes) < 150  # the copies do not meet in one file
+    want = [tuple(r) for r in detail_rows(e).orderBy(*_sort_columns()).collect()]
+    got = [tuple(r) for page in range(1, 12) for r in p.page(page=page, per_page=45).collect()]
+    assert got == want and len(want) == 450
+    day = dt.date(2024, 1, 15)
+    assert [tuple(r) for r in p.page(None, day, day, 3, 45).collect()] == want[90:135]
+
+
+def test_empty(spark, enriched, tmp_path):
+    write_positions(enriched.limit(0), f"{tmp_path}/p", "20240101_000000")
+    p = Positions(spark, f"{tmp_path}/p")
+    assert p.page().collect() == [] and p.page({"branch": "ASIA"}, page=3).collect() == [] and p.count() == 0
+    assert p.page().columns == detail_page(enriched).columns
+    assert p.counts.where(F.lit(True)).count() == 0
