@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orderlens.llm.words import Words, mix, shingle_hashes, text_chunks, unique
 
@@ -29,6 +30,8 @@ MISS = 1e-12
 #: Least chance that a shared shingle is the minimum of its bin in both sketches, at two bins or more
 #: for each shingle of either side.
 SURVIVES = 0.6
+#: Bin minima a worker keeps; beyond that they are computed again.
+CACHE_BYTES = 32 << 20
 #: Items whose shingle counts are within a power of two share their number of sketches.
 MAX_CLASS = 40
 
@@ -61,18 +64,23 @@ def bin_minima(h: np.ndarray, off: np.ndarray, classes: np.ndarray, r: int) -> t
 
 
 class ItemBlock:
-    """Shingles of a block of items and, by sketch and size class of documents, their bin minima."""
+    """Shingles of a block of items and, by sketch and class of documents, their bin minima. A document's class
+    is that of its size, and more where ``percent`` lets it be much smaller than an item."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        self.sets, self.percent = sets, percent
+        # a document may be smaller than an item it holds enough of: the smaller the percentage, the more bins
+        self.more = max(0, math.ceil(math.log2(PERCENT / percent)))
         self.group = [max(0, int(size_class(np.array([len(s)]))[0])) for s in sets]
-        self.sketches = {g: sketches_for((1 << g >> 1) + 1 if g else 1) for g in set(self.group)}
+        self.sketches = {g: sketches_for((1 << g >> 1) + 1 if g else 1, percent) for g in set(self.group)}
         self.by_class: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def minima(self, r: int, c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted values, the items they belong to, and a table of leading bits to rule most others out."""
         if (r, c) not in self.by_class:
-            take = [i for i, s in enumerate(self.sets) if self.sketches[self.group[i]] > r and PERCENT * len(s) <= 100 << c]
+            if sum(v.nbytes + i.nbytes + t.nbytes for v, i, t in self.by_class.values()) > CACHE_BYTES:
+                self.by_class.clear()
+            take = [i for i, s in enumerate(self.sets) if self.sketches[self.group[i]] > r and self.percent * len(s) <= 100 << c - self.more]
             parts = [self.sets[i] for i in take]
             off = np.concatenate(([0], np.cumsum([len(s) for s in parts], dtype=np.int64)))
             # the same bins as the documents of the class
@@ -85,7 +93,7 @@ class ItemBlock:
 
     def candidates(self, h: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Rows (set, item) whose sketches meet."""
-        classes = size_class(np.diff(off))
+        classes = size_class(np.diff(off)) + self.more
         found = [np.zeros((0, 2), np.int64)]
         for r in range(max(self.sketches.values(), default=0)):
             owner, values = bin_minima(h, off, classes, r)
@@ -126,7 +134,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, i
         h, off = shingle_sets(pa.array([r.text for r in rows], pa.string()))
         sets = [unique(h[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)]
         used = [i for i, s in enumerate(sets) if len(s)]
-        shared = spark.sparkContext.broadcast(([rows[i].item_id for i in used], ItemBlock([sets[i] for i in used])))
+        shared = spark.sparkContext.broadcast(([rows[i].item_id for i in used], ItemBlock([sets[i] for i in used], percent)))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, block = shared.value
@@ -146,7 +154,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, i
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), pa.array([ids[k] for k in i], part_type), pa.array(size), pa.array(n)],
                                                      ["doc_id", "item_id", "n_item", "n_shared"])
 
-        part_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
+        part_type = to_arrow_type(items.schema["item_id"].dataType)
         found = docs.select("doc_id", "text").mapInArrow(search, f"doc_id {doc_kind}, item_id {item_kind}, n_item long, n_shared long")
         out = found if out is None else out.unionByName(found)
     return out

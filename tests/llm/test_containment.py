@@ -2,6 +2,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pytest
 
 from orderlens.llm.containment import ItemBlock, contained_items, sketches_for
 from orderlens.llm.words import unique
@@ -15,15 +16,15 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute(docs, items):
+def brute(docs, items, percent=80):
     sets = [(i, shingles(t)) for i, t in items]
-    return sorted(((d, i, len(s), len(s & x)) for d, t in docs for x in [shingles(t)] for i, s in sets if s and 100 * len(s & x) >= 80 * len(s)), key=str)
+    return sorted(((d, i, len(s), len(s & x)) for d, t in docs for x in [shingles(t)] for i, s in sets if s and 100 * len(s & x) >= percent * len(s)), key=str)
 
 
 def check(spark, make_docs, docs, items, **options):
     table = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     got = sorted((tuple(r) for r in contained_items(make_docs(docs), table, **options).collect()), key=str)
-    assert got == brute(docs, items)
+    assert got == brute(docs, items, options.get("percent", 80))
     return got
 
 
@@ -44,6 +45,30 @@ def test_matches_brute_force(spark, make_docs):
     check(spark, make_docs, docs[:40], items, item_block=9)
 
 
+@pytest.mark.parametrize("percent", [20, 50, 100])
+def test_other_percentages(spark, make_docs, percent):
+    """Down to documents that are a fifth of an item."""
+    rng = random.Random(percent)
+    items = [(i, " ".join(f"k{rng.randrange(3000)}" for _ in range(rng.choice([1, 4, 9, 30, 104, 400])))) for i in range(40)]
+    docs = []
+    for d in range(160):
+        words = rng.choice(items)[1].split()
+        n = max(1, int(len(words) * rng.choice([0.15, 0.25, 0.3, 0.5, 0.55, 0.9, 1])))
+        at = rng.randrange(len(words) - n + 1)
+        docs.append((d, " ".join([f"z{d}x{j}" for j in range(rng.choice([0, 0, 2, 300]))] + words[at:at + n])))
+    assert len(check(spark, make_docs, docs, items, percent=percent)) > 15
+
+
+def test_ids_of_any_type(spark, make_docs):
+    import decimal
+
+    docs = make_docs([(1, "a b c d e f g h i j")])
+    for kind, value in (("short", 3), ("double", 2.5), ("decimal(10,2)", decimal.Decimal("7.25")), ("string", "x"), ("struct<a: int, b: string>", (1, "y"))):
+        items = spark.createDataFrame([(value, "b c d e f g h i")], f"item_id {kind}, text string")
+        row, = contained_items(docs, items).collect()
+        assert (tuple(row.item_id) if isinstance(value, tuple) else row.item_id) == value
+
+
 def test_odd_rows(spark, make_docs):
     check(spark, make_docs, ODD_ROWS, [(1, "c d e f g h i"), (1, "c d e f g h i"), (None, "one"), (3, "du du du du du du"), (4, None)])
 
