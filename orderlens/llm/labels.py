@@ -11,7 +11,7 @@ def crc_remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> DataFrame:
-    """(doc_id, text, y, order) of at most ``most`` labelled rows that are not held out.
+    """(doc_id, text, y, order) of at most ``most`` labelled rows that are not held out, however many rows an id has.
 
     ``held_out`` is a condition on doc_id. Of more rows, those with the smallest hash of their id are
     taken: a bounded sample whatever the corpus size, the same in every run. Labels other than 0 and 1,
@@ -22,4 +22,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Colu
              .where(~held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
              .withColumn("order", F.xxhash64("doc_id", F.lit(11))))
     sample = known.orderBy("order", "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return rows.orderBy("order", "doc_id", F.xxhash64("text")).limit(most)

@@ -39,20 +39,27 @@ def statistics(texts: pa.Array) -> np.ndarray:
         share("n_symbol_words", words), share("n_short_lines", lines)], axis=1)
 
 
-def moments(docs: DataFrame, labels: DataFrame, held_out, label: str) -> list[tuple[int, float, np.ndarray, np.ndarray]]:
-    """(class, rows, mean, covariance) from all labelled rows that are not held out.
+def measure_rows(docs: DataFrame) -> DataFrame:
+    """doc_id and the statistics ``x`` of each row of ``docs``."""
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [statistics(part.column("text")) for part in text_chunks(batch, "text")]
+            flat = np.concatenate(x).ravel() if x else np.zeros(0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * DIM, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "x"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(measured, f"doc_id {kind}, x array<double>")
+
+
+def moments(stats: DataFrame, labels: DataFrame, held_out, label: str) -> list[tuple[int, float, np.ndarray, np.ndarray]]:
+    """(class, rows, mean, covariance) from all labelled rows of ``stats`` (see measure_rows) that are not held out.
 
     Labels other than 0 and 1, null labels and null ids are not used; an id's repeated labels count as
     1 if one is 1."""
     known = (labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
              .where(~held_out).groupBy("doc_id").agg(F.max("y").alias("y")))
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [statistics(part.column("text")) for part in text_chunks(batch, "text")]
-            rows = np.concatenate(x) if x else np.zeros((0, DIM))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "x"])
-
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {0: np.zeros((DIM + 1, DIM + 1)), 1: np.zeros((DIM + 1, DIM + 1))}
         for batch in batches:
@@ -66,9 +73,7 @@ def moments(docs: DataFrame, labels: DataFrame, held_out, label: str) -> list[tu
             if t[0, 0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), c)), pa.array(i), pa.array(j), pa.array(t.ravel())], ["y", "i", "j", "v"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    stats = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(measured, f"doc_id {kind}, x array<double>")
-    cells = stats.join(known, "doc_id").select("x", "y").mapInArrow(sums, "y long, i long, j long, v double")
+    cells = stats.where("doc_id is not null").join(known, "doc_id").select("x", "y").mapInArrow(sums, "y long, i long, j long, v double")
     out = []
     got = cells.groupBy("y", "i", "j").agg(F.sum("v").alias("v")).collect()  # 2 classes x (DIM + 1)^2 cells
     for c in (0, 1):
@@ -111,16 +116,16 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int
     of any length are read whole; repeated rows get equal scores; a null id is not held out and never
     trains; an empty table gives no rows; without labels of both classes every score is 0.5.
     """
-    del scratch
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
     held = F.coalesce(crc_remainder(F.col("doc_id"), modulus) == remainder, F.lit(False))
-    shared = docs.sparkSession.sparkContext.broadcast(factors(moments(docs, labels, held, label)))
+    stats = scratch.write(measure_rows(docs), "statistics")  # a few numbers a text, measured once
+    shared = docs.sparkSession.sparkContext.broadcast(factors(moments(stats, labels, held, label)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odds = [log_odds(statistics(part.column("text")), shared.value) for part in text_chunks(batch, "text")]
-            s = 1 / (1 + np.exp(-np.clip(np.concatenate(odds) if odds else np.zeros(0), -700, 700)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
+            odds = log_odds(batch.column("x").flatten().to_numpy().reshape(-1, DIM), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(odds, -700, 700))))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return (docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, score double")
+    return (stats.mapInArrow(apply, f"doc_id {kind}, score double")
             .select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))

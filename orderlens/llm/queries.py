@@ -165,24 +165,24 @@ from reach join d on d.r = reach.r join d o on o.r = reach.o left join sizes on
   left join (select a, count(*) n from links group by a) l on l.a = reach.r
 group by reach.r, d.doc_id""",
     "op5_suffix_array_dedup": rf"""
-with d as (select distinct doc_id, text from documents),
+with d as (select row_number() over () r, doc_id, text from (select distinct doc_id, text from documents)),
 w as (
-  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD_SQL})) word,
+  select r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD_SQL})) word,
     generate_subscripts(regexp_extract_all(text, {WORD_SQL}), 1) - 1 i from d),
 windows as (
-  select doc_id, i, lead(i, 49) over t last, md5(string_agg(word, chr(10)) over (partition by doc_id order by i rows between current row and 49 following)) h
-  from w window t as (partition by doc_id order by i)),
+  select r, doc_id, i, lead(i, 49) over t last, md5(string_agg(word, chr(10)) over (partition by r order by i rows between current row and 49 following)) h
+  from w window t as (partition by r order by i)),
 counted as (
-  select doc_id, i, count(*) over (partition by h) n, row_number() over (partition by h order by doc_id, i) k from windows where last is not null),
-starts as (select 'repeated' kind, doc_id, i from counted where n > 1 union all select 'later', doc_id, i from counted where n > 1 and k > 1),
+  select r, doc_id, i, count(*) over (partition by h) n, row_number() over (partition by h order by doc_id nulls last, r, i) k from windows where last is not null),
+starts as (select 'repeated' kind, r, doc_id, i from counted where n > 1 union all select 'later', r, doc_id, i from counted where n > 1 and k > 1),
 islands as (
-  select *, sum(case when i <= before + 50 then 0 else 1 end) over (partition by kind, doc_id order by i rows unbounded preceding) g
-  from (select *, lag(i) over (partition by kind, doc_id order by i) before from starts)),
-ranges as (select kind, doc_id, min(i) a, max(i) + 50 b from islands group by kind, doc_id, g)
+  select *, sum(case when i <= before + 50 then 0 else 1 end) over (partition by kind, r order by i rows unbounded preceding) g
+  from (select *, lag(i) over (partition by kind, r order by i) before from starts)),
+ranges as (select kind, r, doc_id, min(i) a, max(i) + 50 b from islands group by kind, r, doc_id, g)
 select doc_id, coalesce(string_agg(a || '-' || b, ' ' order by a) filter (kind = 'repeated'), '') repeated,
   coalesce(string_agg(a || '-' || b, ' ' order by a) filter (kind = 'later'), '') later,
   cast(sum(b - a) filter (kind = 'repeated') as bigint) n_repeated, cast(coalesce(sum(b - a) filter (kind = 'later'), 0) as bigint) n_later
-from ranges group by doc_id""",
+from ranges group by r, doc_id""",
     "op6_benchmark_decontamination": rf"""
 with texts as (
   select 'd' kind, row_number() over () r, doc_id id, text from documents
