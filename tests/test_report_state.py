@@ -1,0 +1,78 @@
+"""The report from stored months against the report from lines."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from orderlens.operators.enrich import build_enriched
+from orderlens.operators.report import QTY_COLUMNS, REPORT_CATEGORIES, category_report
+from orderlens.operators.report_state import apply_changes, month_state, read_state, report_from_state, write_state
+from orderlens.plans.inspect import plan_text
+
+from fixtures import CUSTOMER, DETAIL, ITEM, MASTER, frame, header, line
+
+DATES = [dt.date(2000, 3, 15), dt.date(1998, 1, 1), dt.date(1997, 12, 31), dt.date(2001, 2, 28), dt.date(2030, 6, 1), dt.date(1990, 1, 1)]
+
+
+@pytest.fixture(scope="module")
+def stored(spark, enriched, tmp_path_factory):
+    base = f"{tmp_path_factory.mktemp('state')}/s"
+    write_state(month_state(enriched), base, "20240101_000000")
+    return read_state(spark, base)
+
+
+def values(df):
+    return {(r.category, r.category_value): tuple(None if r[c] is None else float(r[c]) for c in QTY_COLUMNS) for r in df.collect()}
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+@pytest.mark.parametrize("as_of", DATES)
+def test_equals_the_scan(enriched, stored, as_of, bounded):
+    assert values(report_from_state(stored, as_of, bounded, sort=False)) == values(category_report(enriched, as_of, bounded, sort=False))
+
+
+def test_order_columns_and_source(enriched, stored):
+    a, b = report_from_state(stored, DATES[0]), category_report(enriched, DATES[0])
+    assert a.columns == b.columns
+    assert [tuple(r) for r in a.limit(300).collect()] == [tuple(r) for r in b.limit(300).collect()]
+    assert all("/s/run_ts=" in f for f in a.inputFiles()) and "Expand" not in plan_text(a)
+
+
+def nulls(spark):
+    rows = [line(sales_order="1", line_no=1, qty=None), line(sales_order="1", line_no=2, qty=None, product_class="  "),
+            line(sales_order="2", line_no=1, qty=4.0), line(sales_order="2", line_no=2, qty=None), line(sales_order="9", line_no=1, qty=2.5), line(sales_order="9", line_no=2, qty=None)]
+    headers = [header(sales_order="1", order_date="2024-03-02", customer="N"), header(sales_order="2", order_date="2023-03-09", customer="M", branch="")]
+    return build_enriched(frame(spark, DETAIL, rows), frame(spark, MASTER, headers), frame(spark, CUSTOMER, []), frame(spark, ITEM, []))
+
+
+@pytest.mark.parametrize("as_of", [dt.date(2024, 3, 31), dt.date(2024, 2, 1), dt.date(2025, 3, 1)])
+def test_null_quantities_dates_and_blanks(spark, as_of):
+    lines = nulls(spark)
+    for bounded in (False, True):
+        assert values(report_from_state(month_state(lines), as_of, bounded)) == values(category_report(lines, as_of, bounded))
+
+
+def test_lines_come_and_go(spark, enriched):
+    columns = [s for _, s in REPORT_CATEGORIES] + ["order_date", "order_qty", "sales_order"]
+    lines = enriched.select(*columns).cache()
+    gone = lines.where("pmod(hash(sales_order), 7) = 0")
+    old = lines.where("pmod(hash(sales_order), 7) = 1")
+    moved = old.withColumn("order_date", F.add_months("order_date", 5)).withColumn("branch", F.lit("NEW")).withColumn("order_qty", F.col("order_qty") + 1)
+    state = apply_changes(month_state(lines), added=moved, removed=gone.unionByName(old))
+    now = lines.where("pmod(hash(sales_order), 7) > 1").unionByName(moved)
+    for as_of in DATES[:3]:
+        assert values(report_from_state(state, as_of)) == values(category_report(now, as_of))
+    # all lines of a value gone: the value too
+    assert apply_changes(month_state(lines), removed=lines).collect() == []
+    again = apply_changes(apply_changes(month_state(lines), removed=gone), added=gone)
+    key = lambda r: str(tuple(r))
+    assert sorted(again.collect(), key=key) == sorted(month_state(lines).collect(), key=key)
+
+
+def test_hot_value_is_combined_before_the_shuffle(enriched):
+    assert "partial_sum" in plan_text(month_state(enriched))
+
+
+def test_empty(enriched):
+    assert report_from_state(month_state(enriched.limit(0)), DATES[0]).collect() == []
