@@ -4,21 +4,16 @@ The reference puts all changes of an item into one array, newest first. One item
 changes, so here an item's array comes in numbered chunks of at most ``chunk_rows`` changes; their
 concatenation is the reference's array, and an item without changes has the single chunk ``[]``.
 
-The order is made in two levels, without one task ever holding an item:
-
-1. the changes are range-partitioned and sorted by (item, order), which gives runs: what one
-   partition holds of one item. The sort key ends in an arbitrary number, so even equal changes spread;
-2. each run is counted, and the counts before it in its item (a window over runs, not over changes)
-   place its first change. A change's number is that plus its place in the run.
-
-Changes then meet by (item, chunk), a group of bounded size, and become one ``to_json`` text.
+The changes are numbered in two levels, without one task ever holding an item (``numbering``). They then meet
+by (item, chunk), a group of bounded size, and become one ``to_json`` text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.operators.numbering import numbered_in_group
 from orderlens.operators.stock import TOP_ITEMS, top_items, top_stock
 from orderlens.plans.broadcast import bounded
 
@@ -36,23 +31,8 @@ def _newest_first():
 
 
 def numbered_changes(history: DataFrame, scratch: str, runs: int | None = None) -> DataFrame:
-    """The changes with ``position``, from 0, newest first within their item. ``scratch`` is a folder on shared
-    storage: the sorted runs are written there once, so that their numbers are the same for every reader.
-    ``runs`` is how many range partitions to cut (the session's shuffle partitions by default)."""
-    spark = history.sparkSession
-    order = [F.col("stock_code").asc_nulls_last(), *_newest_first(), F.col("_copy")]
-    tied = history.select("stock_code", *[c for _, c in CHANGE_FIELDS]).withColumn("_copy", F.monotonically_increasing_id())
-    n = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    run = tied.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_copy")
-    # ids ascend by one along a sorted partition, whose number is in the high bits
-    run.withColumn("_id", F.monotonically_increasing_id()).withColumn("_run", F.spark_partition_id()).write.mode("overwrite").parquet(scratch)
-    stored = spark.read.parquet(scratch)
-    runs_of = stored.groupBy("stock_code", "_run").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("stock_code").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    placed = runs_of.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    joined = stored.join(placed.withColumnRenamed("stock_code", "_item").withColumnRenamed("_run", "_of"),
-                         F.col("stock_code").eqNullSafe(F.col("_item")) & (F.col("_run") == F.col("_of")))
-    return joined.select("stock_code", *[c for _, c in CHANGE_FIELDS], (F.col("_before") + F.col("_id") - F.col("_first")).alias("position"))
+    """The changes with ``position``, from 0, newest first within their item (see ``numbered_in_group``)."""
+    return numbered_in_group(history.select("stock_code", *[c for _, c in CHANGE_FIELDS]), "stock_code", _newest_first(), scratch, runs)
 
 
 def price_history_json(history: DataFrame, items: DataFrame, scratch: str, chunk_rows: int = CHUNK_ROWS,
