@@ -26,19 +26,24 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from pyspark.sql.types import DateType  # noqa: E402
 
+from orderlens.operators.bucketed import BucketedStore  # noqa: E402
 from orderlens.operators.detail import detail_after, detail_count, detail_page, next_cursor  # noqa: E402
+from orderlens.operators.dictionary import apply_counts, dictionary, option_lists  # noqa: E402
 from orderlens.operators.enrich import build_enriched, enriched_from  # noqa: E402
 from orderlens.operators.filters import default_range  # noqa: E402
 from orderlens.operators.history import price_history_json, top_stock_with_history  # noqa: E402
 from orderlens.operators.options import filter_options  # noqa: E402
 from orderlens.operators.product_class import product_class_share, share_total  # noqa: E402
 from orderlens.operators.report import category_report, latest_report, report_labels, write_report  # noqa: E402
+from orderlens.operators.report_state import apply_changes, month_state, read_state, report_from_state, write_state  # noqa: E402
 from orderlens.operators.rollup import build_rollup, merged, rollup_count, rollup_for, rollup_trend  # noqa: E402
 from orderlens.operators.status import status_overview  # noqa: E402
 from orderlens.operators.stock import stock_details, top_stock, top_stock_price_history, warehouse_summary  # noqa: E402
 from orderlens.operators.trend import order_trend  # noqa: E402
 from orderlens.session import ensure_checkpoint_dir  # noqa: E402
 from orderlens.sources.access import lookup, write_access_table  # noqa: E402
+from orderlens.sources.catalog import named_query, register_tables  # noqa: E402
+from orderlens.sources.commitlog import CommitLog  # noqa: E402
 from orderlens.sources.csv_ingest import ingest_csv_dir  # noqa: E402
 from orderlens.sources.fs import delete  # noqa: E402
 from orderlens.sources.layout import (  # noqa: E402
@@ -48,7 +53,7 @@ from orderlens.sources.layout import (  # noqa: E402
     write_enriched,
 )
 from orderlens.sources.positions import Positions, write_positions  # noqa: E402
-from orderlens.sources.snapshots import new_run_ts, snapshot_versions  # noqa: E402
+from orderlens.sources.snapshots import new_run_ts, snapshot_versions, version_path  # noqa: E402
 from orderlens.sources.standins import StandIns  # noqa: E402
 
 try:  # the training-data operators are optional: without their folder the rest works alone
@@ -80,7 +85,7 @@ LOOKUP_ACCOUNT = {"short_name": "BUILDING", "master_account": ["Customer#0000000
 LOOKUP_COLUMNS = ("sales_order", "sales_order_line", "invoice", "stock_code", "order_qty", "line_ship_date", "order_date",
                   "customer", "short_name", "master_account")
 COUNT_START, COUNT_END = "1997-12-15", "1998-03-02"
-BLOCK_ROWS, HISTORY_CHUNK = 20_000, 16
+BLOCK_ROWS, HISTORY_CHUNK, OPTIONS_CHUNK = 20_000, 16, 100
 
 
 def _dates_as_text(df: DataFrame) -> DataFrame:
@@ -202,6 +207,79 @@ def _positions(spark, sf_dir):
     return Positions(spark, _once(spark, sf_dir, "positions", lambda base: write_positions(lines, base, block_rows=BLOCK_ROWS)))
 
 
+def _database(spark, sf_dir):
+    """The stored tables in the catalog, with statistics."""
+    df, stored = _stored(spark, sf_dir)
+    name = f"orderlens_{hashlib.sha1(stored.encode()).hexdigest()[:12]}"
+    folder = version_path(stored, snapshot_versions(spark, stored)[-1])
+    columns = {"enriched": ("order_date", "order_month", "branch", "customer")}
+    _once(spark, sf_dir, "catalog", lambda _: register_tables(spark, {"enriched": folder}, name, columns))
+    return name
+
+
+def q_order_trend_sql(spark, sf_dir):
+    return named_query(spark, "order_trend", _database(spark, sf_dir), TREND_FILTERS).select("year_month", "total_order_qty")
+
+
+def q_detail_page_sql(spark, sf_dir):
+    return _dates_as_text(named_query(spark, "detail_page", _database(spark, sf_dir), DETAIL_FILTERS, DETAIL_START, DETAIL_END,
+                                      DETAIL_PAGE, DETAIL_PER_PAGE))
+
+
+def q_enriched_bucketed(spark, sf_dir):
+    """The header join bucket by bucket, heavy orders apart."""
+    s = _standins(spark, sf_dir)
+
+    def build(base):
+        store = bucketed(base)
+        store.write_lines(s.sor_detail, s.inv_master)
+        store.write_headers(s.sor_master, s.ar_customer)
+
+    def bucketed(base):
+        return BucketedStore(spark, base, int(spark.conf.get("spark.sql.shuffle.partitions")), f"orderlens_{hashlib.sha1(base.encode()).hexdigest()[:12]}")
+
+    return _dates_as_text(bucketed(_once(spark, sf_dir, "bucketed", build)).enriched())
+
+
+def q_category_report_state(spark, sf_dir):
+    """The report from stored months."""
+    lines = _stored_enriched(spark, sf_dir)
+    base = _once(spark, sf_dir, "report_state", lambda base: write_state(month_state(lines), base))
+    return report_from_state(read_state(spark, base), REPORT_AS_OF)
+
+
+def q_category_report_state_changes(spark, sf_dir):
+    """The report after all lines of 1999 were taken out of the state, and those of February put back."""
+    lines = _stored_enriched(spark, sf_dir)
+    base = _once(spark, sf_dir, "report_state", lambda base: write_state(month_state(lines), base))
+    year = lines.where(F.col("order_month").between("1999-01-01", "1999-12-01"))
+    return report_from_state(apply_changes(read_state(spark, base), added=year.where("order_month = '1999-02-01'"), removed=year), REPORT_AS_OF)
+
+
+def q_filter_option_lists(spark, sf_dir):
+    """Options as sorted lists in chunks, from the dictionary of all lines but those of 1999, which are then added."""
+    lines = _stored_enriched(spark, sf_dir)
+    late = F.coalesce(F.col("order_month").between("1999-01-01", "1999-12-01"), F.lit(False))
+    known = apply_counts(dictionary(lines.where(~late)), dictionary(lines.where(late)), dictionary(lines.limit(0)))
+    lists = option_lists(known, f"{_scratch(spark, 'options', sf_dir)}/{uuid.uuid4().hex}", OPTIONS_CHUNK)
+    return lists.withColumn("values", F.array_join("values", "|"))
+
+
+def q_stock_strings_committed(spark, sf_dir):
+    """Warehouse and price tables committed together by one transaction, read back from the log."""
+    s = _standins(spark, sf_dir)
+
+    def build(base):
+        load = CommitLog(spark, base).begin()
+        load.write(s.inv_warehouse, "inv_warehouse")
+        load.write(s.inv_price, "inv_price")
+        load.commit()
+
+    log = CommitLog(spark, _once(spark, sf_dir, "committed", build))
+    at = log.head()  # both tables as of one entry
+    return stock_details(log.read("inv_warehouse", at), log.read("inv_price", at))
+
+
 def q_lines_by_order(spark, sf_dir):
     return _dates_as_text(lookup(spark, _access(spark, sf_dir), {"sales_order": LOOKUP_ORDERS}).select(*LOOKUP_COLUMNS))
 
@@ -469,6 +547,13 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "monthly_area_totals_rollup": q_monthly_area_totals_rollup,
         "detail_page_positions": q_detail_page_positions,
         "detail_page_deep_positions": q_detail_page_deep_positions,
+        "order_trend_sql": q_order_trend_sql,
+        "detail_page_sql": q_detail_page_sql,
+        "enriched_bucketed": q_enriched_bucketed,
+        "category_report_state": q_category_report_state,
+        "category_report_state_changes": q_category_report_state_changes,
+        "filter_option_lists": q_filter_option_lists,
+        "stock_strings_committed": q_stock_strings_committed,
         "price_history_json": q_price_history_json,
         "top_stock_history": q_top_stock_history,
     }
@@ -554,7 +639,7 @@ def _with(*names: str) -> str:
     return "with " + ",\n".join(f"{n} as ({_VIEWS[n]})" for n in order) + "\n"
 
 
-def _report_sql(bounded: bool) -> str:
+def _report_sql(bounded: bool, lines: str = "enriched") -> str:
     # as_of 2000-03-15: current month 2000-03; window from 1999-10-01
     months = [(2000, 3), (2000, 2), (2000, 1), (1999, 12), (1999, 11), (1999, 10)]
     sums = ["sum(order_qty) total_all_time"]
@@ -569,7 +654,7 @@ def _report_sql(bounded: bool) -> str:
             cond = f"order_date >= date '1999-10-01' and extract(month from order_date) = {m}"
         sums.append(f"sum(case when {cond} then order_qty else 0 end) month_{k}_qty")
     blocks = [
-        f"select '{c}' category, {c} category_value, {', '.join(sums)} from enriched "
+        f"select '{c}' category, {c} category_value, {', '.join(sums)} from {lines} "
         f"where {c} is not null and trim({c}) <> '' group by {c}"
         for c in ("branch", "area", "customer", "stock_code", "product_class", "salesperson")
     ]
@@ -748,6 +833,20 @@ select cast(cast(date_trunc('month', order_date) as date) as varchar) as month,
 from enriched group by all""",
     "detail_page_positions": _ORACLE["detail_page"],
     "detail_page_deep_positions": _ORACLE["detail_page_deep"],
+    "order_trend_sql": _ORACLE["order_trend"],
+    "detail_page_sql": _ORACLE["detail_page"],
+    "enriched_bucketed": _ORACLE["enriched"],
+    "category_report_state": _ORACLE["category_report"],
+    "category_report_state_changes": _report_sql(bounded=False, lines="(select * from enriched where order_date is null or extract(year from order_date) <> 1999 or extract(month from order_date) = 2) kept"),
+    "filter_option_lists": _with("enriched") + """,
+options as (
+  select distinct dimension, value from (
+    select 'branch' dimension, branch value from enriched union all select 'area', area from enriched union all select 'customer', customer from enriched
+    union all select 'product_class', product_class from enriched union all select 'salesperson', salesperson from enriched)
+  where value is not null and value <> ''),
+numbered as (select *, row_number() over (partition by dimension order by value) - 1 position from options)
+select dimension, position // 100 chunk, count(*) n_values, string_agg(value, '|' order by value) "values" from numbered group by all""",
+    "stock_strings_committed": _ORACLE["stock_strings"],
     "price_history_json": _with("inv_master", "inv_price_history") + "," + _CHUNKS + """
 select stock_code, coalesce(chunk, 0) chunk, coalesce(n_changes, 0) n_changes, coalesce(price_history, '[]') price_history
 from (select distinct stock_code from inv_master) left join chunks using (stock_code)""",
