@@ -291,11 +291,12 @@ def cut_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
     follows them; a document of which no word is left goes, others keep all their columns."""
     names = docs.columns
     at = names.index("text")
+    row, later = ("_" * (1 + max(len(n) for n in names)) + n for n in ("row", "later"))  # names that docs has not
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            ranges = batch.column("_later").to_pylist()
+            ranges = batch.column(later).to_pylist()
             keep = np.ones(batch.num_rows, bool)
             for i in [i for i, x in enumerate(ranges) if x]:
                 raw = texts[i].encode()
@@ -311,5 +312,5 @@ def cut_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns = [pa.array(texts, batch.column("text").type) if n == at else batch.column(c) for n, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    marked = docs.withColumn("_row", row_key()).join(spans.where("size(later) > 0").select(F.col("row").alias("_row"), F.col("later").alias("_later")), "_row", "left")
-    return marked.drop("_row").mapInArrow(cut, docs.schema)
+    marked = docs.withColumn(row, row_key()).join(spans.where("size(later) > 0").select(F.col("row").alias(row), F.col("later").alias(later)), row, "left")
+    return marked.drop(row).mapInArrow(cut, docs.schema)
