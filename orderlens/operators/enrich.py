@@ -9,8 +9,8 @@ Plan shape:
 * lines are joined to the items first, while they are narrow, then to the
   headers with their customers: the wide row is built by the last join and
   never shuffled;
-* with ``scratch`` (a folder), the headers, customers and items made unique are
-  written there and read back. Every join then has a plain shuffle on both
+* with ``scratch`` (a folder), the headers with their customers, the items and, unless they
+  are few, the customers made unique are written there and read back. Every join then has a plain shuffle on both
   sides, which is what AQE needs to split a hot order, item or customer. Without
   it their de-duplication shares the join's shuffle, one less, but a hot key
   stays in one task.
@@ -99,13 +99,26 @@ def build_enriched(detail: DataFrame, master: DataFrame, customer: DataFrame,
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.parquet(path)
 
-    headers = stored(first_headers(master), "headers")
-    cust = stored(dedupe_dimension(customer, "customer", _present(customer, CUSTOMER_COLUMNS)), "customers")
-    headers = stored(headers.join(cust, "customer", "left"), "headers_with_customers")
+    # the unique customers must be a plain scan for a hot one to be split, unless they are few enough
+    # to be broadcast by their measured size; the headers' side of that join is a plain shuffle already
+    cust = dedupe_dimension(customer, "customer", _present(customer, CUSTOMER_COLUMNS))
+    if not _few(customer):
+        cust = stored(cust, "customers")
+    headers = stored(first_headers(master).join(cust, "customer", "left"), "headers_with_customers")
     items = stored(dedupe_dimension(item, "stock_code", ["description"]), "items")
     return _join_sides(detail, headers, items)
 
 
+def _few(df: DataFrame) -> bool:
+    """Whether the files of ``df`` are so small that adaptive execution will broadcast it once it has measured it:
+    a quarter of its threshold (never, where broadcasts are switched off)."""
+    limit = df.sparkSession.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) or "10m"
+    jvm = df.sparkSession._jvm
+    most = -1 if limit.startswith("-") else jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 4 * size <= most
+
+
 def enriched_from(spark: SparkSession, detail: DataFrame, scratch: str) -> DataFrame:
     """``build_enriched`` again from the sides that an earlier call stored in ``scratch``."""
     headers, items = (spark.read.parquet(f"{scratch.rstrip('/')}/{t}") for t in ("headers_with_customers", "items"))
