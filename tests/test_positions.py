@@ -64,3 +64,15 @@ def test_empty(spark, enriched, tmp_path):
     assert p.page().collect() == [] and p.page({"branch": "ASIA"}, page=3).collect() == [] and p.count() == 0
     assert p.page().columns == detail_page(enriched).columns
     assert p.counts.where(F.lit(True)).count() == 0
+
+
+def test_a_task_writes_several_files_in_order(spark, enriched, tmp_path, monkeypatch):
+    """Before, each file was a range of its own, and the driver's sample grew with the files."""
+    monkeypatch.setattr("orderlens.sources.positions.TASK_ROWS", 10_000)
+    write_positions(enriched, f"{tmp_path}/p", "20240101_000000", block_rows=1500)
+    p = Positions(spark, f"{tmp_path}/p")
+    files = p.counts.collect()
+    assert len({r["_block"] for r in files}) <= len(files) // 3 and max(r.n for r in files) <= 1500
+    want = [tuple(r) for r in detail_rows(enriched).orderBy(*_sort_columns()).collect()]
+    for page in (1, 7, len(want) // 2000, len(want) // 4000):
+        assert [tuple(r) for r in p.page(page=page, per_page=2000).collect()] == want[(page - 1) * 2000:page * 2000]
