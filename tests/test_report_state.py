@@ -76,3 +76,9 @@ def test_hot_value_is_combined_before_the_shuffle(enriched):
 
 def test_empty(enriched):
     assert report_from_state(month_state(enriched.limit(0)), DATES[0]).collect() == []
+
+
+def test_the_changed_state_is_reported_without_a_shuffle_of_its_own(enriched):
+    some = enriched.where("order_date < '1995-01-01'")
+    changed = apply_changes(month_state(enriched), added=some)
+    assert plan_text(report_from_state(changed, "2000-03-15", sort=False)).count("Exchange") == plan_text(changed).count("Exchange")
