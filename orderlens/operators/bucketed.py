@@ -71,9 +71,13 @@ class BucketedStore:
         names = _present(detail, DETAIL_COLUMNS)
         items = dedupe_dimension(item, "stock_code", ["description"]).withColumnRenamed("description", "_item_description")
         text = F.coalesce("_item_description", "stock_description").alias("stock_description")
-        lines = detail.select(*names).join(items, "stock_code", "left").select(*[text if c == "stock_description" else F.col(c) for c in names])
-        self._write_bucketed(lines.join(heavy, KEY, "left_anti"), "light_lines")
-        lines.join(heavy, KEY, "left_semi").write.mode("overwrite").parquet(f"{self.folder}/heavy_lines")
+
+        def described(lines: DataFrame) -> DataFrame:
+            return lines.select(*names).join(items, "stock_code", "left").select(*[text if c == "stock_description" else F.col(c) for c in names])
+
+        # told apart first: each line is shuffled to its item once, as a light or a heavy one
+        self._write_bucketed(described(detail.join(heavy, KEY, "left_anti")), "light_lines")
+        described(detail.join(heavy, KEY, "left_semi")).write.mode("overwrite").parquet(f"{self.folder}/heavy_lines")
 
     def write_headers(self, master: DataFrame, customer: DataFrame) -> None:
         """Stores the first header of each order with its customer, bucketed like the lines."""
