@@ -131,3 +131,16 @@ def test_layout_write_splits_a_hot_customer_month(spark, skewed):
     assert written.count() == 3000
     files = written.inputFiles()
     assert len(files) >= 4   # the single (month, customer) group went to several tasks
+
+
+def test_one_description_reaches_the_header_join(spark, skewed):
+    with confs(spark, SKEW_CONFS):
+        text = plan_text(build_enriched(*skewed), "simple")
+    header_join = text.index("SortMergeJoin [sales_order#")
+    assert "coalesce(_item_description" not in text[:header_join] and "coalesce(_item_description" in text[header_join:]
+
+
+def test_lines_are_shuffled_once_for_part_and_item(spark, standins):
+    with confs(spark, SKEW_CONFS):
+        alone, joined = plan_text(standins.sor_detail), plan_text(standins.sor_detail.join(standins.inv_master.select("stock_code", "description"), "stock_code", "left"))
+    assert joined.count("Exchange") == alone.count("Exchange") + 2  # that of the items, named twice in the text
