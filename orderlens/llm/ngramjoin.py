@@ -7,7 +7,10 @@ transpose, the overlap, reaches the bound that both sizes and the similarity giv
 1. Columns are pruned first: a row keeps only the n-grams that come first in an order that puts common
    ones last, as many as a link cannot avoid sharing. Overlaps accumulate over these columns, block of
    columns by block; pairs whose accumulated count plus all that may still follow stays below the bound
-   are discarded. What remains falls into small clusters of rows.
+   are discarded. What remains falls into small clusters of rows. Two kept columns of each row, the least
+   in two other orders, are its keys. Rows that agree in a key meet in that column's block, which puts them
+   into one cluster, so no block counts their pairs: most near copies cost a row or two, however many
+   columns they share and however many blocks these are in.
 2. The rows of a cluster are cut into blocks, and each pair of blocks that sizes allow is multiplied
    exactly, over all columns, in one task.
 
@@ -39,6 +42,9 @@ COUNTED_BELOW, COMMON, MOST_COMMON = np.uint64(1 << 62), 16, 1 << 20
 COLUMN_BLOCK = 1 << 20
 #: A column with more rows only clusters them.
 WIDE_COLUMN = 64
+#: The orders in which a row's least kept columns are its keys, and the bits of a column's hash that name it
+#: and choose its block: columns that share a name share a block, so rows of equal keys always meet.
+KEY_ORDERS, NAME = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)), np.uint64((1 << 32) - 1)
 #: Rows and n-grams in a block of rows.
 BLOCK_ROWS, BLOCK_NGRAMS = 256, 1 << 19
 
@@ -122,8 +128,24 @@ def _common(table: pa.Table) -> pa.Table:
     return pa.table({"gram": gram[first][often], "sets": total[often]})
 
 
+def _row_keys(gram: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each kept n-gram of rows that lie one after the other, the names of its row's two keys in one number."""
+    start = np.cumsum(length) - length
+    keys = np.zeros(len(length), np.uint64)
+    for order in KEY_ORDERS:
+        place = mix(gram ^ order)
+        least = place == np.repeat(np.minimum.reduceat(place, start), length)
+        keys = keys << np.uint64(32) | mix(gram[least]) & NAME
+    return np.repeat(keys, length)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows agree in neither key."""
+    return ((a ^ b) >> np.uint64(32) > 0) & ((a ^ b) & NAME > 0)
+
+
 def _kept_columns(n: int, percent: int, common, blocks: int):
-    """Rows (block, gram, sig, size, at, last): the kept n-grams of each distinct set, by block of columns;
+    """Rows (block, gram, sig, size, at, last, keys): the kept n-grams of each distinct set, by block of columns;
     ``last`` is the place in the order of columns of the last one that the set keeps."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = common.value
@@ -152,31 +174,35 @@ def _kept_columns(n: int, percent: int, common, blocks: int):
                 if not grams:
                     continue
                 g, s, z, a, e = map(np.concatenate, (grams, sigs, sizes, ats, lasts))
-                block = (mix(g) % np.uint64(blocks)).astype(np.int64)
+                k = _row_keys(g, np.array([len(x) for x in grams]))
+                block = ((mix(g) & NAME) % np.uint64(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 block = block[order]
                 cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
                 yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), _list_array(_as_long(g[order]), cuts, pa.int64()), _list_array(_as_long(s[order]), cuts, pa.int64()),
-                                                  _list_array(z[order], cuts, pa.int32()), _list_array(a[order], cuts, pa.int32()), _list_array(_as_long(e[order]), cuts, pa.int64())],
-                                                 ["block", "gram", "sig", "size", "at", "last"])
+                                                  _list_array(z[order], cuts, pa.int32()), _list_array(a[order], cuts, pa.int32()), _list_array(_as_long(e[order]), cuts, pa.int64()),
+                                                  _list_array(_as_long(k[order]), cuts, pa.int64())],
+                                                 ["block", "gram", "sig", "size", "at", "last", "keys"])
     return run
 
 
 def _accumulate(percent: int):
     """Partial products of a block of columns: (a, b, shared, after, need), shared 0 for rows that a wide
-    column puts into one cluster.
+    column or a key puts into one cluster. Pairs that agree in a key are not counted: the block that has the
+    key as a column clusters them.
 
     ``after`` bounds what columns may add to the overlap beyond all shared ones that are kept: no more than
     either row has after this one, and no more than the row whose kept columns end first has in all after
     them, as up to there both rows have been compared. ``need`` is the least overlap of a link."""
     def run(table: pa.Table) -> pa.Table:
         give_back()
-        gram, sig, size, at, last = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(k).chunks]) for k in ("gram", "sig", "size", "at", "last"))
+        gram, sig, size, at, last, keys = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(k).chunks])
+                                           for k in ("gram", "sig", "size", "at", "last", "keys"))
         order = np.lexsort((sig, size, gram))
-        gram, sig, size, at, last = gram[order], sig[order], size[order].astype(np.int64), at[order].astype(np.int64), last[order]
+        gram, sig, size, at, last, keys = gram[order], sig[order], size[order].astype(np.int64), at[order].astype(np.int64), last[order], keys[order].view(np.uint64)
         fresh = np.ones(len(gram), bool)  # the same set from several tasks
         fresh[1:] = (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])
-        gram, sig, size, at, last = gram[fresh], sig[fresh], size[fresh], at[fresh], last[fresh]
+        gram, sig, size, at, last, keys = gram[fresh], sig[fresh], size[fresh], at[fresh], last[fresh], keys[fresh]
         unseen = -(-percent * size // 100) - 1
         cuts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1], [True])))
         length = np.diff(cuts)
@@ -185,10 +211,21 @@ def _accumulate(percent: int):
         for s, e in zip(cuts[:-1][length > WIDE_COLUMN], cuts[1:][length > WIDE_COLUMN], strict=True):
             wide[s:e - 1] = True
         i = np.flatnonzero(wide)
-        i = i[100 * size[i] >= percent * size[i + 1]]
+        i = i[_apart(keys[i], keys[i + 1])]
+        together = [(i, i + 1)]
+        name = mix(gram.view(np.uint64)) & NAME
+        for key in (keys >> np.uint64(32), keys & NAME):
+            i = np.flatnonzero(key == name)
+            i = i[np.lexsort((sig[i], size[i], name[i]))]
+            i, j = i[:-1], i[1:]
+            same = (name[i] == name[j]) & (sig[i] != sig[j])
+            together.append((i[same], j[same]))
+        i, j = map(np.concatenate, zip(*together, strict=True))
+        ok = 100 * size[i] >= percent * size[j]
+        i, j = i[ok], j[ok]
         if len(i):
             zero = np.zeros(len(i), np.int64)
-            out.append((sig[i], sig[i + 1], zero, zero, zero))
+            out.append((np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), zero, zero, zero))
         # all pairs at the same distance in their column together
         stop = np.repeat(np.where((length > 1) & (length <= WIDE_COLUMN), cuts[1:], 0), length)
         for step in range(1, min(WIDE_COLUMN, int(length.max(initial=0)))):
@@ -196,7 +233,7 @@ def _accumulate(percent: int):
             if not len(i):
                 break
             j = i + step
-            ok = 100 * size[i] >= percent * size[j]
+            ok = (100 * size[i] >= percent * size[j]) & _apart(keys[i], keys[j])
             i, j = i[ok], j[ok]
             after, need = np.minimum(size[i] - at[i], size[j] - at[j]) - 1, least_overlap(percent, size[i], size[j])
             ok = 1 + np.minimum(at[i], at[j]) + after >= need
@@ -338,7 +375,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, scratch:
     common = spark.sparkContext.broadcast(np.sort(np.array([r.gram for r in often.collect()], np.int64).view(np.uint64)))
     kept = int((about.grams or 0) * (1 - percent / 100)) + about.n
     blocks = kept // COLUMN_BLOCK + 1  # few: a pair's overlaps are added up in a block before they are shuffled
-    columns = docs.mapInArrow(_kept_columns(n, percent, common, blocks), "block long, gram array<long>, sig array<long>, size array<int>, at array<int>, last array<long>")
+    columns = docs.mapInArrow(_kept_columns(n, percent, common, blocks), "block long, gram array<long>, sig array<long>, size array<int>, at array<int>, last array<long>, keys array<long>")
     partial = columns.groupBy("block").applyInArrow(_accumulate(percent), "a long, b long, shared long, after long, need long")
     pairs = (partial.groupBy("a", "b").agg(F.min("shared").alias("least"), F.sum("shared").alias("shared"), F.min("after").alias("after"), F.max("need").alias("need"))
              .where((F.col("least") == 0) | (F.col("shared") + F.col("after") >= F.col("need"))).select("a", "b"))
