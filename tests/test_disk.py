@@ -5,7 +5,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from orderlens.operators import rollup
 from orderlens.operators.report_state import month_state, write_state
+from orderlens.operators.rollup import build_rollup, rollup_count, rollup_for, rollup_trend
+from orderlens.operators.detail import detail_count
+from orderlens.operators.trend import order_trend
 from orderlens.sources import layout
 from orderlens.sources.layout import read_enriched, write_enriched
 from orderlens.sources.positions import write_positions
@@ -35,15 +39,18 @@ def test_a_write_frees_its_shuffles_and_restores_the_settings(spark, tmp_path):
     assert df.count() == 50  # the same frame can be run again
 
 
-@pytest.mark.parametrize("kind", ["report_state"])
+@pytest.mark.parametrize("kind", ["report_state", "rollup"])
 def test_stored_structures_leave_no_shuffle_of_lines(spark, tmp_path, kind):
     before = shuffle_files(spark)
-    write_state(month_state(lines(spark)), f"{tmp_path}/s")
+    if kind == "report_state":
+        write_state(month_state(lines(spark)), f"{tmp_path}/s")
+    else:
+        build_rollup(lines(spark), f"{tmp_path}/s", "20240101_000000")
     folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
     left = shuffle_files(spark) - before
     size = sum(os.path.getsize(f"{d}/{f}") for x in folders for d, _, names in os.walk(str(x)) for f in names if f in left and f.endswith(".data"))
     assert size < 20_000  # of single rows and sketches only
-    assert os.listdir(tmp_path) == ["s"]
+    assert os.listdir(tmp_path) == ["s"]  # the roll-up keeps no second copy of its groupings
 
 
 def test_positions_leave_no_shuffle_of_lines(spark, enriched, tmp_path):
@@ -70,3 +77,16 @@ def test_many_tasks_make_few_files_and_more_months_than_open_files_are_whole(spa
     stored = read_enriched(spark, f"{tmp_path}/e")
     assert len(stored.inputFiles()) <= 5 * layout.TASKS_A_CORE * spark.sparkContext.defaultParallelism
     assert sorted(map(str, stored.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("slice_lines", [100, 1_000_000])
+def test_sliced_months_give_the_same_roll_up(spark, tmp_path, monkeypatch, slice_lines):
+    monkeypatch.setattr(rollup, "SLICE_LINES", slice_lines)
+    df = lines(spark).cache()
+    build_rollup(df, f"{tmp_path}/r", "20240101_000000")
+    for shape in ({}, {"branch": "branch1"}, {"customer": "customer7", "salesperson": "salesperson3"}):
+        assert [tuple(r) for r in rollup_trend(spark, f"{tmp_path}/r", shape).collect()] == [tuple(r) for r in order_trend(df, shape).collect()]
+        assert rollup_count(spark, f"{tmp_path}/r", df, shape).collect() == detail_count(df, shape).collect()
+    for g in rollup.read_state(spark, f"{tmp_path}/r")["groupings"]:
+        got = rollup_for(spark, f"{tmp_path}/r", columns=g)
+        assert got.count() == got.select("month", *g).distinct().count() and got.agg(F.sum("n_lines")).first()[0] == 4000
